@@ -44,7 +44,7 @@ class Forest:
         self.cuts, self.codes, self.order = [], [], []
         single = rows.astype(np.float32)
         for t in range(trees):
-            side = single @ self.planes[t]
+            side = np.einsum("ij,jk->ik", single, self.planes[t])  # as everywhere here no BLAS call, which would spread each task over all cores
             code, cuts = np.zeros(n, np.int64), []
             for d in range(self.depth):
                 by = np.lexsort((side[:, d], code))
@@ -60,7 +60,7 @@ class Forest:
         """[tree, query]: the queries' bits."""
         single, out = queries.astype(np.float32), []
         for planes, cuts in zip(self.planes, self.cuts, strict=True):
-            side, code = single @ planes, np.zeros(len(queries), np.int64)
+            side, code = np.einsum("ij,jk->ik", single, planes), np.zeros(len(queries), np.int64)
             for d in range(self.depth):
                 code = 2 * code + (side[:, d] >= cuts[d][code])
             out.append(code)
@@ -133,7 +133,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, s
                 out: tuple[list, list, list] = ([], [], [])
                 for q, some in enumerate(forest.candidates(asked)):
                     some = some[name[some] != query_ids[q]]
-                    rough = unit[some] @ asked[q]
+                    rough = np.einsum("ij,j->i", unit[some], asked[q])
                     if len(some) > k:
                         some = some[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
                     exact = (matrix[some] * query[q]).sum(axis=1) / (np.sqrt((matrix[some] * matrix[some]).sum(axis=1)) * np.sqrt((query[q] * query[q]).sum()))

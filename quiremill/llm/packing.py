@@ -1,6 +1,7 @@
 """Packing by cutting-stock column generation.
 
-A document (its ids and the end id) is cut into whole sequences of ``capacity`` ids and one rest.
+A document (its ids and the end id) is cut into whole sequences of ``capacity`` ids and a rest, and a
+rest longer than half a sequence into a half and what remains; so no piece is hard to find company for.
 Lengths are counted in classes of ``unit`` ids, rounded up. On the histogram of classes a linear
 program over patterns (how often each class comes in a sequence) is solved on the driver: a revised
 simplex method whose columns are priced by a knapsack dynamic program, until the proven gap to the
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -29,55 +31,79 @@ from quiremill.llm._common import default_vocabulary, sliced, staged
 from quiremill.llm.bitpack import library_encoder
 
 
-def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes within the capacity, by dynamic programming over capacities."""
+def best_patterns(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, list[np.ndarray]]:
+    """The value of the most valuable multiset of sizes within the capacity, by dynamic programming over capacities, and for each size the most valuable one that holds it, best first. ``sizes`` ascend."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    small, value = sizes[order], worth[order]
-    upto = np.searchsorted(small, np.arange(capacity + 1), side="right")
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if n := upto[c]:
-            got = best[c - small[:n]] + value[:n]
+            got = best[c - sizes[:n]] + worth[:n]
             k = int(got.argmax())
             if got[k] > best[c] + 1e-12:
                 best[c], pick[c] = got[k], k
-    counts, c = np.zeros(len(sizes)), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            counts[order[pick[c]]] += 1
-            c -= small[pick[c]]
-    return float(best[capacity]), counts
-
-
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4, most: int = 6000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns [pattern, class] and how often each is used (fractions) so that all demand is met with few sequences."""
-    k = len(sizes)
+    with_each = worth + best[capacity - sizes]
+    out = []
+    for j in np.argsort(-with_each, kind="stable").tolist():
+        if with_each[j] <= 1 + 1e-9:
+            break
+        counts, c = np.zeros(len(sizes)), capacity - int(sizes[j])
+        counts[j] = 1
+        while c > 0:
+            if pick[c] < 0:
+                c -= 1
+            else:
+                counts[pick[c]] += 1
+                c -= int(sizes[pick[c]])
+        out.append(counts)
+    return float(best[capacity]), out
+
+
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse, by Gauss-Jordan steps. Like all here without BLAS, whose threads can stall a process that shares its cores with a JVM."""
+    k = len(a)
+    both = np.hstack([a, np.eye(k)])
+    for c in range(k):
+        top = c + int(np.abs(both[c:, c]).argmax())
+        both[[c, top]] = both[[top, c]]
+        both[c] /= both[c, c]
+        factor = both[:, c].copy()
+        factor[c] = 0
+        both -= factor[:, None] * both[c]
+    return both[:, k:]
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns [pattern, class] and how often each is used (fractions) so that all demand is met with few sequences.
+
+    Each round prices patterns once and takes in all that still improve the plan. The plan is within ``gap`` of the
+    optimum when the best price is within ``gap`` of 1; ``rounds`` bounds the work where that takes long.
+    """
     fits = capacity // sizes
     patterns = np.diag(fits.astype(float))
     inverse = np.diag(1.0 / fits)
     used = demand / fits
-    for step in range(most):
-        duals = inverse.sum(axis=0)
-        value, column = best_pattern(sizes, np.maximum(duals, 0), capacity)
+    for step in range(rounds):
+        value, columns = best_patterns(sizes, np.maximum(inverse.sum(axis=0), 0), capacity)
         if value <= 1 + gap:
             break
-        direction = inverse @ column
-        up = direction > 1e-9
-        ratio = np.full(k, np.inf)
-        ratio[up] = np.maximum(used[up], 0) / direction[up]
-        out = int(ratio.argmin())
-        used -= ratio[out] * direction
-        used[out] = ratio[out]
-        patterns[:, out] = column
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-        if step % 200 == 199:  # rounding errors go
-            inverse = np.linalg.inv(patterns)
-            used = inverse @ demand
+        for column in columns:
+            direction = np.einsum("ij,j->i", inverse, column)
+            if direction.sum() <= 1 + gap / 2:  # the price by now
+                continue
+            up = direction > 1e-9
+            ratio = np.full(len(sizes), np.inf)
+            ratio[up] = np.maximum(used[up], 0) / direction[up]
+            out = int(ratio.argmin())
+            used -= ratio[out] * direction
+            used[out] = ratio[out]
+            patterns[:, out] = column
+            row = inverse[out] / direction[out]
+            inverse -= np.outer(direction, row)
+            inverse[out] = row
+        if step % 40 == 39:  # rounding errors go
+            inverse = inverted(patterns)
+            used = np.einsum("ij,j->i", inverse, demand)
     return patterns.T, np.maximum(used, 0)
 
 
@@ -122,9 +148,11 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str | None = None, end_id
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 n = len(ids) // 4
-                for a in range(0, n, capacity):
-                    doc.append(doc_id), start.append(a), length.append(min(capacity, n - a)), whole.append(n)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * (a + capacity)]))
+                half = n - n % capacity + capacity // 2
+                cuts = [*range(0, n, capacity), *([half] if half < n else []), n]
+                for a, z in pairwise(cuts):
+                    doc.append(doc_id), start.append(a), length.append(z - a), whole.append(n)
+                    crc.append(zlib.crc32(ids[4 * a : 4 * z]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, whole)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -223,7 +223,7 @@ def _legal() -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def fit(count: int = 600, seed: int = 3, steps: int = 100, rate: float = 0.25, l2: float = 2e-3) -> Field:
+def fit(count: int = 450, seed: int = 3, steps: int = 80, rate: float = 0.25, l2: float = 2e-3) -> Field:
     """Train on the labelled table by Adam steps on its mean log-likelihood."""
     lines = labelled_lines(count, seed)
     found = [tokens(t) for t, _ in lines]

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiremill.llm import bpe, exact_dedup, langid, near_dedup, pii, toxicity
+from quiremill.llm import ann, bitpack, bpe, exact_dedup, langid, near_dedup, packing, pii, suffix_dedup, toxicity
 from quiremill.llm._common import read
 
 
+def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(read(spark, sf_dir, "documents"))
 
@@ -34,8 +43,28 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(read(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated(read(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.round_trip(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op4_bpe_encoding, op5_exact_dedup, op6_toxicity, op7_near_dedup, op8_pii)
+    f.__name__: f
+    for f in (
+        op1_hash_prefix_forest,
+        op2_packing,
+        op3_language_id,
+        op4_bpe_encoding,
+        op5_exact_dedup,
+        op6_toxicity,
+        op7_near_dedup,
+        op8_pii,
+        op9_repeated_passages,
+        op10_token_files,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
