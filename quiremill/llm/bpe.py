@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 import unicodedata
 from functools import lru_cache
 
@@ -46,23 +45,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """A function's results by word, forgotten all at once when there are too many."""
+    """A function's results by word. At most ``most`` recent ones are held, and as many before these; older ones are forgotten."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, word):
+        value = self.before.get(word)
+        if value is None:
+            value = self.make(word)
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        value = self.make(word)
         if len(word) <= 64:
             self[word] = value
         return value
 
 
 class WordBpe:
-    def __init__(self, path: str, remember: int = 120_000):
+    def __init__(self, path: str, remember: int = 100_000):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
@@ -201,13 +203,6 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def packed_encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers, with a table of words of its own."""
-    bpe = load(path)
-    memo = Memo(lambda w: struct.pack(f"<{len(ids := bpe.encode_word(w))}I", *ids), 150_000)
-    return lambda text: b"".join(bpe.mapped(text, memo, lambda i: struct.pack("<I", i)))
-
-
 def encoded(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string) of every text."""
     path = vocabulary or default_vocabulary()
@@ -237,7 +232,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             ids = bpe.encode_word(word)
             return " ".join(map(str, ids)), bpe.decode(ids)
 
-        memo = Memo(both, 120_000)
+        memo = Memo(both, 180_000)
         for b in sliced(batches):
             n, of_ids, of_text = [], [], []
             for text in b.column(1).to_pylist():
