@@ -10,11 +10,11 @@ Two documents are linked when ``100 * shared >= percent * all``; components of l
 2. Documents with the same set are one class from here on, so groups of copies cost one row.
 3. Each bucket of two or more classes is a star: all members against its least class. Stars' edges
    are confirmed on the full sets, which are read again for the classes in edges alone.
-4. A star can miss a link between two members that are not linked to its centre. So every bucket
-   that still holds more than one component is looked at again: members outside its largest component
-   are compared with all others of the bucket that are in another component, in blocks of bounded size,
-   first by their signatures (a pair whose signatures agree in less than ``floor`` of the bins has,
-   at a true similarity of 0.8, a probability below 1e-6), then on the full sets.
+4. A star can miss a link between two members that are not linked to its centre. So every cluster (classes
+   that stars connect, linked or not) which still holds more than one component is looked at again: members
+   outside its largest component are compared with all members of other components, by counting shared
+   shingles through an index of blocks of bounded size. This finds each link there is, and writes
+   no more of them than it takes to join what they join.
 5. Components come from contracting links towards smaller ids and then halving paths, as joins;
    nothing is collected to the driver.
 
@@ -28,7 +28,6 @@ smallest id; rows with one id and one text are one document; other columns are i
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,46 +70,47 @@ def shingle_set(words: Words, text: str | None, k: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int = 4, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_digest (binary, null for no shingles), sketch (one byte a bin), bands array<long>."""
+    """doc_id, n_shingles, set_digest (binary, null for no shingles), bands array<long>."""
 
     def run(batches):
         import pyarrow as pa
 
         known = Words()
         for b in sliced(batches):
-            n, digest, sketch, bands = [], [], [], []
+            n, digest, bands = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(known, text, words)
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), sketch.append(None), bands.append(None)
+                    digest.append(None), bands.append(None)
                     continue
-                sig = signature(s, bins)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sketch.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
-                bands.append(band_keys(sig, rows).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_digest", "sketch", "bands"])
+                bands.append(band_keys(signature(s, bins), rows).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_digest", "bands"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, sketch binary, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, bands array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, salts: int) -> DataFrame:
-    """The pairs (member, centre) that are linked, by their full sets. Members of a centre are dealt over ``salts`` groups, with a copy of the centre's set in each."""
-    wanted = pairs.select(F.col("member").alias("doc_id")).union(pairs.select("centre")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles): the sets of some documents, as sorted 64-bit numbers."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
 
-    def sets(batches):
+    def run(batches):
         import pyarrow as pa
 
         known = Words()
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(known, t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
 
-    found = staged(texts.mapInArrow(sets, "doc_id long, shingles binary"), "near-sets")
+    return staged(texts.mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, salts: int) -> DataFrame:
+    """The pairs (member, centre) that are linked, by their full sets. Members of a centre are dealt over ``salts`` groups, with a copy of the centre's set in each."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(salts)).cast("int"))
-    members = salted.join(found, salted["member"] == found["doc_id"]).select("centre", "salt", "member", "shingles")
+    members = salted.join(sets, salted["member"] == sets["doc_id"]).select("centre", "salt", "member", "shingles")
     groups = salted.select("centre", "salt").distinct()
-    centres = groups.join(found, groups["centre"] == found["doc_id"]).select("centre", "salt", F.lit(None).cast("long").alias("member"), "shingles")
+    centres = groups.join(sets, groups["centre"] == sets["doc_id"]).select("centre", "salt", F.lit(None).cast("long").alias("member"), "shingles")
     dealt = members.unionByName(centres).repartition(F.col("centre"), F.col("salt")).sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
 
     def compare(batches):
@@ -136,6 +136,79 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, salt
     return dealt.mapInArrow(compare, "member long, centre long")
 
 
+class _Block:
+    """An index of some members' sets; askers come one after another."""
+
+    def __init__(self, rows: list[tuple[int, int, bool, bytes]], percent: int):
+        self.percent, self.parent = percent, {}
+        self.ids = np.array([r[0] for r in rows])
+        self.roots = [r[1] for r in rows]
+        self.out = np.array([r[2] for r in rows])
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        self.sizes = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.keys, begin = np.unique(flat[order], return_index=True)
+        self.begin = np.append(begin, len(flat))
+
+    def _root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def links(self, who: int, root: int, shingles: bytes) -> list[tuple[int, int]]:
+        own = np.frombuffer(shingles, np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        at = at[self.keys[at] == own]
+        if not len(at):
+            return []
+        shared = np.bincount(np.concatenate([self.owner[self.begin[k] : self.begin[k + 1]] for k in at.tolist()]), minlength=len(self.ids))
+        # of two members outside the largest component only the one with the greater id asks
+        near = np.flatnonzero((100 * shared >= self.percent * (len(own) + self.sizes - shared)) & (~self.out | (self.ids < who)))
+        found = []
+        for j in near.tolist():
+            a, z = self._root(root), self._root(self.roots[j])
+            if a != z:
+                self.parent[max(a, z)] = min(a, z)
+                other = int(self.ids[j])
+                found.append((max(who, other), min(who, other)))
+        return found
+
+
+def _crossing(sets: DataFrame, placed: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components inside clusters; ``placed`` is (class_id, cluster, root)."""
+    parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main")).where("parts > 1")
+    clusters = staged(open_.select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "main"), "near-open")
+    rows = staged(placed.join(clusters, "cluster").withColumn("out", F.col("root") != F.col("main")), "near-members")
+    inside = rows.select("cluster", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"), "class_id", "root", "out", F.lit(False).alias("asks"))
+    asking = rows.where("out").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_id", "root", "out", F.lit(True).alias("asks"))
+    both = staged(inside.union(asking), "near-asking")
+    dealt = both.join(sets, both["class_id"] == sets["doc_id"]).select("cluster", "block", "class_id", "root", "out", "asks", "shingles")
+    dealt = dealt.repartition(F.col("cluster"), F.col("block")).sortWithinPartitions("cluster", "block", "asks", "class_id")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        at, members, index = None, [], None
+        for b in sliced(batches, 64):
+            a, z = [], []
+            for cluster, number, who, root, out, asks, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (cluster, number) != at:
+                    at, members, index = (cluster, number), [], None
+                if not asks:
+                    members.append((who, root, out, shingles))
+                    continue
+                if index is None and members:
+                    index, members = _Block(members, percent), []
+                for x, y in index.links(who, root, shingles) if index else []:
+                    a.append(x), z.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["member", "centre"])
+
+    return dealt.mapInArrow(compare, "member long, centre long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(member, root): for every id in ``links`` (member > centre) but the roots, the smallest id it can reach."""
     edges = staged(links.select("member", "centre").distinct(), "near-links")
@@ -154,74 +227,29 @@ def components(links: DataFrame) -> DataFrame:
             return parents.withColumnRenamed("parent", "root")
 
 
-def _unsettled(members: DataFrame, classes: DataFrame, bins: int, floor: float, block: int) -> DataFrame:
-    """Pairs of classes that share a bucket but no component, and whose signatures do not rule a link out."""
-    parts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    buckets = staged(parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main")).where("parts > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "main"), "near-unsettled")
-    rows = staged(members.join(buckets, "key"), "near-members")
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    inside = rows.select("key", own.alias("block"), "class_id", "root", F.lit(False).alias("asks"))
-    outside = rows.where(F.col("root") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_id", "root", F.lit(True).alias("asks"))
-    sketches = classes.select("class_id", "n_shingles", "sketch")
-    dealt = inside.union(outside).join(sketches, "class_id").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "asks", "class_id")
-
-    def compare(batches):
-        import pyarrow as pa
-
-        at, have = None, []
-
-        def pairs(of):
-            a, z = [], []
-            rows_in = [r for r in of if not r[2]]
-            ids, roots = np.array([r[0] for r in rows_in]), np.array([r[1] for r in rows_in])
-            sizes = np.array([r[3] for r in rows_in])
-            sketch = np.frombuffer(b"".join(r[4] for r in rows_in), np.uint8).reshape(len(rows_in), bins)
-            for i, root, asks, size, own in of:
-                if not asks:
-                    continue
-                possible = (roots != root) & (np.minimum(sizes, size) * 5 >= np.maximum(sizes, size) * 3)
-                agree = (sketch == np.frombuffer(own, np.uint8)).mean(axis=1)
-                for j in ids[possible & ((agree >= floor) | (np.minimum(sizes, size) < bins))].tolist():
-                    a.append(max(i, j)), z.append(min(i, j))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["member", "centre"])
-
-        for b in sliced(batches, 2048):
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key, block_no, one = row[:2], row[1], row[2:]
-                if key != at:
-                    if have:
-                        yield pairs(have)
-                    at, have = key, []
-                have.append(one)
-        if have:
-            yield pairs(have)
-
-    columns = dealt.select("key", "block", "class_id", "root", "asks", "n_shingles", "sketch")
-    return columns.mapInArrow(compare, "member long, centre long").distinct()
-
-
-def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS, rows: int = ROWS, floor: float = 0.6, salts: int = 64, block: int = 4096) -> DataFrame:
+def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS, rows: int = ROWS, salts: int = 64, block: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     all_rows = staged(described(docs, words, bins, rows), "near-described")
     paired = F.col("set_digest").isNotNull() & F.col("doc_id").isNotNull()
     some = all_rows.where(paired)
     classes_of = staged(some.groupBy("set_digest").agg(F.min("doc_id").alias("class_id")), "near-classes")
     membership = staged(some.select("doc_id", "set_digest").join(classes_of, "set_digest").select("doc_id", "class_id"), "near-membership")
-    classes = staged(some.join(classes_of.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "class_id").dropDuplicates(["class_id"]), "near-heads")
+    classes = some.join(classes_of.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    keys = classes.select("class_id", F.explode("bands").alias("key"))
+    keys = staged(classes.select(F.col("doc_id").alias("class_id"), F.explode("bands").alias("key")), "near-keys")
     buckets = staged(keys.groupBy("key").agg(F.min("class_id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "near-buckets")
-    members = staged(keys.join(buckets, "key").select("key", "class_id", "centre"), "near-bucketed")
-    stars = staged(members.where(F.col("class_id") != F.col("centre")).select(F.col("class_id").alias("member"), "centre").distinct(), "near-stars")
-    links = staged(_confirmed(docs, stars, words, percent, salts), "near-confirmed")
-    roots = components(links)
-
-    placed = members.join(roots, members["class_id"] == roots["member"], "left").select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
-    more = staged(_unsettled(staged(placed, "near-placed"), classes, bins, floor, block).join(stars, ["member", "centre"], "left_anti"), "near-pairs")
-    if not more.isEmpty():
-        extra = staged(_confirmed(docs, more, words, percent, salts), "near-confirmed")
-        if not extra.isEmpty():
-            roots = components(reduce(DataFrame.union, [links, extra]))
+    stars = staged(keys.join(buckets, "key").where(F.col("class_id") != F.col("centre")).select(F.col("class_id").alias("member"), "centre").distinct(), "near-stars")
+    starred = staged(stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct(), "near-starred")
+    sets = _sets(docs, starred, words)
+    links = staged(_confirmed(sets, stars, percent, salts), "near-confirmed")
+    roots, clusters = components(links), components(stars)
+
+    reach = lambda df, name: df.select(F.col("member").alias("class_id"), F.col("root").alias(name))
+    placed = starred.withColumnRenamed("doc_id", "class_id").join(reach(clusters, "cluster"), "class_id", "left").join(reach(roots, "root"), "class_id", "left")
+    placed = staged(placed.select("class_id", F.coalesce("cluster", "class_id").alias("cluster"), F.coalesce("root", "class_id").alias("root")), "near-placed")
+    extra = staged(_crossing(sets, placed, percent, block), "near-crossing")
+    if not extra.isEmpty():
+        roots = components(links.union(extra))
 
     of_class = membership.join(roots, membership["class_id"] == roots["member"], "left").select("doc_id", F.coalesce("root", "class_id").alias("component_id"))
     # a component's smallest id is the smallest of its classes' smallest ids
