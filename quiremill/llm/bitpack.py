@@ -26,8 +26,10 @@ are neighbours in any order; other columns are ignored; an empty table makes no
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -121,12 +123,16 @@ def _library(path: str):
 def library_encoder(path: str):
     """text -> ids of the tokenizers library as little-endian unsigned 32-bit integers, each distinct word encoded once while remembered."""
     cutter, library = bpe.load(path), _library(path)
-    words = bpe.Memo(lambda w: struct.pack(f"<{len(ids := [t.id for t in library.model.tokenize(_letters(cutter, w))])}I", *ids), 150_000)
-    return lambda text: b"".join(cutter.mapped(text, words, lambda i: struct.pack("<I", i)))
+    tokenize, letters = library.model.tokenize, cutter.letters
 
+    def one(word: str) -> bytes:
+        ids = array("I", [t.id for t in tokenize(letters(word))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-def _letters(cutter: bpe.WordBpe, word: str) -> str:
-    return word.encode("utf-8").decode("latin-1").translate(cutter._table)
+    words = cutter.memo(one, b"".join, 300_000)
+    return lambda text: b"".join(cutter.values(text, words, lambda i: struct.pack("<I", i)))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, ids_per_shard: int = 1 << 20) -> DataFrame:

@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +33,7 @@ from quiremill.llm._common import default_vocabulary, sliced
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's own pattern of words (a fixed value of its file), with white space spelled out.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACE + r"\p{L}\p{N}]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _END = "</w>"
 #: Added to a final atom's code so that it differs from the same atom inside a word.
 _FINAL = 0xE000
@@ -96,7 +99,7 @@ class WordBpe:
             if atoms := self._as_atoms(text):
                 self._matches.add_word(atoms, (i, len(atoms)))
         self._matches.make_automaton()
-        self.ids_of = Memo(self.encode_word, remember)
+        self.ids_of = self.memo(self.encode_word, lambda v: tuple(chain.from_iterable(v)), remember)
 
     def _as_atoms(self, text: str) -> str:
         if text.endswith(_END) and len(text) > len(_END):
@@ -143,9 +146,13 @@ class WordBpe:
             self._fits[key] = known
         return known
 
+    def letters(self, word: str) -> str:
+        """A word's bytes as their printable stand-ins."""
+        return word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self._table)
+
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The ids of one word of the pattern (already normalised)."""
-        atoms = word.encode("utf-8").decode("latin-1").translate(self._table)
+        atoms = self.letters(word)
         atoms = atoms[:-1] + chr(_FINAL + ord(atoms[-1]))
         last, start = [-1] * (len(atoms) + 1), [0] * (len(atoms) + 1)
         fits = self._fits
@@ -168,31 +175,42 @@ class WordBpe:
             at = start[at]
         return tuple(reversed(ids))
 
-    def words(self, text: str) -> list[str]:
-        """Normalised words of a text without special tokens."""
+    @staticmethod
+    def normalised(text: str) -> str:
+        """Composed and lower-cased; white space may stay, as it only parts words."""
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # each character is lower-cased by itself
                 text = text.replace("Σ", "σ")
-        return _WORDS.findall(text.lower())
+        return text.lower()
+
+    @staticmethod
+    def memo(one, join, most: int) -> Memo:
+        """Values of what stands between white space: ``one`` word's value, or ``join`` of its words' values."""
+
+        def make(piece: str):
+            words = [piece] if piece.isalpha() else _WORDS.findall(piece)
+            return one(words[0]) if len(words) == 1 else join([memo[w] for w in words])
+
+        memo = Memo(make, most)
+        return memo
 
-    def mapped(self, text: str | None, of_word: Memo, of_special) -> list:
-        """``of_word`` of each word and ``of_special`` of each special token, in order."""
+    def values(self, text: str | None, memo: Memo, of_special) -> list:
+        """The values of a text's pieces and, by ``of_special``, of its special tokens, in order."""
         if not text:
             return []
-        if self._special_re is None or "<|" not in text:
-            return list(map(of_word.__getitem__, self.words(text)))
-        out: list = []
-        for i, part in enumerate(self._special_re.split(text)):
-            if i % 2:
-                out.append(of_special(self.special[part]))
-            elif part:
-                out += map(of_word.__getitem__, self.words(part))
-        return out
+        if self._special_re is not None and "<|" in text:
+            parts = self._special_re.split(text)
+            if len(parts) > 1:
+                return [v for i, part in enumerate(parts) for v in ([of_special(self.special[part])] if i % 2 else self.values(part, memo, of_special))]
+        text = self.normalised(text)
+        # these four part words for str.split, but are no Unicode white space
+        pieces = _WORDS.findall(text) if _SEPARATORS.search(text) else text.split()
+        return list(map(memo.__getitem__, pieces))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids in self.mapped(text, self.ids_of, lambda i: (i,)) for i in ids]
+        return [i for ids in self.values(text, self.ids_of, lambda i: (i,)) for i in ids]
 
     def decode(self, ids) -> str:
         return " ".join(self.text_of[i] for i in ids)
@@ -232,11 +250,11 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             ids = bpe.encode_word(word)
             return " ".join(map(str, ids)), bpe.decode(ids)
 
-        memo = Memo(both, 180_000)
+        memo = bpe.memo(both, lambda v: tuple(" ".join(x) for x in zip(*v, strict=True)), 200_000)
         for b in sliced(batches):
             n, of_ids, of_text = [], [], []
             for text in b.column(1).to_pylist():
-                found = bpe.mapped(text, memo, lambda i: (str(i), bpe.text_of[i]))
+                found = bpe.values(text, memo, lambda i: (str(i), bpe.text_of[i]))
                 numbers = " ".join([x[0] for x in found])
                 n.append(numbers.count(" ") + 1 if found else 0)
                 of_ids.append(hashlib.sha256(numbers.encode()).hexdigest())
