@@ -16,6 +16,7 @@ from quiremill.functions import units as U
 from quiremill.operators import aggregate as A
 from quiremill.operators import joins as J
 from quiremill.operators import sequence as S
+from quiremill.operators.keep import kept
 from quiremill.operators.styles import dimension
 from quiremill.sources.xml import attribute
 
@@ -69,7 +70,8 @@ def _owned_runs(elems: DataFrame) -> DataFrame:
 
 def nodes(elems: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """The node table of elements (with ``section_no``); with ``header`` elements also their styles."""
-    runs = _owned_runs(elems)
+    elems = kept(elems)
+    runs = kept(_owned_runs(elems))
     t = elems.where("tag = 't'").select(*SECTION, F.col("parent_pos").alias("run_pos"), F.col("pos").alias("t_pos"), F.coalesce("text", F.lit("")).alias("t_text"))
     pieces = runs.join(t, [*SECTION, "run_pos"], "left")
     ordered = lambda at, value: F.transform(F.sort_array(F.collect_list(F.when(F.col(at).isNotNull(), F.struct(at, value)))), lambda s: s[value])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from quiremill.operators import joins as J
 from quiremill.operators import mutate as M
 from quiremill.operators import render as R
 from quiremill.operators import sequence as S
+from quiremill.operators.keep import kept
 from quiremill.operators.nodes import SECTION, chunks, for_model, merged_chunks, nodes, planned_chunks, with_global_ids
 from quiremill.operators.styles import centre_paragraph
 from quiremill.sources import html as H
@@ -44,22 +44,17 @@ class Options:
         return cls(**{f: of(f, getattr(cls, f)) for f in cls.__dataclass_fields__})
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Kept in memory and on disk: what many joins use is computed once, and plans stay small. A lost part is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 class Package:
     """The tables of some packages: entries, elements of sections and headers, nodes."""
 
     def __init__(self, entries: DataFrame):
         self.entries = entries
-        self.sections = _kept(P.sections(entries))
-        self.elems = _kept(E.elements(self.sections, ("section_no", "entry_pos", "compress_type")))
-        self.header = _kept(E.elements(P.header(entries)))
+        self.sections = kept(P.sections(entries))
+        self.elems = kept(E.elements(self.sections, ("section_no", "entry_pos", "compress_type")))
+        self.header = kept(E.elements(P.header(entries)))
 
     def nodes(self, styles: bool = True) -> DataFrame:
-        return _kept(with_global_ids(nodes(self.elems, self.header if styles else None)))
+        return kept(with_global_ids(nodes(self.elems, self.header if styles else None)))
 
     def repacked(self, elems: DataFrame, more: DataFrame | None = None) -> DataFrame:
         """(doc_id, content) with sections written from ``elems`` and ``more`` entries put in the place of those of the same name."""
@@ -92,21 +87,21 @@ def generate(entries: DataFrame, analyse: N.Annotator, fill: N.Annotator, topic:
     pkg = Package(entries)
     table = pkg.nodes()
     chunk_of = chunked(table, plan, options.most_nodes)
-    shown = _kept(N.prompts(for_model(table), chunk_of))
-    analysed, filled = _kept(analyse.annotate(shown)), _kept(fill.annotate(shown))
-    notes = _kept(N.last_note(N.with_pairs(N.analysis(analysed), table)))
-    kept = J.fillable(N.fills(filled), notes.select(*SECTION, "id", "category", "action", "skip_fill"), SECTION)
-    texts, requests = N.picture_requests(table, kept, notes, topic, options.pictures and pictures is not None)
+    shown = kept(N.prompts(for_model(table), chunk_of))
+    analysed, filled = kept(analyse.annotate(shown)), kept(fill.annotate(shown))
+    notes = kept(N.last_note(N.with_pairs(N.analysis(analysed), table)))
+    written = J.fillable(N.fills(filled), notes.select(*SECTION, "id", "category", "action", "skip_fill"), SECTION)
+    texts, requests = N.picture_requests(table, written, notes, topic, options.pictures and pictures is not None)
 
-    elems = _kept(M.filled(pkg.elems, table, texts.select(*SECTION, F.col("id").alias("nid"), "new_text")))
+    elems = kept(M.filled(pkg.elems, table, texts.select(*SECTION, F.col("id").alias("nid"), "new_text")))
     more = None
-    have = _kept(requests.join(pictures.select(*SECTION, "nid", "seq", "body"), [*SECTION, "nid", "seq"])) if pictures is not None else None
+    have = kept(requests.join(pictures.select(*SECTION, "nid", "seq", "body"), [*SECTION, "nid", "seq"])) if pictures is not None else None
     if have is not None:
         elems, more = _illustrated(pkg, elems, table, have)
     by_id = table.select(*SECTION, F.col("nid").alias("id"), "table_idx")
     done = (have if have is not None else requests.limit(0)).select(*SECTION, F.col("nid").alias("id"))
     gone = J.deletions(notes.where("delete or category = 'instruction'"), notes.where("delete_if_no_image"), done, by_id.where("table_idx < -1"), SECTION)
-    elems = _kept(M.deleted_paragraphs(elems, M.node_paragraphs(table, gone.withColumnRenamed("id", "nid"))))
+    elems = kept(M.deleted_paragraphs(elems, M.node_paragraphs(table, gone.withColumnRenamed("id", "nid"))))
     cells = gone.join(by_id.where("table_idx >= 0"), [*SECTION, "id"]).select(*SECTION, "table_idx")
     marked = notes.where("delete").join(by_id, [*SECTION, "id"]).where("table_idx >= 0").select(*SECTION, "table_idx")
     elems = M.deleted_tables(elems, N.removed_tables(analysed).select(*SECTION, "table_idx").unionByName(marked).unionByName(cells), table)
@@ -123,8 +118,9 @@ def _illustrated(pkg: Package, elems: DataFrame, table: DataFrame, have: DataFra
     rows = S.allocated(numbered, used("pic", "id", "__i"), SECTION, "__i", ["nid", "seq"], "pic_id")
     rows = S.allocated(rows, used("pic", "instid", "__i"), SECTION, "__i", ["nid", "seq"], "inst_id")
     rows = S.allocated(rows, used("p", "id", "__i"), SECTION, "__i", ["nid", "seq"], "paragraph_id")
-    rows = _kept(rows)
-    out = _kept(M.with_pictures(elems, table, rows, centre_paragraph(pkg.header)))
+    rows = kept(rows)
+    inserts = rows.select(*SECTION, "nid", "seq", "item", "width_px", "ratio", "caption", "pic_id", "inst_id", "paragraph_id")
+    out = kept(M.with_pictures(elems, table, inserts, centre_paragraph(pkg.header)))
     files = rows.select("doc_id", "entry", "body")
     return out, files.unionByName(_manifests(pkg, rows))
 
@@ -136,7 +132,7 @@ def _manifests(pkg: Package, rows: DataFrame) -> DataFrame:
         ("Contents/content.hpf", "manifest", "item", (("id", "item"), ("href", "entry"), ("media-type", "media"), ("isEmbeded", None))),
         ("META-INF/manifest.xml", "manifest", "file-entry", (("full-path", "entry"), ("media-type", "media"))),
     ):
-        tree = _kept(M.with_place(E.elements(pkg.entries.where(F.col("entry") == name))))
+        tree = kept(M.with_place(E.elements(pkg.entries.where(F.col("entry") == name))))
         keys = ["id", "href"] if item == "item" else ["full-path"]
         old = tree.where(F.col("tag") == item).select("doc_id", *(E.attribute(k).alias(k.replace("-", "_")) for k in keys))
         source = dict(pairs)
@@ -165,9 +161,9 @@ def save_from_html(entries: DataFrame, edited: DataFrame, compat: bool = False,
     found = found.join(checked.where("__ok is null").select("doc_id"), "doc_id", "left_semi")
     texts = found.where(F.col("new_text").isNotNull()).join(table.select(*SECTION, "nid", "gid"), ["doc_id", "gid"])
     shown = table.join(edited.select("doc_id"), "doc_id", "left_semi")
-    found = _kept(found)
+    found = kept(found)
     elems = M.without_tables(pkg.elems, M.orphan_tables(shown, found.select("doc_id", "gid"), scope))
-    return pkg.repacked(M.filled(_kept(elems), table, texts.select(*SECTION, "nid", "new_text")))
+    return pkg.repacked(M.filled(kept(elems), table, texts.select(*SECTION, "nid", "new_text")))
 
 
 def to_html(entries: DataFrame, lines: bool = False, ids: bool = True) -> DataFrame:
@@ -178,7 +174,7 @@ def to_html(entries: DataFrame, lines: bool = False, ids: bool = True) -> DataFr
 
 def edit_page(entries: DataFrame, number: int, answers: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(page (doc_id, page), edits (doc_id, seq, target, new_text)): what a model proposed for one page (doc_id, answer), resolved to nodes."""
-    pages = _kept(H.page(to_html(entries, lines), ["doc_id"], number))
+    pages = kept(H.page(to_html(entries, lines), ["doc_id"], number))
     cells = td_rows(pages.select("doc_id", F.col("page").alias("html")))
     labels = J.label_values(cells, ["doc_id"], ["row_no"], "cell_no")
     on_page = H.owned_text(pages.select("doc_id", F.col("page").alias("html")), ["doc_id"]).select("doc_id", F.col("id").try_cast("long").alias("id")).where("id is not null")

@@ -14,7 +14,11 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.shuffle.partitions", "1")
+        # tables of a few rows: one job without compiled stages takes the least time
+        .config("spark.sql.adaptive.enabled", "false")
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -172,7 +172,7 @@ def test_pages_break_where_positions_fall_back(spark):
 
 
 def test_rendered_html_and_merge_of_edits(spark):
-    two = section(p(run(PAGE), run(t("first ")), lines=[(0, 0, 1000)]), p(run(GRID)), p(run(t("second <"), char="9"), lines=[(0, 40000, 1000)]), p(run(t("next page")), lines=[(0, 0, 1000)]))
+    two = section(p(run(PAGE), run(t("first ")), lines=[(0, 0, 1000)]), p(run(GRID)), p(run(t("second &lt;"), char="9"), lines=[(0, 40000, 1000)]), p(run(t("next page")), lines=[(0, 0, 1000)]))
     pkg_rows = pk.entries(frame(spark, package(two)))
     doc = office.to_html(pkg_rows).first().html
     pages = re.findall(r'<div class="page".*?(?=<div class="page"|</body>)', doc, re.S)
@@ -217,10 +217,10 @@ def test_generate(spark):
 
 def test_edit_page(spark):
     rows = pk.entries(frame(spark, package(section(p(run(tbl(tc(0, 0, p(run(t("Dept")))) + tc(0, 1, p(run(t("x")))), tc(1, 0, p(run(t("Dept")))) + tc(1, 1, p(run(t("y"))))))), p(run(t("end")))))))
-    answer = json.dumps({"edits": [{"label": " Dept ", "new_text": "<b>A</b>"}, {"id": 2, "new_text": "moved"}, {"id": 4, "new_text": "b<br>c"}, {"id": 99, "new_text": "off"}, {"id": 4}]})
+    answer = json.dumps({"edits": [{"label": " Dept ", "new_text": "<b>A</b>"}, {"id": 2, "new_text": "moved"}, {"id": 5, "new_text": "b<br>c"}, {"id": 99, "new_text": "off"}, {"id": 5}]})
     pages, edits = office.edit_page(rows, 1, spark.createDataFrame([("doc0", answer)], "doc_id string, answer string"))
     assert pages.first().page.startswith('<div class="page"')
-    assert sorted((r.seq, r.target, r.new_text) for r in edits.collect()) == [(0, 3, "A"), (1, 3, "moved"), (2, 4, "b\nc")]
+    assert sorted((r.seq, r.target, r.new_text) for r in edits.collect()) == [(0, 3, "A"), (1, 3, "moved"), (2, 5, "b\nc")]
 
 
 def test_files_stream_and_settings(spark, tmp_path):
@@ -236,7 +236,7 @@ def test_files_stream_and_settings(spark, tmp_path):
 
 
 def test_nodes_as_html(spark):
-    rows = render.nodes_html(opened(spark, section(p(run(t("a<b"))), p(run(tbl(tc(0, 0, p(run(t("w"))), cs=2), tc(1, 1, p(run(t("v"))))))))).nodes())
+    rows = render.nodes_html(opened(spark, section(p(run(t("a&lt;b"))), p(run(tbl(tc(0, 0, p(run(t("w"))), cs=2), tc(1, 1, p(run(t("v"))))))))).nodes())
     text = rows.first().html
     assert text.startswith('<p data-id="0" data-depth="0"') and "a&lt;b</p>" in text
     assert re.findall(r'<td data-id="(\d*)"', text) == ["1", "", "2"] and 'colspan="2"' in text and 'data-size="100x20mm"' in text
