@@ -28,7 +28,11 @@ def alternating(sequence: Column) -> Column:
     return F.when(F.size(sequence) >= 6, (F.size(F.array_distinct(sequence)) == 2) & fits).otherwise(F.lit(False))
 
 
-def table_summaries(cells: DataFrame, by: Keys, header_rows: int = 3, span_label: str = "({}열병합)") -> DataFrame:
+#: What follows the text of a header cell over several columns (a fixed value).
+SPAN_LABEL = "({}열병합)"
+
+
+def table_summaries(cells: DataFrame, by: Keys, header_rows: int = 3, span_label: str = SPAN_LABEL) -> DataFrame:
     """One row per table from its cells (row_no: physical row from 0, cell_no within it, texts, col_span, width, border_id).
 
     Header texts come from the first ``header_rows`` rows; the measures from the rows after them (of tables without such, from

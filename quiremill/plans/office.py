@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiremill.operators import annotate as N
@@ -44,12 +44,22 @@ class Options:
         return cls(**{f: of(f, getattr(cls, f)) for f in cls.__dataclass_fields__})
 
 
+def settings_file(text: str, environ: dict[str, str]) -> dict[str, str]:
+    """``environ`` with the ``NAME=value`` lines of a settings file; what the environment has already wins."""
+    found = {}
+    for line in text.splitlines():
+        name, eq, value = line.strip().partition("=")
+        if eq and name and not name.startswith("#"):
+            found[name.strip()] = value.strip().strip("'\"")
+    return found | environ
+
+
 class Package:
     """The tables of some packages: entries, elements of sections and headers, nodes."""
 
     def __init__(self, entries: DataFrame):
         self.entries = entries
-        self.sections = kept(P.sections(entries))
+        self.sections = kept(P.sections(entries, required=True))
         self.elems = kept(E.elements(self.sections, ("section_no", "entry_pos", "compress_type")))
         self.header = kept(E.elements(P.header(entries)))
 
@@ -172,6 +182,13 @@ def to_html(entries: DataFrame, lines: bool = False, ids: bool = True) -> DataFr
     return R.documents(R.pages(pkg.elems, pkg.header, pkg.nodes(styles=False) if ids else None, lines))
 
 
+def convert(spark: SparkSession, path: str, out: str, lines: bool = False, glob: str = "*.hwpx") -> DataFrame:
+    """(doc_id, path): every package below a path as an HTML file of its name in the folder ``out``."""
+    pages = to_html(P.read(spark, path, glob), lines, ids=False)
+    name = F.concat(F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"\.[^.]*$", ""), F.lit(".html"))
+    return P.write(pages.select("doc_id", F.encode("html", "UTF-8").alias("content")), out, name)
+
+
 def edit_page(entries: DataFrame, number: int, answers: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(page (doc_id, page), edits (doc_id, seq, target, new_text)): what a model proposed for one page (doc_id, answer), resolved to nodes."""
     pages = kept(H.page(to_html(entries, lines), ["doc_id"], number))

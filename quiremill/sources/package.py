@@ -56,8 +56,11 @@ def contents_folder(all_entries: DataFrame) -> DataFrame:
     return top.groupBy("doc_id").agg(F.min_by("folder", F.struct((F.col("folder") != "Contents").cast("int"), "folder")).alias("folder"))
 
 
-def sections(all_entries: DataFrame) -> DataFrame:
-    """Section entries with ``section_no``: those of the contents folder, else of the whole package; by number, then name."""
+def sections(all_entries: DataFrame, required: bool = False) -> DataFrame:
+    """Section entries with ``section_no``: those of the contents folder, else of the whole package; by number, then name.
+
+    ``required`` makes a package without any an error.
+    """
     base = F.element_at(F.split("entry", "/"), -1)
     found = all_entries.where(F.rlike(base, F.lit(r"(?i)^section.*\.xml"))).join(contents_folder(all_entries), "doc_id", "left")
     inside = F.coalesce(_folder() == F.col("folder"), F.lit(False))
@@ -67,7 +70,11 @@ def sections(all_entries: DataFrame) -> DataFrame:
     kept = found.withColumn("__in", inside).withColumn("__any", F.max(F.col("__in").cast("int")).over(doc)).where(F.col("__in") | (F.col("__any") == 0))
     number = F.regexp_extract(base, r"(?i)section([0-9]+)\.xml", 1).try_cast("int")
     order = Window.partitionBy("doc_id").orderBy(number.asc_nulls_last(), "entry")
-    return kept.withColumn("section_no", F.row_number().over(order) - 1).drop("__in", "__any", "folder")
+    out = kept.withColumn("section_no", F.row_number().over(order) - 1).drop("__in", "__any", "folder")
+    if not required:
+        return out
+    found = all_entries.select("doc_id").distinct().join(out, "doc_id", "left")
+    return found.where(F.assert_true(F.col("entry").isNotNull(), F.concat(F.lit("no section in "), "doc_id")).isNull())
 
 
 def header(all_entries: DataFrame) -> DataFrame:
