@@ -11,7 +11,7 @@ so any passage of ``least`` words retains a suffix inside it, at the same place
    the left, ``least`` words from the minimiser on). They are sorted by gram and following words, over
    ranges of even size: equal keys are split by document, so a very common passage fills no task.
 3. Each suffix is compared with its nearest neighbours from other documents on either side in that
-   order, and the match is extended to the left and right; one of ``least`` words or more marks its span
+   order (the nearest at any distance, and those up to ``REACH`` rows away), and the match is extended to the left and right; one of ``least`` words or more marks its span
    in both documents. First and last suffixes of each range meet those of the next range in a
    second, small pass.
 4. A document's spans are joined where they touch. Minimisers inside a longer passage are at most a
@@ -35,6 +35,9 @@ from quiremill.llm.words import Words, runs
 
 #: Words beyond either end of a text, one kind for each end and document: they match nothing.
 _EDGE = np.uint64(0)
+#: Rows on either side that a suffix is compared with, besides the nearest of another document: the nearest one's words
+#: after the minimiser agree furthest, but another's may agree before it as well.
+REACH = 6
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
@@ -87,9 +90,11 @@ def _compare(table, least: int):
     right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), ">u8").reshape(table.num_rows, -1) for c in ("right", "left"))
     before = _neighbours(docs)
     out = []
-    rows, partner, a, z = _matched(docs, left, right, keys, before, least)
-    for who in (rows, partner):
-        out.append(np.stack([docs[who], at[who] - a, at[who] + z], axis=1))
+    steps = [np.arange(len(docs)) - d for d in range(1, REACH + 1)]
+    for other in (before, *(np.where((j >= 0) & (docs[j] != docs) & (j != before), j, -1) for j in steps)):
+        rows, partner, a, z = _matched(docs, left, right, keys, other, least)
+        for who in (rows, partner):
+            out.append(np.stack([docs[who], at[who] - a, at[who] + z], axis=1))
     # the neighbour after a row is the row whose neighbour before it is in its document, unless several rows of one document stand together
     after = len(docs) - 1 - _neighbours(docs[::-1])[::-1]
     rows, _, a, z = _matched(docs, left, right, keys, np.where(after < len(docs), after, -1), least)
@@ -169,9 +174,9 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
             return table
         if front:
             other = np.flatnonzero(ids != ids[0])
-            return table.slice(0, int(other[0]) + 1 if len(other) else len(ids))
+            return table.slice(0, max(int(other[0]) + 1, REACH) if len(other) else len(ids))
         other = np.flatnonzero(ids != ids[-1])
-        return table.slice(int(other[-1]) if len(other) else 0)
+        return table.slice(max(0, min(int(other[-1]), len(ids) - REACH)) if len(other) else 0)
 
     shape_out = {"is_edge": "boolean", "key": "long", "doc_id": "long", "at": "long", "left": "binary", "right": "binary", "end": "long"}
     compared = staged(dealt.mapInArrow(compare, ", ".join(f"{k} {v}" for k, v in shape_out.items())), "suffix-compared")
