@@ -32,3 +32,9 @@ def kept(df: DataFrame) -> DataFrame:
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._quiremill_kept = True
     return out
+
+
+def as_kept(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, a mere projection of ``table``, which need not be written if that is."""
+    df._quiremill_kept = getattr(table, "_quiremill_kept", False)
+    return df

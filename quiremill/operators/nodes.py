@@ -93,7 +93,8 @@ def nodes(elems: DataFrame, header: DataFrame | None = None) -> DataFrame:
     both = both.withColumn("skip_fill", (F.col("text") == "") & F.when(F.col("is_body"), F.col("depth") == 0).otherwise(spacer))
     both = S.numbered(both, SECTION, ["top_pos", "is_body", "owner"], "nid")
     if header is not None:
-        both = J.cascade(both, ["doc_id"], *(dimension(header, k) for k in ("style", "charPr", "paraPr")))
+        header = kept(header)
+        both = J.cascade(both, ["doc_id"], *(kept(dimension(header, k)) for k in ("style", "charPr", "paraPr")))
         both = both.withColumn("style_summary", X.style_summary(F.col("style_name"), F.col("char"), F.col("para")))
     else:
         both = both.withColumns({"style_name": F.lit(None).cast("string"), "style_summary": F.lit(""), "style_missing": F.lit(None).cast("map<string,string>")})

@@ -124,14 +124,14 @@ def char_css(header: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("id"), "pos", F.filter(entries, lambda e: e["value"].isNotNull()).alias("css")).groupBy("doc_id", "id").agg(F.max_by("css", "pos").alias("css"))
 
 
-def para_css(header: DataFrame) -> DataFrame:
+def para_css(header: DataFrame, borders: DataFrame | None = None) -> DataFrame:
     """(doc_id, id, css): entries of the paragraph styles in their fixed order."""
     own = header.where("tag = 'paraPr'").select("doc_id", "pos", attribute("id").alias("id"))
     out = own.join(_child(header, "align", has_align=F.lit(True), horizontal=attribute("horizontal")), ["doc_id", "pos"], "left")
     out = out.join(_child(header, "lineSpacing", space_type=attribute("type"), space=attribute("value")), ["doc_id", "pos"], "left")
     offsets = {f"off_{s.lower()}": U.px(U.units_to_px(attribute(f"offset{s}"))) for s in ("Top", "Right", "Bottom", "Left")}
     out = out.join(_child(header, "border", fill_id=attribute("borderFillIDRef"), **offsets), ["doc_id", "pos"], "left")
-    fills = border_fills(header).select("doc_id", F.col("id").alias("fill_id"), border_css().alias("border"))
+    fills = (border_fills(header) if borders is None else borders).select("doc_id", F.col("id").alias("fill_id"), border_css().alias("border"))
     out = out.join(fills, ["doc_id", "fill_id"], "left")
     align = F.when(F.col("has_align"), F.when(F.col("horizontal") == "CENTER", "center").when(F.col("horizontal") == "RIGHT", "right").otherwise("left"))
     height = F.when((F.col("space_type") == "PERCENT") & F.rlike("space", F.lit("^[0-9]+$")), F.concat(F.col("space").try_cast("long").cast("string"), F.lit("%"))).when(F.col("space_type") == "FIXED", U.px(U.units_to_px(F.col("space"))))
