@@ -14,7 +14,12 @@ so any passage of ``least`` words retains a suffix inside it, at the same place
    order (the nearest at any distance, and those up to ``REACH`` rows away), and the match is extended to the left and right; one of ``least`` words or more marks its span
    in both documents. First and last suffixes of each range meet those of the next range in a
    second, small pass.
-4. A document's spans are joined where they touch. Minimisers inside a longer passage are at most a
+4. In a group of more rows, a partner whose words agree before the gram too can stand further away than
+   these. There each window of ``least`` words around the minimiser goes by its hash to the others that
+   are equal, but for those that the nearest neighbours' right match shows to be in one document, and
+   those found equal to an earlier row's, which speaks for them (``met`` says that it has met one).
+   Windows in two documents are spans.
+5. A document's spans are joined where they touch. Minimisers inside a longer passage are at most a
    window apart, so its spans cover it from end to end.
 
 A document that repeats a passage only within itself has no span.
@@ -31,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiremill.llm._common import sliced, staged
-from quiremill.llm.words import Words, runs
+from quiremill.llm.words import _ODD, Words, mixed, runs
 
 #: Words beyond either end of a text, one kind for each end and document: they match nothing.
 _EDGE = np.uint64(0)
 #: Rows on either side that a suffix is compared with, besides the nearest of another document: the nearest one's words
-#: after the minimiser agree furthest, but another's may agree before it as well.
+#: after the minimiser agree furthest, but another's may agree before it as well. Partners further away are found by windows.
 REACH = 6
 
 
@@ -59,8 +64,8 @@ def _retained(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np
     return at, grams[at]
 
 
-def _matched(docs: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.ndarray, other: np.ndarray, least: int):
-    """Rows whose match with the row ``other`` (-1: none) has ``least`` words, and the match's reach to the left and right."""
+def _matched(left: np.ndarray, right: np.ndarray, keys: np.ndarray, other: np.ndarray):
+    """Rows whose gram is that of the row ``other`` (-1: none), that row, and the match's reach to the left and right."""
     rows = np.flatnonzero(other >= 0)
     rows = rows[keys[rows] == keys[other[rows]]]
     partner = other[rows]
@@ -69,9 +74,7 @@ def _matched(docs: np.ndarray, left: np.ndarray, right: np.ndarray, keys: np.nda
         same = (side[rows] == side[partner]) & (side[rows] != _EDGE)
         return np.where(same.all(axis=1), side.shape[1], same.argmin(axis=1))
 
-    a, z = reach(left), reach(right)
-    ok = a + z >= least
-    return rows[ok], partner[ok], a[ok], z[ok]
+    return rows, partner, reach(left), reach(right)
 
 
 def _neighbours(docs: np.ndarray) -> np.ndarray:
@@ -82,24 +85,69 @@ def _neighbours(docs: np.ndarray) -> np.ndarray:
     return np.where(at > 0, change[np.maximum(at - 1, 0)], -1) if len(change) else np.full(n, -1)
 
 
+def _bits(low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
+    """Numbers whose bits ``low`` to ``high``, of ``width``, are set."""
+    one = np.int64(1)
+    return np.where(high >= low, (one << np.clip(high + 1, 0, width)) - (one << np.clip(low, 0, width)), 0)
+
+
 def _compare(table, least: int):
-    """Spans (doc_id, start, end) from sorted suffixes with their contexts."""
+    """From sorted suffixes with their contexts: spans (doc_id, start, end), and windows (hash, doc_id, start, met) whose partners may stand further away."""
     if not table.num_rows:
-        return np.empty((0, 3), np.int64)
+        return np.empty((0, 3), np.int64), np.empty((0, 4), np.int64)
     keys, docs, at = (table.column(c).to_numpy() for c in ("key", "doc_id", "at"))
     right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), ">u8").reshape(table.num_rows, -1) for c in ("right", "left"))
+    n, width = len(docs), left.shape[1]
     before = _neighbours(docs)
+    # the neighbour after a row is the row whose neighbour before it is in its document, unless several rows of one document stand together
+    after = n - 1 - _neighbours(docs[::-1])[::-1]
+    after = np.where(after < n, after, -1)
     out = []
-    steps = [np.arange(len(docs)) - d for d in range(1, REACH + 1)]
-    for other in (before, *(np.where((j >= 0) & (docs[j] != docs) & (j != before), j, -1) for j in steps)):
-        rows, partner, a, z = _matched(docs, left, right, keys, other, least)
-        for who in (rows, partner):
+    # bit s is for the window that begins s words before the minimiser: met in another document, and in that of a row before
+    met, earlier, furthest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    steps = [np.arange(n) - d for d in range(1, REACH + 1)]
+    for turn, other in enumerate((before, after, *(np.where((j >= 0) & (docs[j] != docs) & (j != before), j, -1) for j in steps))):
+        rows, partner, a, z = _matched(left, right, keys, other)
+        furthest[rows] = np.maximum(furthest[rows], z)
+        ok = a + z >= least
+        rows, partner, a, z = rows[ok], partner[ok], a[ok], z[ok]
+        bits = _bits(least - z, np.minimum(a, width - 1), width)
+        met[rows] |= bits
+        if turn != 1:
+            earlier[rows] |= bits
+            np.bitwise_or.at(met, partner, bits)
+        for who in (rows, partner) if turn != 1 else (rows,):
             out.append(np.stack([docs[who], at[who] - a, at[who] + z], axis=1))
-    # the neighbour after a row is the row whose neighbour before it is in its document, unless several rows of one document stand together
-    after = len(docs) - 1 - _neighbours(docs[::-1])[::-1]
-    rows, _, a, z = _matched(docs, left, right, keys, np.where(after < len(docs), after, -1), least)
-    out.append(np.stack([docs[rows], at[rows] - a, at[rows] + z], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
+    return np.unique(np.concatenate(out), axis=0), _windows(keys, docs, at, left, right, before, after, met, earlier, furthest, least)
+
+
+def _windows(keys, docs, at, left, right, before, after, met, earlier, furthest, least: int) -> np.ndarray:
+    n, width = left.shape
+    change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    bounds = np.concatenate([[0], change, [n]])
+    group = np.searchsorted(change, np.arange(n), "right")
+    first, last = bounds[group], bounds[group + 1]
+    # rows of a small group have all met one another; one at the table's border may go on beyond it
+    large = (first == 0) | (last == n) | (last - first > REACH + 1)
+    unknown = ((first == 0) & (before < 0)) | ((last == n) & (after < 0))
+    words = lambda side: np.where((side == _EDGE).any(axis=1), (side == _EDGE).argmax(axis=1), side.shape[1])
+    reach = np.minimum(np.where(unknown, least, furthest), words(right))
+    wanted = np.where(large, _bits(least - reach, np.minimum(words(left), width - 1), width) & ~earlier, 0)
+    rows = np.flatnonzero(wanted)
+    if not len(rows):
+        return np.empty((0, 4), np.int64)
+    around = np.concatenate([left[rows, ::-1], right[rows]], axis=1).astype(np.uint64)
+    sums = np.zeros((around.shape[1] + 1, len(rows)), np.uint64)
+    for j in range(around.shape[1]):
+        sums[j + 1] = sums[j] * _ODD + around[:, j]
+    power = np.uint64(pow(int(_ODD), least, 1 << 64))
+    out = []
+    for s in range(width):
+        some = np.flatnonzero(wanted[rows] >> s & 1)
+        who, begin = rows[some], width - s
+        value = mixed(sums[begin + least, some] - sums[begin, some] * power)
+        out.append(np.stack([value.view(np.int64), docs[who], at[who] - s, met[who] >> s & 1], axis=1))
+    return np.concatenate(out)
 
 
 def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
@@ -145,7 +193,7 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
     dealt = staged(suffixes, "suffix-contexts").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches):
-        """Spans (is_edge false), and each range's suffixes that its neighbours must see (is_edge true)."""
+        """Spans (is_edge false), each range's suffixes that its neighbours must see (is_edge true), and windows (is_edge null; key: hash, end: met)."""
         import pyarrow as pa
 
         held, first = None, True
@@ -160,9 +208,13 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
             if first:
                 yield rows_of(_ends(table, True), True)
                 first = False
-            spans = _compare(table, least)
+            spans, windows = _compare(table, least)
             n = len(spans)
             yield pa.RecordBatch.from_arrays([pa.array([False] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(spans[:, 2])], list(shape_out))
+            for k in range(0, len(windows), 65536):
+                some = windows[k : k + 65536]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.bool_()), *(pa.array(some[:, j]) for j in range(3)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(some[:, 3])], list(shape_out))
             held = _ends(table, False)
         if held is not None:
             yield rows_of(held, True)
@@ -188,13 +240,17 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
         held = None
         for b in batches:
             table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
-            spans = _compare(table, least)
+            spans, _ = _compare(table, least)
             yield pa.RecordBatch.from_arrays([pa.array(spans[:, k]) for k in range(3)], ["doc_id", "at", "end"])
             held = _ends(table, False)
 
     # a few rows for each range
     crossing = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(between, "doc_id long, at long, end long")
-    spans = compared.where("not is_edge").select("doc_id", "at", "end").union(crossing)
+    # windows in two documents, or known to be
+    windows = compared.where("is_edge is null").select("key", "doc_id", "at", F.col("end").alias("met"))
+    shared = staged(windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("met").alias("met")).where("a < z or met = 1").select("key"), "suffix-windows")
+    apart = windows.where("met = 0").join(shared, "key", "left_semi").select("doc_id", "at", (F.col("at") + least).alias("end"))
+    spans = compared.where("not is_edge").select("doc_id", "at", "end").union(crossing).union(apart)
 
     def join(batches):
         import pyarrow as pa

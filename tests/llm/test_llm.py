@@ -322,6 +322,29 @@ def test_repeated_passages(spark):
     assert got == sorted([*((k, 100, 170, 70) for k in (1, 5, 9)), (4, 0, 200, 200), (20, 0, 200, 200)])
 
 
+def test_repeated_passages_that_end_in_a_hot_phrase(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    many = [word() for _ in range(5000)]
+    least = int(suffix_dedup.runs(suffix_dedup.Words().of(" ".join(many)), 20).argmin())
+    phrase, texts, want = many[least : least + 20], {}, []  # a gram that is nearly always the only minimiser around
+    for k in range(0, 80, 2):  # rare text before the phrase, shared by two documents; longer ones have a left edge to lose
+        rare = [word() for _ in range(30 + k % 3 * 10)]
+        for d in (k, k + 1):
+            texts[d] = [word() for _ in range(60)] + rare + phrase + [word() for _ in range(60)]
+            want.append((d, 60, 80 + len(rare), 20 + len(rare)))
+    for d in range(80, 200):
+        texts[d] = [word() for _ in range(60)] + phrase + [word() for _ in range(60)]
+    line = [word() for _ in range(50)]
+    for k in range(200, 260, 2):  # a hot line behind rare text
+        rare = [word() for _ in range(25)]
+        for d in (k, k + 1):
+            texts[d] = [word() for _ in range(40)] + rare + line
+            want.append((d, 40, 115, 75))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string").repartition(4)
+    assert sorted(tuple(x) for x in suffix_dedup.repeated(df).collect()) == want
+
+
 def test_repeated_passages_of_odd_rows(odd, empty):
     got = {r.doc_id: (r.start_word, r.end_word) for r in suffix_dedup.repeated(odd).collect()}
     assert got == {6: (0, 30000), 7: (0, 30000)} and suffix_dedup.repeated(empty).count() == 0
