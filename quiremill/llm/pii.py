@@ -12,7 +12,8 @@ each of these, anywhere in the whole text, are decoded and all other tokens are
 only if they pass the same tests as base spans (digits, Luhn, octets) and overlap no base span.
 
 Defined results: null and empty texts have no spans; offsets are code points; very long texts are
-scanned in one linear pass; windows are decoded in blocks of bounded size; other columns are ignored.
+scanned in one linear pass; windows that touch are one, of any length; windows are decoded in blocks of
+bounded size, a longer one alone, in room in proportion to its length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,6 +86,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the field -------------------------------------------------------------------------------
 
 MARGIN = 48
+#: Tokens of the windows that are decoded together.
+BLOCK = 1 << 19
 _ANCHOR = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|[\d_]")
 #: Words that carry a hint, by group (fixed values).
@@ -191,15 +194,19 @@ class Field:
 
     def decode(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels [window, token] by Viterbi, all windows at once; windows begin and end beside O."""
-        score = self.scores(symbols)
-        n, width, labels = score.shape
-        best, back = score[:, 0] + self.move[0], np.zeros((n, width, labels), np.int8)
+        (n, width), labels = symbols.shape, len(self.move)
+        padded, back = np.pad(symbols, ((0, 0), (2, 2))), np.zeros((n, width, labels), np.int8)
         finals = np.zeros((n, labels))
-        for t in range(1, width):
+        for t in range(width):
+            if t % 512 == 0:  # scores of a block of tokens at a time, with the two on either side
+                score = self.scores(padded[:, t : t + 516])[:, 2:-2]
+            if t == 0:
+                best = score[:, 0] + self.move[0]
+                continue
             finals[lengths == t] = best[lengths == t]
             over = best[:, :, None] + self.move[None]
             back[:, t] = over.argmax(axis=1)
-            best = over.max(axis=1) + score[:, t]
+            best = over.max(axis=1) + score[:, t % 512]
         finals[lengths == width] = best[lengths == width]
         now = (finals + self.move[:, 0]).argmax(axis=1)
         out, rows = np.zeros((n, width), np.int8), np.arange(n)
@@ -289,11 +296,11 @@ def _windows(text: str) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1] and b - out[-1][0] <= 4096:
+        if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
-            out.append([max(a, out[-1][1]) if out else a, b])
-    return [(a, b) for a, b in out if a < b]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def _passes(kind: str, span: str) -> bool:
@@ -316,8 +323,13 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
         items += [(k, toks) for a, b in _windows(text) if (toks := tokens(text, a, b))]
     items.sort(key=lambda x: len(x[1]))
     more: list[list] = [[] for _ in texts]
-    for at in range(0, len(items), 512):
+    at = 0
+    while at < len(items):
+        # windows of like length, a bounded number of tokens; a longer one alone
         some = items[at : at + 512]
+        while len(some) > 1 and len(some) * len(some[-1][1]) > BLOCK:
+            some = some[: len(some) // 2]
+        at += len(some)
         lengths = np.array([len(t) for _, t in some])
         symbols = np.zeros((len(some), lengths.max()), np.int64)
         for row, (_, toks) in enumerate(some):

@@ -295,6 +295,24 @@ def test_field_adds_what_patterns_miss():
     assert tuple(field.decode(symbols, np.array([symbols.shape[1]]))[0]) == best
 
 
+def test_field_loses_nothing_in_long_dense_texts():
+    field, r, text, want = pii.fit(), random.Random(6), "", []
+    for _ in range(1500):
+        text += "call " + "".join(r.choice("aeioubcdfg") for _ in range(5)).title() + ": "
+        phone = f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"
+        want.append(("phone", len(text), len(text) + len(phone)))
+        text += phone + ",\n"
+    assert pii.all_spans([text, "call (555) 123-4567"], field)[0][1] == want
+    # scores by blocks of tokens are those of the whole
+    symbols = np.array([[x[0] for x in pii.tokens(text[:30000])]])
+    best, score = None, field.scores(symbols)[0]
+    for t in range(symbols.shape[1]):
+        best = score[t] + (field.move[0] if best is None else (best[:, None] + field.move).max(axis=0))
+    y = field.decode(symbols, np.array([symbols.shape[1]]))[0]
+    path = field.move[0, y[0]] + score[np.arange(len(y)), y].sum() + field.move[y[:-1], y[1:]].sum() + field.move[y[-1], 0]
+    assert abs(path - (best + field.move[:, 0]).max()) < 1e-6
+
+
 def test_pii_of_odd_rows(spark, odd, empty):
     got = {r.doc_id: r for r in pii.found(odd).collect()}
     assert got[8].n_email == 1 and got[8].spans.startswith("email:") and got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
