@@ -15,7 +15,7 @@ with few candidates; ``trees`` and ``share`` are set for a recall of 0.9 or more
 
 Defined results: vectors that are null, empty, zero, or hold null, NaN or infinite components take no
 part, nor do rows with null id; vectors of different lengths are not compared; a row is never its own
-neighbour, and rows with one id are the same row; ties go to the smaller id; fewer candidates than
+neighbour, and rows with one id are the same row, as near as the nearest of them; ties go to the smaller id; fewer candidates than
 ``k`` give fewer rows; an empty table gives none.
 """
 
@@ -105,7 +105,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, s
     """query_id, rank, vec_id, score of each query's ``k`` nearest rows found. ``queries`` has the columns of ``rows``."""
     spark = rows.sparkSession
     pick = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & _usable("vector"))
-    points, asked = pick(rows), pick(queries).dropDuplicates(["vec_id"])
+    points, asked = pick(rows).dropDuplicates(["vec_id", "vector"]), pick(queries).dropDuplicates(["vec_id"])
     total = points.count()
     shards = max(1, -(-total // most_shard_rows), min(-(-total // shard_rows), 2 * spark.sparkContext.defaultParallelism))
     dealt = points.repartition(shards)
@@ -130,12 +130,22 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, s
                 unit = matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
                 asked = query / np.sqrt((query * query).sum(axis=1))[:, None]
                 forest = Forest(unit, trees, share)
+                distinct, number = np.unique(name, return_inverse=True)
+                closest = np.empty(len(distinct))
                 out: tuple[list, list, list] = ([], [], [])
                 for q, some in enumerate(forest.candidates(asked)):
                     some = some[name[some] != query_ids[q]]
+                    repeated = len(distinct) < len(name)
+                    if repeated and len(some) < len(name) and len(np.unique(number[some])) < k:  # a few ids' rows were all that was found
+                        some = np.flatnonzero(name != query_ids[q])
                     rough = np.einsum("ij,j->i", unit[some], asked[q])
-                    if len(some) > k:
-                        some = some[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+                    most = rough
+                    if repeated:  # the best row of each id
+                        closest.fill(-2)
+                        np.maximum.at(closest, number[some], rough)
+                        most = closest
+                    if len(most) > k:
+                        some = some[rough >= np.partition(most, len(most) - k)[len(most) - k] - 1e-9]
                     exact = (matrix[some] * query[q]).sum(axis=1) / (np.sqrt((matrix[some] * matrix[some]).sum(axis=1)) * np.sqrt((query[q] * query[q]).sum()))
                     best, seen = [], set()
                     for j in np.lexsort((name[some], -exact)).tolist():
@@ -146,6 +156,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, s
 
         part = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
         found.append(part if blocks == 1 else staged(part, "ann-block"))
-    merged = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if blocks > 1 else found[0].dropDuplicates(["query_id", "vec_id"])
+    merged = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

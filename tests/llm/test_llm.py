@@ -75,6 +75,14 @@ def test_nearest_on_odd_vectors(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_with_repeated_rows(spark):
+    rows = [(50, [1.0, 0.0])] + [(k, [1.0, 0.01 * k]) for k in range(1, 7) for _ in range(8)]
+    rows += [(7, [1.0, 0.001 + 1e-5 * j]) for j in range(3500)]  # one id, many near rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [tuple(r)[:3] for r in ann.nearest(df, df.where("vec_id = 50")).orderBy("rank").collect()]
+    assert out == [(50, 1, 7), (50, 2, 1), (50, 3, 2), (50, 4, 3), (50, 5, 4)]
+
+
 # --- 2
 def check_packing(rows, ids_of):
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
