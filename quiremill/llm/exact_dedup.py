@@ -60,10 +60,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     return rows.join(best, ["text_sha256", "norm_length"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    best = staged(winners(docs, id_col, text_col, salts), "exact-winners").select(F.col("keep_id").alias("__keep_id"))
-    return docs.join(best, docs[id_col].cast("long").eqNullSafe(best["__keep_id"]), "left_semi")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, single: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they were; with ``single`` one row of each group, however often its winner is repeated."""
+    best = staged(winners(docs, id_col, text_col, salts), "exact-winners").select(F.col("keep_id").alias("__keep_id"), F.col("text_sha256").alias("__best_sha256"), F.col("norm_length").alias("__best_length"))
+    norm = normalised(docs[text_col])
+    rows = docs.withColumns({"__sha256": F.sha2(norm, 256), "__length": F.length(norm)})
+    same = (F.col("__sha256") == best["__best_sha256"]) & (F.col("__length") == best["__best_length"]) & F.col(id_col).cast("long").eqNullSafe(best["__keep_id"])
+    kept = rows.join(best, same, "left_semi")
+    if not single:
+        return kept.drop("__sha256", "__length")
+    group = ["__sha256", "__length"]
+    again = staged(kept.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group), "exact-repeated")
+    # only groups whose winner is repeated are combined, first within each task: the longest text, then the least
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    repeats = kept.join(again, group, "left_semi").groupBy(group).agg(F.min_by(whole, F.struct(-F.length(text), text)).alias("row")).select("row.*")
+    return kept.join(again, group, "left_anti").select(docs.columns).union(repeats)
 
 
 #: The same groups as DuckDB SQL.

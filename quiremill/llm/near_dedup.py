@@ -259,6 +259,14 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS,
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, all columns as they were."""
-    keep = linked(docs, **options).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__keep_id"]), "left_semi")
+    """The rows of ``docs`` that stay, one of each component, all columns as they were. Where ids are repeated or null, each row is a document of its own."""
+    docs_id = docs["doc_id"].cast("long")
+    if docs.groupBy(docs_id.alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
+        keep = linked(docs, **options).where("kept").select(F.col("doc_id").alias("__keep_id"))
+        return docs.join(keep, docs_id.eqNullSafe(keep["__keep_id"]), "left_semi")
+    # written, so that a row has one number however often it is read
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-numbered")
+    own = linked(rows.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "__row")
+    keep = own.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(docs.columns)

@@ -416,3 +416,18 @@ def test_pipeline(spark, docs, library):
     assert set(kept) <= {d for d, (_, c) in want.items()} and len({want[d][1] for d in kept}) == len(kept) == len({c for _, c in want.values()})
     ids_of = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in kept.items()}
     check_packing(out.collect(), ids_of)
+
+
+def test_pipeline_keeps_one_row_of_repeated_ones(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(1, "a b c", "x")] * 5 + [(1, "another text", "x"), (2, "abc", "x"), (None, "null a", "x"), (None, "nulla", "x"), (3, "plain", "x"), (None, " plain", "x"), (4, " ".join(words), "x"), (None, near, "x"), (5, "alone", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    exact = corpus_pipeline.exact(spark, df, SF)
+    key = lambda r: (str(r[0]), r[1])
+    want = [(1, "a b c", "x"), (1, "another text", "x"), (None, "null a", "x"), (None, " plain", "x"), (4, " ".join(words), "x"), (None, near, "x"), (5, "alone", "x")]
+    assert exact.columns == df.columns and sorted(map(tuple, exact.collect()), key=key) == sorted(want, key=key)
+    # near copies: rows with repeated and null ids take part, one row each
+    left = corpus_pipeline.near(spark, df.where("doc_id is null or doc_id in (1, 4)"), SF)
+    want = [(1, "a b c", "x"), (1, "another text", "x"), (None, "null a", "x"), (None, "nulla", "x"), (None, " plain", "x"), (4, " ".join(words), "x")]
+    assert left.columns == df.columns and sorted(map(tuple, left.collect()), key=key) == sorted(want, key=key)
