@@ -10,8 +10,8 @@ tables in numpy, and remembered in a table of bounded size.
 What is learned from: a sample of ``docs_per_language`` labelled rows a language in expectation
 (chosen by a hash of the id), of which the ``words_per_language`` commonest words of at most 40
 letters (``words_in_all`` for all languages together) form the automaton's text. These bounds and the number of
-letters a language has bound the broadcast tables. At most
-``most_languages`` values of ``lang``, the commonest, are learned.
+letters a language has bound the broadcast tables. Every value of ``lang`` is learned; beyond 150 of them each has
+``LEAST_WORDS`` words, and the tables grow with their number.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if
 nothing could be learned; ties go to the smaller language value; rows with null lang are scored but
@@ -33,6 +33,8 @@ from quiremill.llm._common import sliced
 UNKNOWN = "und"
 #: Bits a letter beyond which a text counts as none of the learned languages: random letters need about log2 of the automaton's length each.
 MOST_BITS = 9.0
+#: Words a language at least, however many languages there are.
+LEAST_WORDS = 200
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -128,13 +130,13 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, docs_per_language: int = 400, words_per_language: int = 6000, words_in_all: int = 30000, most_languages: int = 24, seed: int = 5) -> Model:
+def fit(docs: DataFrame, docs_per_language: int = 400, words_per_language: int = 6000, words_in_all: int = 30000, seed: int = 5) -> Model:
     """Learn from all given rows that have a language and a text."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return Model({})
-    words_per_language = min(words_per_language, words_in_all // len(counts))
+    words_per_language = min(words_per_language, max(LEAST_WORDS, words_in_all // len(counts)))
     scale = 1 << 40
     below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, scale * docs_per_language // r["n"])))])
     order = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(scale))
@@ -150,7 +152,8 @@ class Scorer:
     """Predictions for texts, with a table of the words seen so far, of bounded size."""
 
     def __init__(self, model: Model, most_words: int = 250_000):
-        self.model, self.most, self.price = model, most_words, np.array(model.bits)
+        # cells of the table are bounded
+        self.model, self.most, self.price = model, most_words * 24 // max(24, len(model.bits)), np.array(model.bits)
         self._forget()
 
     def _forget(self) -> None:
@@ -197,7 +200,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` in one of the learned languages, all columns as they were: not ``und``, and parsed in no more than ``most_bits`` a letter."""
+    """The rows of ``docs`` in one of the learned languages, all columns as they were: not ``und``, and parsed in no more than ``most_bits`` a letter. All rows where nothing was learned."""
+    if not model.languages:
+        return docs
     shipped, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     where = names.index("text")
 

@@ -167,6 +167,17 @@ def test_language_of_odd_rows(docs, odd, empty):
     assert langid.accepted(odd, model).columns == odd.columns
 
 
+def test_every_language_is_learned(spark, odd, empty):
+    r, rows = random.Random(2), []
+    for n in range(30):
+        words = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)]
+        rows += [(100 * n + k, " ".join(r.choices(words, k=40)), f"l{n:02}") for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in langid.identified(df, langid.fit(df)).collect()}
+    assert got == {d: lang for d, _, lang in rows}
+    assert langid.accepted(odd, langid.fit(empty)).count() == len(ODD)  # nothing learned, nothing rejected
+
+
 # --- 4
 _CHARS = "abcdefghijklmnopqrstuvwxyz'.,!-0123456789²½ⅧΣσςİIıſKﬁé日本한😀👍🏽́̈   \x1c\x85\t\n<|>/ABC"
 
