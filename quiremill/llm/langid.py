@@ -1,188 +1,186 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is built; a text is parsed from left to right
-into longest phrases that occur in that text, and the language that needs the fewest phrases, each
-weighed by log2 of its automaton's text length and divided by the letters parsed, wins. Phrases end
-where words end: the phrase count of a word (with the spaces around it) is then a function of the
-word alone, computed for all new words of a batch at once by stepping through dense transition
-tables in numpy, and remembered in a table of bounded size.
-
-What is learned from: a sample of ``docs_per_language`` labelled rows a language in expectation
-(chosen by a hash of the id), of which the ``words_per_language`` commonest words of at most 40
-letters (``words_in_all`` for all languages together) form the automaton's text. These bounds and the number of
-letters a language has bound the broadcast tables. Every value of ``lang`` is learned; beyond 150 of them each has
-``LEAST_WORDS`` words, and the tables grow with their number.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if
-nothing could be learned; ties go to the smaller language value; rows with null lang are scored but
-not learned from; other columns are ignored.
+For each language a suffix automaton of labelled text is built; a text is parsed from left to right into the longest
+phrases that occur in that text, across words, and the language that needs the fewest phrases wins, each phrase weighed by
+log2 of the automaton's text length and divided by the letters parsed. Texts are lower-cased letters and marks, with one
+space for everything between them. They are parsed whole, in stretches of ``STRETCH`` letters at whose ends a phrase ends;
+many stretches go through an automaton's flat tables at a time in numpy.
+
+What is learned from: of each value of ``lang`` about ``docs_per_language`` rows, chosen by a hash of the id, and of each of
+these one passage; together ``letters_per_language`` letters form the automaton's text, and ``letters_in_all`` those of all
+languages (``LEAST_LETTERS`` a language at any rate, so that every value is learned: the broadcast tables are bounded for each
+language, and grow with the number of languages alone). Every letter of these passages is learned, however many there are.
+One passage in five is held back. The most bits a letter that these need, or the language's own letters in random order, are
+taken as what its texts can need; a text counts as none of the learned languages beyond the middle between that and the
+bits of a text whose every letter is unknown.
+
+Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could be
+learned; ties go to the smaller language value; rows with null lang or null or empty text are scored but not learned from;
+rows with null id are learned from like others; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
-import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiremill.llm._common import sliced
+from quiremill.llm.automaton import Packed, suffix_automaton
 
 UNKNOWN = "und"
-#: Bits a letter beyond which a text counts as none of the learned languages: random letters need about log2 of the automaton's length each.
-MOST_BITS = 9.0
-#: Words a language at least, however many languages there are.
-LEAST_WORDS = 200
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-
-
-def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton of a text of symbols 1 to ``symbols`` - 1; -1 where there is none. State 0 is the start."""
-    most = 2 * len(text) + 1
-    step = [[-1] * symbols]
-    link, length = [-1], [0]
-    last = 0
-    for c in text.tolist():
-        cur = len(step)
-        step.append([-1] * symbols)
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and step[p][c] < 0:
-            step[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = step[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                twin = len(step)
-                step.append(step[q][:])
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and step[p][c] == q:
-                    step[p][c] = twin
-                    p = link[p]
-                link[q] = link[cur] = twin
-        last = cur
-    assert len(step) <= most
-    return np.array(step, np.int32)
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+#: Letters parsed in one go.
+STRETCH = 256
+#: Letters that are turned to numbers together; bounds a worker's memory but for single longer texts.
+ROOM = 2_000_000
+LEAST_LETTERS = 2_000
+#: Texts of fewer letters are too short to be told from random ones, and are accepted.
+SURE = 40
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for letters, 2 for marks, 0 for the rest."""
+    first = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    return np.fromiter(({"L": 1, "M": 2}.get(k, 0) for k in first), np.uint8, len(first))
+
+
+def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, begin of each text and the end of the last, whether each has a letter): lower-cased letters and marks, every run of others one space; texts begin with a space."""
+    plain = [" " + t.lower() if t else " " for t in texts]
+    codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(t) for t in plain], np.int64)
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    kind = _kinds()[codes]
+    space = kind == 0
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    keep[begin[:-1]] = True
+    keep[begin[1:-1] - 1] &= ~space[begin[1:-1] - 1] | (lengths[:-1] == 1)  # the next text begins with a space of its own
+    total = np.concatenate([[0], np.cumsum(keep)])
+    has = np.add.reduceat(kind == 1, begin[:-1], dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
+    return np.where(space, np.uint32(32), codes)[keep], total[begin], has
 
 
 class Model:
-    """Languages, and for each its letters (the ``most_letters`` commonest), automaton and text length in bits."""
+    """Languages, and for each its automaton, the bits of a phrase and the most bits a letter of a text in it."""
 
-    def __init__(self, vocabularies: dict[str, list[str]], most_letters: int = 512):
-        self.languages = sorted(vocabularies)
-        self.letters, self.automata, self.bits = [], [], []
+    def __init__(self, passages: dict[str, list[str]], letters_per_language: int = 120_000):
+        self.languages = sorted(passages)
+        self.automata, self.bits, self.most = [], [], []
+        learned, held = {}, {}
         for name in self.languages:
-            text = " " + " ".join(vocabularies[name]) + " "
-            common = {c for c, _ in Counter(text).most_common(most_letters)} | {" "}
-            text = "".join(c if c in common else " " for c in text)
-            self.letters.append(np.array(sorted(ord(c) for c in common), np.uint32))
-            self.automata.append(suffix_automaton(self._symbols(_codes(text), self.letters[-1]), len(common) + 1))
-            self.bits.append(math.log2(len(text) + 1))
-
-    @staticmethod
-    def _symbols(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-        """Numbers of the letters from 1; 0 for those that were not learned."""
-        at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
-        return np.where(letters[at] == codes, at + 1, 0)
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """[word, language]: the phrases that each word, with a space before and behind it, is parsed into."""
-        out = np.zeros((len(words), len(self.languages)), np.int32)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        at = 0
-        while at < len(order):  # blocks of words of like length, a bounded number of letters each
-            some = order[at : at + 8192]
-            while len(some) > 1 and len(some) * len(words[some[-1]]) > 400_000:
-                some = some[: max(1, len(some) // 2)]
-            at += len(some)
-            codes = _codes("".join([f" {words[k]} " for k in some]))
-            lengths = np.array([len(words[k]) + 2 for k in some])
-            begin = np.cumsum(lengths) - lengths
-            for lang, step in enumerate(self.automata):
-                flat = self._symbols(codes, self.letters[lang])
-                state, count = np.zeros(len(some), np.int32), np.ones(len(some), np.int32)
-                first = 0
-                for j in range(int(lengths[-1])):
-                    while lengths[first] <= j:
-                        first += 1
-                    c = flat[begin[first:] + j]
-                    now = step[state[first:], c]
-                    broken = now < 0
-                    if broken.any():
-                        fresh = step[0, c]
-                        opened = broken & (state[first:] > 0) if j else broken & False
-                        count[first:] += opened  # the phrase ended before this letter
-                        lone = broken & (fresh < 0)  # a letter of no phrase is a phrase of its own
-                        count[first:] += lone & (j + 1 < lengths[first:])
-                        now = np.where(broken, np.maximum(fresh, 0), now)
-                    state[first:] = now
-                out[some, lang] = count
+            parts = [c[a:z] for c, at, _ in [letters_of(passages[name])] for a, z in zip(at[:-1], at[1:], strict=True) if z > a + 1]
+            held[name] = parts[4::5]
+            rest = [x for k, x in enumerate(parts) if k % 5 != 4]
+            learned[name] = np.concatenate([*rest, np.array([32], np.uint32)])[:letters_per_language]
+        self.alphabet = np.unique(np.concatenate([*learned.values(), np.array([32], np.uint32)])) if learned else np.empty(0, np.uint32)
+        for name in self.languages:
+            symbols = np.searchsorted(self.alphabet, learned[name]) + 1
+            self.automata.append(Packed(suffix_automaton(symbols.tolist())[0], len(self.alphabet) + 1))
+            self.bits.append(math.log2(len(symbols) + 1))
+        for k, name in enumerate(self.languages):
+            self.most.append(self._bound(k, learned[name], held[name]))
+
+    def _bound(self, k: int, learned: np.ndarray, held: list[np.ndarray]) -> float:
+        mixed = np.random.default_rng(3).permutation(learned)[:20_000]
+        at = np.array([0, len(mixed)])
+        noise = float(self.parsed(mixed, at)[0, k]) * self.bits[k] / max(1, len(mixed))
+        long = [x for x in held if len(x) >= SURE]
+        if not long:
+            return (noise + self.bits[k]) / 2
+        at = np.concatenate([[0], np.cumsum([len(x) for x in long])])
+        own = self.parsed(np.concatenate(long), at)[:, k] * self.bits[k] / np.diff(at)
+        return (max(noise, float(own.max())) + self.bits[k]) / 2
+
+    @property
+    def table(self) -> np.ndarray:
+        """The symbol of each code point, 0 for letters that were not learned."""
+        out = np.zeros(0x110000, np.int32)
+        out[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        return out
+
+    def parsed(self, codes: np.ndarray, at: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+        """[text, language]: the phrases of texts given by code points and their begins."""
+        symbols = (self.table if table is None else table)[codes]
+        lengths = np.diff(at)
+        pieces = -(-lengths // STRETCH)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = at[:-1][text] + number * STRETCH
+        size = np.minimum(at[1:][text] - begin, STRETCH)
+        order = np.argsort(-size, kind="stable")
+        out = np.zeros((len(lengths), len(self.languages)), np.int64)
+        for k in range(0, len(order), 8192):
+            some = order[k : k + 8192]
+            places = np.arange(int(size[some[0]]))[:, None] + begin[some]
+            columns = symbols[np.minimum(places, len(symbols) - 1)]
+            for lang, automaton in enumerate(self.automata):
+                out[:, lang] += np.bincount(text[some], automaton.phrases(columns, size[some]), len(lengths)).astype(np.int64)
         return out
 
 
-def fit(docs: DataFrame, docs_per_language: int = 400, words_per_language: int = 6000, words_in_all: int = 30000, seed: int = 5) -> Model:
+def fit(docs: DataFrame, docs_per_language: int = 400, letters_per_language: int = 120_000, letters_in_all: int = 2_000_000, seed: int = 5) -> Model:
     """Learn from all given rows that have a language and a text."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    text = F.col("text").cast("string")
+    known = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and text != ''")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model({})
-    words_per_language = min(words_per_language, max(LEAST_WORDS, words_in_all // len(counts)))
+    letters = min(letters_per_language, max(LEAST_LETTERS, letters_in_all // len(counts)))
     scale = 1 << 40
-    below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, scale * docs_per_language // r["n"])))])
-    order = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(scale))
-    chosen = known.withColumn("lang_below", F.element_at(below, F.col("lang"))).where(F.col("lang_below").isNotNull() & (order < F.col("lang_below")))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))).alias("word")).where(F.length("word") <= 40)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= words_per_language)
-    top = top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("words"))
-    return Model({r["lang"]: list(r["words"]) for r in top.collect()})
+    # of each language: rows below this hash are chosen, and this many characters of each
+    pick = {name: (min(scale, scale * docs_per_language // n), max(64, 2 * letters // min(n, docs_per_language))) for name, n in counts.items()}
+    sizes = docs.sparkSession.createDataFrame([(name, below, size) for name, (below, size) in pick.items()], "lang string, below long, size int")
+    order = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.lit(seed)), F.lit(scale))
+    chosen = known.join(F.broadcast(sizes), "lang").withColumn("at", order).where("at < below")  # a row for each language
+    begin = F.pmod(F.xxhash64("at"), F.greatest(F.length("text") - F.col("size"), F.lit(0)) + 1)
+    rows = chosen.select("lang", "at", F.substring("text", (begin + 1).cast("int"), F.col("size")).alias("passage")).collect()
+    passages: dict[str, dict[str, None]] = {name: {} for name in counts}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["passage"])):
+        passages[r["lang"]][r["passage"]] = None  # copies count once
+    return Model({name: list(some) for name, some in passages.items() if some}, letters)
 
 
 class Scorer:
-    """Predictions for texts, with a table of the words seen so far, of bounded size."""
-
-    def __init__(self, model: Model, most_words: int = 250_000):
-        # cells of the table are bounded
-        self.model, self.most, self.price = model, most_words * 24 // max(24, len(model.bits)), np.array(model.bits)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.table, self.letters = np.zeros((0, len(self.price)), np.int32), np.zeros(0, np.int64)
-
-    def of(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and bits a letter of each text."""
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        if len(self.numbers) > self.most:
-            self._forget()
-        new = [w for w in {w for some in words for w in some} if w not in self.numbers]
-        if new and len(self.price):
-            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.phrases(new)])
-            self.letters = np.concatenate([self.letters, np.array([len(w) for w in new])])
-        out: tuple[list, list, list] = ([], [], [])
-        for some in words:
-            language, score, bits = UNKNOWN, 0.0, 0.0
-            if some and len(self.price):
-                at = np.fromiter(map(self.numbers.__getitem__, some), np.int64, len(some))
-                each = self.table[at].sum(axis=0) * self.price / (self.letters[at].sum() + len(some))
-                best = int(each.argmin())
-                rest = np.delete(each, best)
-                language, bits = self.model.languages[best], float(each[best])
-                score = float(rest.min() / (rest.min() + bits)) if len(rest) else 1.0
-            out[0].append(language), out[1].append(score), out[2].append(bits)
+    """Predictions for texts."""
+
+    def __init__(self, model: Model):
+        self.model, self.table = model, model.table
+        self.price, self.most = np.array(model.bits), np.array(model.most)
+
+    def of(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[bool]]:
+        """Language, score, bits a letter and whether it is accepted as that language, of each text."""
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        at = 0
+        while at < len(texts):  # as many as fit the room, one at least
+            end, room = at + 1, ROOM - len(texts[at] or "")
+            while end < len(texts) and (room := room - len(texts[end] or "")) >= 0:
+                end += 1
+            for whole, some in zip(out, self._of(texts[at:end]), strict=True):
+                whole.extend(some)
+            at = end
         return out
 
+    def _of(self, texts: list[str | None]):
+        languages = self.model.languages
+        codes, at, has = letters_of(texts)
+        if not languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        n = np.diff(at)
+        each = self.model.parsed(codes, at, self.table) * self.price / np.maximum(n, 1)[:, None]
+        best = each.argmin(axis=1)
+        bits = each[np.arange(len(texts)), best]
+        rest = np.partition(each, 1, axis=1)[:, 1] if len(languages) > 1 else np.full(len(texts), np.inf)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = np.where(np.isinf(rest), 1.0, np.where(rest + bits > 0, rest / (rest + bits), 0.5))
+        fine = has & ((bits <= self.most[best]) | (n < SURE))
+        return [languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, score, 0.0).tolist(), np.where(has, bits, 0.0).tolist(), fine.tolist()
+
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and bits (per letter, of the winner) of every document."""
@@ -193,14 +191,14 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
         scorer = Scorer(shipped.value)
         for b in sliced(batches, 512):
-            pred, score, bits = scorer.of(b.column(1).to_pylist())
+            pred, score, bits, _ = scorer.of(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "lang_pred", "score", "bits"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
 
 
-def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` in one of the learned languages, all columns as they were: not ``und``, and parsed in no more than ``most_bits`` a letter. All rows where nothing was learned."""
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` in one of the learned languages, all columns as they were: not ``und``, and parsed in no more bits a letter than that language's bound. All rows where nothing was learned."""
     if not model.languages:
         return docs
     shipped, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
@@ -211,8 +209,7 @@ def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> Dat
 
         scorer = Scorer(shipped.value)
         for b in sliced(batches, 512):
-            pred, _, bits = scorer.of(b.column(where).to_pylist())
-            yield b.filter(pa.array([p != UNKNOWN and x <= most_bits for p, x in zip(pred, bits, strict=True)], pa.bool_()))
+            yield b.filter(pa.array(scorer.of(b.column(where).cast(pa.string()).to_pylist())[3], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

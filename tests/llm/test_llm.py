@@ -135,19 +135,27 @@ def test_plans_hold_the_histogram(histogram):
 
 # --- 3
 def test_phrases_are_those_of_a_plain_parse():
-    model = langid.Model({"a": ["hello", "world", "helium"], "b": ["monde", "bonjour"]})
     r = random.Random(1)
-    words = ["".join(r.choice("helowrdiumnbjxé") for _ in range(r.randint(1, 14))) for _ in range(500)]
-    got = model.phrases(words)
-    for k, w in enumerate(words):
-        for lang, text in enumerate((" hello world helium ", " monde bonjour ")):
-            n, at, w2 = 0, 0, f" {w} "
-            while at < len(w2):
-                end = at + 1
-                while end <= len(w2) and w2[at:end] in text:
-                    end += 1
-                at, n = max(at + 1, end - 1), n + 1
-            assert got[k, lang] == n, w
+    passages = {"a": ["Hello world, helium", "the held world"], "b": ["Monde!", "bonjour", "le monde"]}
+    model = langid.Model(passages)
+    learned = {"a": " hello world helium the held world ", "b": " monde bonjour le monde "}
+    texts = ["".join(r.choice("helowrdiumnbjxé H,.3") for _ in range(r.choice([0, 1, 5, 300, 1000]))) for _ in range(200)] + list(learned.values())
+    codes, at, has = langid.letters_of(texts)
+    got = model.parsed(codes, at)
+    for k, t in enumerate(texts):
+        plain = " " + re.sub(r"[^a-zé]+", " ", t.lower()).strip(" ")
+        whole = "".join(map(chr, codes[at[k] : at[k + 1]]))
+        assert whole.rstrip(" ") == plain.rstrip(" ") and has[k] == bool(plain.strip())
+        for lang, text in enumerate(learned.values()):
+            n = 0
+            for first in range(0, len(whole), langid.STRETCH):
+                part, p = whole[first : first + langid.STRETCH], 0
+                while p < len(part):
+                    end = p + 1
+                    while end <= len(part) and part[p:end] in text:
+                        end += 1
+                    p, n = max(p + 1, end - 1), n + 1
+            assert got[k, lang] == n, t
 
 
 def test_language_on_held_out_rows(spark, docs):
@@ -178,6 +186,19 @@ def test_every_language_is_learned(spark, odd, empty):
     assert langid.accepted(odd, langid.fit(empty)).count() == len(ODD)  # nothing learned, nothing rejected
 
 
+def test_languages_of_thousands_of_letters_are_learned_and_accepted(spark):
+    r = random.Random(4)
+    han = ["".join(chr(r.randint(0x4E00, 0x4E00 + 4000)) for _ in range(2)) for _ in range(5000)]
+    latin = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(500)]
+    rows = [(k, "".join(r.choices(han, k=200)), "zh") for k in range(60)] + [(100 + k, " ".join(r.choices(latin, k=80)), "xx") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fresh = spark.createDataFrame([(k + 1000, t, lang) for k, t, lang in [(0, "".join(r.choices(han, k=150)), "zh"), (1, " ".join(r.choices(latin, k=60)), "xx")]] + [(2000, "ᚠᚢᚦᚨᚱᚲᚷᚹᚺᚾᛁᛃᛇᛈᛉᛊᛏᛒᛖᛗᛚᛜᛞᛟ" * 4, "zh"), (2001, "1234 5678", "xx")], df.schema)
+    model = langid.fit(df)
+    assert {x.doc_id: x.lang_pred for x in langid.identified(fresh, model).collect()} | {2000: ""} == {1000: "zh", 1001: "xx", 2000: "", 2001: "und"}
+    assert {x.doc_id for x in langid.accepted(fresh, model).collect()} == {1000, 1001}
+    assert langid.accepted(df, model).count() == len(rows)
+
+
 # --- 4
 _CHARS = "abcdefghijklmnopqrstuvwxyz'.,!-0123456789²½ⅧΣσςİIıſKﬁé日本한😀👍🏽́̈   \x1c\x85\t\n<|>/ABC"
 
