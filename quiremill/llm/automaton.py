@@ -7,34 +7,42 @@ from collections.abc import Iterable
 import numpy as np
 
 
-def suffix_automaton(symbols: Iterable) -> tuple[list[dict], list[int], list[int]]:
+def suffix_automaton(*texts: Iterable) -> tuple[list[dict], list[int], list[int]]:
     """(transitions, suffix links, longest lengths) by state, of which 0 is the start; at most two states a symbol."""
     step: list[dict] = [{}]
     link, length = [-1], [0]
-    last = 0
-    for c in symbols:
-        cur = len(step)
-        step.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = cur
+
+    def twin_of(p: int, c, q: int) -> int:
+        """A state for the shorter substrings of ``q``, those that end with ``c`` after ``p``."""
+        twin = len(step)
+        step.append(dict(step[q]))
+        length.append(length[p] + 1)
+        link.append(link[q])
+        while p >= 0 and step[p].get(c) == q:
+            step[p][c] = twin
             p = link[p]
-        if p >= 0:
-            q = step[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                twin = len(step)
-                step.append(dict(step[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = twin
-                    p = link[p]
-                link[q] = link[cur] = twin
-        last = cur
+        link[q] = twin
+        return twin
+
+    for text in texts:
+        last = 0
+        for c in text:
+            q = step[last].get(c)
+            if q is not None:  # an earlier text has this substring
+                last = q if length[last] + 1 == length[q] else twin_of(last, c, q)
+                continue
+            cur = len(step)
+            step.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in step[p]:
+                step[p][c] = cur
+                p = link[p]
+            if p >= 0:
+                q = step[p][c]
+                link[cur] = q if length[p] + 1 == length[q] else twin_of(p, c, q)
+            last = cur
     return step, link, length
 
 

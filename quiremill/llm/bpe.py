@@ -1,9 +1,10 @@
 """BPE by dynamic programming over prefixes.
 
-For each prefix of a word there is exactly one token that its encoding ends with. An automaton with
-suffix links over the vocabulary lists, for every position, the tokens that are suffixes of the
-prefix; the one whose predecessor (the last token of the prefix before it) is compatible is stored,
-and following these back-pointers from the end gives the ids.
+For each prefix of a word there is exactly one token that its encoding ends with. A suffix automaton
+of all tokens follows the longest suffix of the prefix that occurs in a token; the tokens that are
+suffixes of the prefix lie on the way of suffix links from there. The one whose predecessor (the last
+token of the prefix before it) is compatible is stored, and following these back-pointers from the end
+gives the ids.
 
 Two tokens are compatible if merging never prefers a pair across their border. With merge ranks that
 only grow upwards (checked on loading), the piece of the left token that touches the border has a
@@ -28,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quiremill.llm._common import default_vocabulary, sliced
+from quiremill.llm.automaton import suffix_automaton
 
 #: Unicode White_Space, as fixed values.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,8 +70,6 @@ class Memo(dict):
 
 class WordBpe:
     def __init__(self, path: str, remember: int = 100_000):
-        import ahocorasick
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -94,13 +94,21 @@ class WordBpe:
                 raise ValueError("merges must make each token once, and its parts before it")
             self._born[whole], self._parts[whole], self._rank[a << 32 | b] = rank, (a, b), rank
         self._fits: dict[int, bool] = {}
-        self._matches = ahocorasick.Automaton()
-        for text, i in vocab.items():
-            if atoms := self._as_atoms(text):
-                self._matches.add_word(atoms, (i, len(atoms)))
-        self._matches.make_automaton()
+        self._match(sorted((atoms, i) for text, i in vocab.items() if (atoms := self._as_atoms(text))))
         self.ids_of = self.memo(self.encode_word, lambda v: tuple(chain.from_iterable(v)), remember)
 
+    def _match(self, tokens: list[tuple[str, int]]) -> None:
+        """The suffix automaton of the tokens; ``_ends`` has for each state the tokens that end its strings as (length, id), longest first: its own, and those of the states that its suffix links lead to."""
+        self._step, self._link, self._length = suffix_automaton(*(atoms for atoms, _ in tokens))
+        self._ends: list[tuple] = [()] * len(self._step)
+        for atoms, i in reversed(tokens):
+            state = 0
+            for c in atoms:
+                state = self._step[state][c]
+            self._ends[state] = (*sorted((*self._ends[state], (len(atoms), i)), reverse=True),)
+        for state in sorted(range(1, len(self._step)), key=self._length.__getitem__):
+            self._ends[state] += self._ends[self._link[state]]
+
     def _as_atoms(self, text: str) -> str:
         if text.endswith(_END) and len(text) > len(_END):
             body = text[: -len(_END)]
@@ -155,20 +163,28 @@ class WordBpe:
         atoms = self.letters(word)
         atoms = atoms[:-1] + chr(_FINAL + ord(atoms[-1]))
         last, start = [-1] * (len(atoms) + 1), [0] * (len(atoms) + 1)
-        fits = self._fits
-        for end, (token, length) in self._matches.iter(atoms):
-            end += 1
-            if last[end] >= 0:
-                continue
-            begin = end - length
-            if begin:
-                before = last[begin]
-                if before < 0:
-                    continue
-                ok = fits.get(before << 32 | token)
-                if not (self.fits(before, token) if ok is None else ok):
+        fits, step, link, length, ends = self._fits, self._step, self._link, self._length, self._ends
+        state = held = 0
+        for end, c in enumerate(atoms, 1):
+            to = step[state].get(c)
+            while to is None:  # every single character is a token
+                state = link[state]
+                held = length[state]
+                to = step[state].get(c)
+            state, held = to, held + 1
+            for size, token in ends[state]:
+                if size > held:  # the state's longer strings are not in the word
                     continue
-            last[end], start[end] = token, begin
+                begin = end - size
+                if begin:
+                    before = last[begin]
+                    if before < 0:
+                        continue
+                    ok = fits.get(before << 32 | token)
+                    if not (self.fits(before, token) if ok is None else ok):
+                        continue
+                last[end], start[end] = token, begin
+                break
         ids, at = [], len(atoms)
         while at:
             ids.append(last[at])
