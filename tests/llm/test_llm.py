@@ -231,7 +231,21 @@ def test_exact_dedup_of_odd_rows(odd, empty):
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.groups(odd).collect()}
     assert got[0] == got[1] == got[2] == (2, 3) and got[3] == got[4] == got[5] == (4, 3) and got[8] == (8, 2) and got[None] == (None, 1)
     assert exact_dedup.groups(empty).count() == 0
-    assert sorted(str(r.doc_id) for r in exact_dedup.deduplicated(odd).collect()) == sorted(["2", "4", "6", "7", "8", "8", "None", "9", "10"])
+    assert sorted(str(r.doc_id) for r in exact_dedup.deduplicated(odd).collect()) == sorted(["2", "4", "6", "7", "8", "None", "9", "10"])
+
+
+def test_exact_dedup_compares_whole_texts(spark, odd):
+    rows = [(k, f"{k % 13} text{' ' * (k % 5)} {chr(97 + k % 3)}") for k in range(300)] + [(1, "alpha"), (1, "beta"), (2, "be  ta"), (9, "twice"), (9, "twice"), (None, "z"), (None, "z"), (None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    weak = lambda norm: F.length(norm).cast("string")
+    fields = ("doc_id", "keep_id", "group_size", "kept")
+    key = lambda r: tuple(str(r[f]) for f in fields)
+    assert sorted(map(key, exact_dedup.groups(df, digest=weak).collect())) == sorted(map(key, exact_dedup.groups(df).collect()))
+    for digest in (weak, exact_dedup.sha256):
+        kept = exact_dedup.deduplicated(df, digest=digest).collect()
+        norms = [re.sub(r"\s", "", r.text) for r in kept]
+        assert sorted(norms) == sorted({re.sub(r"\s", "", t) for _, t in rows})
+        assert (2, "be  ta") in kept and (1, "beta") not in kept
 
 
 # --- 6
