@@ -55,7 +55,7 @@ class Features:
         return ((np.concatenate(parts) * _MIX) >> np.uint64(32)).astype(np.uint32), np.concatenate(at)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, size: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.5) -> np.ndarray:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, size: int, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.5) -> np.ndarray:
     """Weights for coordinates 0 to size - 1; rows hold the coordinates that are 1."""
     z, n = np.zeros(size), np.zeros(size)
 
