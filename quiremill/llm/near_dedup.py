@@ -12,9 +12,11 @@ Two documents are linked when ``100 * shared >= percent * all``; components of l
    are confirmed on the full sets, which are read again for the classes in edges alone.
 4. A star can miss a link between two members that are not linked to its centre. So every cluster (classes
    that stars connect, linked or not) which still holds more than one component is looked at again: members
-   outside its largest component are compared with all members of other components, by counting shared
-   shingles through an index of blocks of bounded size. This finds each link there is, and writes
-   no more of them than it takes to join what they join.
+   outside its largest component ask members of other components, by counting shared shingles through an index.
+   Sets that are linked are nearly of one size, so a cluster is cut into classes of size, a factor apart that a link
+   cannot bridge twice, and an asker goes to its own class and the two beside it. Members and askers of a class are dealt
+   over blocks of bounded size, and each block of askers meets each block of members in a task of its own. This finds
+   each link there is, and writes no more of them than it takes to join what they join.
 5. Components come from contracting links towards smaller ids and then halving paths, as joins;
    nothing is collected to the driver.
 
@@ -22,7 +24,8 @@ All joins run between tables in the shared folder, so that adaptive execution ca
 
 Defined results: null and empty texts and texts of white space have no shingles and are components
 of their own; so are rows with null id, whose component is null; equal rows and ties go to the
-smallest id; rows with one id and one text are one document; other columns are ignored.
+smallest id; rows with one id are one document, linked by whatever any of its texts is linked by, while ``n_shingles`` is
+each row's own; ``deduplicated`` takes them for documents of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -177,16 +180,24 @@ class _Block:
 
 
 def _crossing(sets: DataFrame, placed: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between components inside clusters; ``placed`` is (class_id, cluster, root)."""
+    """Links between components inside clusters; ``placed`` is (class_id, cluster, root, n_shingles)."""
     parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main")).where("parts > 1")
-    clusters = staged(open_.select("cluster", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "main"), "near-open")
-    rows = staged(placed.join(clusters, "cluster").withColumn("out", F.col("root") != F.col("main")), "near-members")
-    inside = rows.select("cluster", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"), "class_id", "root", "out", F.lit(False).alias("asks"))
-    asking = rows.where("out").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_id", "root", "out", F.lit(True).alias("asks"))
-    both = staged(inside.union(asking), "near-asking")
-    dealt = both.join(sets, both["class_id"] == sets["doc_id"]).select("cluster", "block", "class_id", "root", "out", "asks", "shingles")
-    dealt = dealt.repartition(F.col("cluster"), F.col("block")).sortWithinPartitions("cluster", "block", "asks", "class_id")
+    open_ = parts.groupBy("cluster").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main")).where("parts > 1").select("cluster", "main")
+    # 100 * shared >= percent * all makes the larger set at most 100 / percent times the smaller
+    size = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    rows = staged(placed.join(staged(open_, "near-open"), "cluster").select("cluster", size.alias("size"), "class_id", "root", (F.col("root") != F.col("main")).alias("out")), "near-members")
+    asking = rows.where("out").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    held = rows.groupBy("cluster", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    asked = asking.groupBy("cluster", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("turns"))
+    tiles = staged(held.join(asked, ["cluster", "size"]), "near-tiles")
+    dealt_over = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = rows.join(tiles, ["cluster", "size"]).select("cluster", "size", dealt_over("blocks").alias("block"), every("turns").alias("turn"), "class_id", "root", "out", F.lit(False).alias("asks"))
+    askers = asking.join(tiles, ["cluster", "size"]).select("cluster", "size", every("blocks").alias("block"), dealt_over("turns").alias("turn"), "class_id", "root", "out", F.lit(True).alias("asks"))
+    both = staged(inside.unionByName(askers), "near-asking")
+    tile = ["cluster", "size", "block", "turn"]
+    dealt = both.join(sets, both["class_id"] == sets["doc_id"]).select(F.struct(*tile).alias("tile"), "class_id", "root", "out", "asks", "shingles")
+    dealt = dealt.repartition(F.col("tile")).sortWithinPartitions("tile", "asks", "class_id")
 
     def compare(batches):
         import pyarrow as pa
@@ -194,9 +205,9 @@ def _crossing(sets: DataFrame, placed: DataFrame, percent: int, block: int) -> D
         at, members, index = None, [], None
         for b in sliced(batches, 64):
             a, z = [], []
-            for cluster, number, who, root, out, asks, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (cluster, number) != at:
-                    at, members, index = (cluster, number), [], None
+            for tile, who, root, out, asks, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tile != at:
+                    at, members, index = tile, [], None
                 if not asks:
                     members.append((who, root, out, shingles))
                     continue
@@ -227,11 +238,13 @@ def components(links: DataFrame) -> DataFrame:
             return parents.withColumnRenamed("parent", "root")
 
 
-def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS, rows: int = ROWS, salts: int = 64, block: int = 1024) -> DataFrame:
+def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS, rows: int = ROWS, salts: int = 64, block: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     all_rows = staged(described(docs, words, bins, rows), "near-described")
     paired = F.col("set_digest").isNotNull() & F.col("doc_id").isNotNull()
     some = all_rows.where(paired)
+    if not some.groupBy("doc_id").agg(F.min("set_digest").alias("a"), F.max("set_digest").alias("z")).where("a != z").isEmpty():
+        return _linked_by_rows(docs, words=words, percent=percent, bins=bins, rows=rows, salts=salts, block=block)
     classes_of = staged(some.groupBy("set_digest").agg(F.min("doc_id").alias("class_id")), "near-classes")
     membership = staged(some.select("doc_id", "set_digest").join(classes_of, "set_digest").select("doc_id", "class_id"), "near-membership")
     classes = some.join(classes_of.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -240,13 +253,14 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS,
     buckets = staged(keys.groupBy("key").agg(F.min("class_id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "near-buckets")
     stars = staged(keys.join(buckets, "key").where(F.col("class_id") != F.col("centre")).select(F.col("class_id").alias("member"), "centre").distinct(), "near-stars")
     starred = staged(stars.select(F.col("member").alias("doc_id")).union(stars.select("centre")).distinct(), "near-starred")
+    sizes = classes.select(F.col("doc_id").alias("class_id"), "n_shingles")
     sets = _sets(docs, starred, words)
     links = staged(_confirmed(sets, stars, percent, salts), "near-confirmed")
     roots, clusters = components(links), components(stars)
 
     reach = lambda df, name: df.select(F.col("member").alias("class_id"), F.col("root").alias(name))
-    placed = starred.withColumnRenamed("doc_id", "class_id").join(reach(clusters, "cluster"), "class_id", "left").join(reach(roots, "root"), "class_id", "left")
-    placed = staged(placed.select("class_id", F.coalesce("cluster", "class_id").alias("cluster"), F.coalesce("root", "class_id").alias("root")), "near-placed")
+    placed = starred.withColumnRenamed("doc_id", "class_id").join(reach(clusters, "cluster"), "class_id", "left").join(reach(roots, "root"), "class_id", "left").join(sizes, "class_id")
+    placed = staged(placed.select("class_id", F.coalesce("cluster", "class_id").alias("cluster"), F.coalesce("root", "class_id").alias("root"), "n_shingles"), "near-placed")
     extra = staged(_crossing(sets, placed, percent, block), "near-crossing")
     if not extra.isEmpty():
         roots = components(links.union(extra))
@@ -258,14 +272,33 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS,
     return full.unionByName(single).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, written, so that a row has one number however often it is read."""
+    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-numbered")
+
+
+def _linked_by_rows(docs: DataFrame, **options) -> DataFrame:
+    """``linked`` where an id has several texts: rows are compared, and those of one id count as linked."""
+    rows = _numbered(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
+    own = linked(rows.where("doc_id is not null").select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "n_shingles", F.col("component_id").alias("part"))
+    own = staged(own.join(rows.select("__row", "doc_id"), "__row"), "near-rows")
+    first = own.groupBy("doc_id").agg(F.min("part").alias("centre"))
+    links = own.select("doc_id", F.col("part").alias("member")).distinct().join(first, "doc_id").where(F.col("member") != F.col("centre"))
+    roots = components(links.select("member", "centre"))
+    whole = own.join(roots, own["part"] == roots["member"], "left").select("doc_id", "n_shingles", F.coalesce("root", "part").alias("part"))
+    least = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    full = whole.join(least, "part").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    without = described(rows.where("doc_id is null"), options["words"]).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return full.unionByName(without)
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, all columns as they were. Where ids are repeated or null, each row is a document of its own."""
     docs_id = docs["doc_id"].cast("long")
     if docs.groupBy(docs_id.alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
         keep = linked(docs, **options).where("kept").select(F.col("doc_id").alias("__keep_id"))
         return docs.join(keep, docs_id.eqNullSafe(keep["__keep_id"]), "left_semi")
-    # written, so that a row has one number however often it is read
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-numbered")
+    rows = _numbered(docs)
     own = linked(rows.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "__row")
     keep = own.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
