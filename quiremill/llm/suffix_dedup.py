@@ -12,13 +12,13 @@ so any passage of ``least`` words retains a suffix inside it, at the same place
    ranges of even size: equal keys are split by document, so a very common passage fills no task.
 3. Each suffix is compared with its nearest neighbours from other documents on either side in that
    order (the nearest at any distance, and those up to ``REACH`` rows away), and the match is extended to the left and right; one of ``least`` words or more marks its span
-   in both documents. First and last suffixes of each range meet those of the next range in a
-   second, small pass.
-4. In a group of more rows, a partner whose words agree before the gram too can stand further away than
-   these. There each window of ``least`` words around the minimiser goes by its hash to the others that
+   in both documents.
+4. In a group of more rows, or one that goes on in the next range, a partner whose words agree before the gram too can
+   stand further away than these. There each window of ``least`` words around the minimiser goes by its hash to the others that
    are equal, but for those that the nearest neighbours' right match shows to be in one document, and
    those found equal to an earlier row's, which speaks for them (``met`` says that it has met one).
-   Windows in two documents are spans.
+   Windows in two documents are spans. Hashes are combined within each task first, so a passage that
+   a third of all documents hold is a few rows, and no range needs to see another one's rows.
 5. A document's spans are joined where they touch. Minimisers inside a longer passage are at most a
    window apart, so its spans cover it from end to end.
 
@@ -43,6 +43,8 @@ _EDGE = np.uint64(0)
 #: Rows on either side that a suffix is compared with, besides the nearest of another document: the nearest one's words
 #: after the minimiser agree furthest, but another's may agree before it as well. Partners further away are found by windows.
 REACH = 6
+#: Rows of one table of suffixes that the next one's are compared with, at most; further ones are found by windows.
+MOST_HELD = 4096
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
@@ -106,7 +108,7 @@ def _compare(table, least: int):
     # bit s is for the window that begins s words before the minimiser: met in another document, and in that of a row before
     met, earlier, furthest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     steps = [np.arange(n) - d for d in range(1, REACH + 1)]
-    for turn, other in enumerate((before, after, *(np.where((j >= 0) & (docs[j] != docs) & (j != before), j, -1) for j in steps))):
+    for turn, other in enumerate((before, after, *(np.where((j >= 0) & (docs[np.maximum(j, 0)] != docs) & (j != before), j, -1) for j in steps))):
         rows, partner, a, z = _matched(left, right, keys, other)
         furthest[rows] = np.maximum(furthest[rows], z)
         ok = a + z >= least
@@ -193,64 +195,33 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
     dealt = staged(suffixes, "suffix-contexts").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches):
-        """Spans (is_edge false), each range's suffixes that its neighbours must see (is_edge true), and windows (is_edge null; key: hash, end: met)."""
+        """Spans (met null), and windows (key: hash, end: null)."""
         import pyarrow as pa
 
-        held, first = None, True
-
-        def rows_of(table, is_edge):
-            n = table.num_rows
-            nothing = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([is_edge] * n, pa.bool_()), *(table.column(c).combine_chunks() for c in ("key", "doc_id", "at", "left", "right")), nothing], list(shape_out))
-
+        held = None
         for b in batches:
             table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
-            if first:
-                yield rows_of(_ends(table, True), True)
-                first = False
             spans, windows = _compare(table, least)
             n = len(spans)
-            yield pa.RecordBatch.from_arrays([pa.array([False] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(spans[:, 2])], list(shape_out))
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *(pa.array(spans[:, j]) for j in range(3)), pa.nulls(n, pa.int64())], list(shape_out))
             for k in range(0, len(windows), 65536):
                 some = windows[k : k + 65536]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.bool_()), *(pa.array(some[:, j]) for j in range(3)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(some[:, 3])], list(shape_out))
-            held = _ends(table, False)
-        if held is not None:
-            yield rows_of(held, True)
-
-    def _ends(table, front: bool):
-        """The first (last) suffixes of a table, up to and including one of a second document."""
-        ids = table.column("doc_id").to_numpy()
-        if not len(ids):
-            return table
-        if front:
-            other = np.flatnonzero(ids != ids[0])
-            return table.slice(0, max(int(other[0]) + 1, REACH) if len(other) else len(ids))
-        other = np.flatnonzero(ids != ids[-1])
-        return table.slice(max(0, min(int(other[-1]), len(ids) - REACH)) if len(other) else 0)
-
-    shape_out = {"is_edge": "boolean", "key": "long", "doc_id": "long", "at": "long", "left": "binary", "right": "binary", "end": "long"}
-    compared = staged(dealt.mapInArrow(compare, ", ".join(f"{k} {v}" for k, v in shape_out.items())), "suffix-compared")
-    edges = compared.where("is_edge").select("key", "doc_id", "at", "left", "right").distinct()
-
-    def between(batches):
-        import pyarrow as pa
+                yield pa.RecordBatch.from_arrays([*(pa.array(some[:, j]) for j in range(3)), pa.nulls(len(some), pa.int64()), pa.array(some[:, 3])], list(shape_out))
+            held = _last(table)
 
-        held = None
-        for b in batches:
-            table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
-            spans, _ = _compare(table, least)
-            yield pa.RecordBatch.from_arrays([pa.array(spans[:, k]) for k in range(3)], ["doc_id", "at", "end"])
-            held = _ends(table, False)
+    def _last(table):
+        """The last suffixes of a table that the next one's are compared with: up to one of a second document, and no more than can be neighbours."""
+        ids = table.column("doc_id").to_numpy()
+        other = np.flatnonzero(ids != ids[-1]) if len(ids) else ids
+        return table.slice(max(0, min(int(other[-1]), len(ids) - REACH), len(ids) - MOST_HELD) if len(other) else max(0, len(ids) - MOST_HELD))
 
-    # a few rows for each range
-    crossing = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(between, "doc_id long, at long, end long")
+    shape_out = dict.fromkeys(("key", "doc_id", "at", "end", "met"), "long")
+    compared = staged(dealt.mapInArrow(compare, ", ".join(f"{k} {v}" for k, v in shape_out.items())), "suffix-compared")
     # windows in two documents, or known to be
-    windows = compared.where("is_edge is null").select("key", "doc_id", "at", F.col("end").alias("met"))
+    windows = compared.where("met is not null").select("key", "doc_id", "at", "met")
     shared = staged(windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("met").alias("met")).where("a < z or met = 1").select("key"), "suffix-windows")
     apart = windows.where("met = 0").join(shared, "key", "left_semi").select("doc_id", "at", (F.col("at") + least).alias("end"))
-    spans = compared.where("not is_edge").select("doc_id", "at", "end").union(crossing).union(apart)
+    spans = compared.where("met is null").select("doc_id", "at", "end").union(apart)
 
     def join(batches):
         import pyarrow as pa

@@ -259,6 +259,52 @@ def test_toxicity_learns_and_holds_out(spark):
     assert sum(got[k].predicted == (k % 7 == 0) for k in held) >= 0.97 * len(held) and all((x.score >= 0.5) == bool(x.predicted) for x in got.values())
 
 
+def test_ftrl_is_the_plain_update():
+    r = np.random.default_rng(5)
+    rows = [np.append(np.sort(r.choice(40, 6, replace=False)), 40) for _ in range(60)]
+    y, weight = r.integers(0, 2, 60).astype(float), r.random(60) + 0.5
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.3, 0.5
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(60):
+            now = {i: w(i) for i in rows[k].tolist()}
+            g = (1 / (1 + np.exp(-sum(now.values()))) - y[k]) * weight[k]
+            for i, wi in now.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * wi
+                n[i] += g * g
+    got = toxicity.ftrl(rows, y, weight, 41, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got, [w(i) for i in range(41)], atol=1e-12) and (got == 0).any()
+
+
+def test_toxicity_scores_are_the_sums_of_weights(docs):
+    import xxhash
+
+    lab = docs.sparkSession.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, lab)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    mix, whole = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    for x in toxicity.scored(docs, model).join(docs, "doc_id").select("text", "score").collect():
+        words = re.findall(r"[^\W\d_]+", x.text.lower())
+        full, head = [xxhash.xxh64_intdigest(v, 1) for v in words], [xxhash.xxh64_intdigest(v[:5], 2) for v in words]
+        pairs = [((a * mix + seed) & whole) ^ (b >> 7) for gap, seed in ((1, 3), (2, 5)) for a, b in zip(full, full[gap:], strict=False)]
+        total = model.intercept + sum(weight.get((h * mix & whole) >> 32, 0.0) for h in {(h * mix & whole) >> 32: h for h in full + head + pairs}.values())
+        assert abs(x.score - 1 / (1 + np.exp(-np.clip(total, -35, 35)))) < 1e-9
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 4 / 6), ("sf0.1", 0.8)])
+def test_toxicity_on_held_out_rows(spark, sf, least):
+    # labels hold noise: 2 of the 6 toxic rows that sf0.01 holds out, and 6 of the 97 of sf0.1, have no word in common with other toxic ones
+    rows = queries.op6_toxicity(spark, f"/root/testdata/{sf}").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    assert sum(r.predicted for r in toxic) >= least * len(toxic) - 1e-9
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.005 * len(rows)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     lab = spark.createDataFrame([(3, 1), (3, 0), (6, 0), (7, None), (None, 1), (99, 0)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
     assert toxicity.classified(odd, lab).where("score between 0 and 1").count() == len(ODD)
@@ -313,6 +359,16 @@ def test_near_dedup_of_odd_rows(odd, empty):
     assert near_dedup.deduplicated(odd).columns == odd.columns
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    texts = {c: " ".join(f"{c}{k}" for k in range(30)) for c in "abcd"}
+    rows = [(5, texts["a"]), (5, texts["b"]), (7, texts["a"]), (1, texts["b"]), (9, texts["c"]), (9, texts["c"]), (8, texts["d"] + " more"), (2, texts["d"]), (3, ""), (None, texts["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.linked(df).collect())
+    assert got == sorted([("5", "1", False), ("5", "1", False), ("7", "1", False), ("1", "1", True), ("9", "9", True), ("9", "9", True), ("8", "2", False), ("2", "2", True), ("3", "3", True), ("None", "None", True)])
+    kept = [r.text for r in near_dedup.deduplicated(df).collect()]
+    assert sorted(kept) == sorted([texts["a"], texts["b"], texts["c"], texts["d"], ""])  # a text of each group, whatever its id
+
+
 # --- 8
 def plain_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -417,6 +473,45 @@ def test_repeated_passages_that_end_in_a_hot_phrase(spark):
     assert sorted(tuple(x) for x in suffix_dedup.repeated(df).collect()) == want
 
 
+def brute_passages(texts, least=50):
+    """Maximal runs of words covered by windows of ``least`` words that two documents have."""
+    where, words = collections.defaultdict(set), {d: t.lower().split() for d, t in texts.items()}
+    for d, w in words.items():
+        for k in range(len(w) - least + 1):
+            where[tuple(w[k : k + least])].add(d)
+    out = []
+    for d, w in words.items():
+        begin = end = None
+        for k in range(len(w) - least + 1):
+            if len(where[tuple(w[k : k + least])]) > 1:
+                if end is None or k > end:
+                    if end is not None:
+                        out.append((d, begin, end, end - begin))
+                    begin = k
+                end = k + least
+        if end is not None:
+            out.append((d, begin, end, end - begin))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_passages_are_brute_force(spark, seed):
+    # a few phrases in all orders, lines repeated within and across documents: many equal keys, ranges of one document
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    phrases = [[word() for _ in range(r.randint(3, 30))] for _ in range(10)]
+    texts = {}
+    for d in range(120):
+        w = []
+        while len(w) < 150:
+            w += r.choice(phrases) if r.random() < 0.7 else [word() for _ in range(r.randint(1, 20))]
+        texts[d] = " ".join(w)
+    texts[500] = " ".join(phrases[0] * 400)  # a document that is one line over and over
+    texts[501] = " ".join(phrases[0] * 3 + phrases[1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    assert sorted(tuple(x) for x in suffix_dedup.repeated(df).collect()) == brute_passages(texts)
+
+
 def test_repeated_passages_of_odd_rows(odd, empty):
     got = {r.doc_id: (r.start_word, r.end_word) for r in suffix_dedup.repeated(odd).collect()}
     assert got == {6: (0, 30000), 7: (0, 30000)} and suffix_dedup.repeated(empty).count() == 0
