@@ -7,8 +7,8 @@ so any passage of ``least`` words retains a suffix inside it, at the same place
 
 1. One scan writes the retained places and grams. Grams that stand in one document alone can be in no
    repeated passage and go, which leaves the work in proportion to what repeats.
-2. A second scan writes the retained suffixes of the others, with the words around them (a window to
-   the left, ``least`` words from the minimiser on). They are sorted by gram and following words, over
+2. A second scan writes the retained suffixes of the others, with the words around the gram (a window to
+   the left, and on the right as many as make ``least`` with it). They are sorted by gram and following words, over
    ranges of even size: equal keys are split by document, so a very common passage fills no task.
 3. Each suffix is compared with its nearest neighbours from other documents on either side in that
    order (the nearest at any distance, and those up to ``REACH`` rows away), and the match is extended to the left and right; one of ``least`` words or more marks its span
@@ -67,7 +67,7 @@ def _retained(words: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np
 
 
 def _matched(left: np.ndarray, right: np.ndarray, keys: np.ndarray, other: np.ndarray):
-    """Rows whose gram is that of the row ``other`` (-1: none), that row, and the match's reach to the left and right."""
+    """Rows whose gram is that of the row ``other`` (-1: none), that row, and how many words match to the gram's left and right."""
     rows = np.flatnonzero(other >= 0)
     rows = rows[keys[rows] == keys[other[rows]]]
     partner = other[rows]
@@ -93,37 +93,41 @@ def _bits(low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
     return np.where(high >= low, (one << np.clip(high + 1, 0, width)) - (one << np.clip(low, 0, width)), 0)
 
 
-def _compare(table, least: int):
+def _compare(table, least: int, gram: int):
     """From sorted suffixes with their contexts: spans (doc_id, start, end), and windows (hash, doc_id, start, met) whose partners may stand further away."""
     if not table.num_rows:
         return np.empty((0, 3), np.int64), np.empty((0, 4), np.int64)
     keys, docs, at = (table.column(c).to_numpy() for c in ("key", "doc_id", "at"))
-    right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), ">u8").reshape(table.num_rows, -1) for c in ("right", "left"))
+    right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), ">u8").reshape(table.num_rows, -1).astype(np.uint64) for c in ("right", "left"))
     n, width = len(docs), left.shape[1]
     before = _neighbours(docs)
     # the neighbour after a row is the row whose neighbour before it is in its document, unless several rows of one document stand together
     after = n - 1 - _neighbours(docs[::-1])[::-1]
     after = np.where(after < n, after, -1)
-    out = []
+    # all matches of a row hold its gram, so together they are one span
+    begin, end = at.copy(), at.copy()
     # bit s is for the window that begins s words before the minimiser: met in another document, and in that of a row before
     met, earlier, furthest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     steps = [np.arange(n) - d for d in range(1, REACH + 1)]
     for turn, other in enumerate((before, after, *(np.where((j >= 0) & (docs[np.maximum(j, 0)] != docs) & (j != before), j, -1) for j in steps))):
         rows, partner, a, z = _matched(left, right, keys, other)
+        z += gram
         furthest[rows] = np.maximum(furthest[rows], z)
         ok = a + z >= least
         rows, partner, a, z = rows[ok], partner[ok], a[ok], z[ok]
         bits = _bits(least - z, np.minimum(a, width - 1), width)
         met[rows] |= bits
+        begin[rows], end[rows] = np.minimum(begin[rows], at[rows] - a), np.maximum(end[rows], at[rows] + z)
         if turn != 1:
             earlier[rows] |= bits
             np.bitwise_or.at(met, partner, bits)
-        for who in (rows, partner) if turn != 1 else (rows,):
-            out.append(np.stack([docs[who], at[who] - a, at[who] + z], axis=1))
-    return np.unique(np.concatenate(out), axis=0), _windows(keys, docs, at, left, right, before, after, met, earlier, furthest, least)
+            np.minimum.at(begin, partner, at[partner] - a), np.maximum.at(end, partner, at[partner] + z)
+    some = np.flatnonzero(end > begin)
+    spans = np.unique(np.stack([docs[some], begin[some], end[some]], axis=1), axis=0)
+    return spans, _windows(keys, docs, at, left, right, before, after, met, earlier, furthest, least, gram)
 
 
-def _windows(keys, docs, at, left, right, before, after, met, earlier, furthest, least: int) -> np.ndarray:
+def _windows(keys, docs, at, left, right, before, after, met, earlier, furthest, least: int, gram: int) -> np.ndarray:
     n, width = left.shape
     change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     bounds = np.concatenate([[0], change, [n]])
@@ -133,21 +137,24 @@ def _windows(keys, docs, at, left, right, before, after, met, earlier, furthest,
     large = (first == 0) | (last == n) | (last - first > REACH + 1)
     unknown = ((first == 0) & (before < 0)) | ((last == n) & (after < 0))
     words = lambda side: np.where((side == _EDGE).any(axis=1), (side == _EDGE).argmax(axis=1), side.shape[1])
-    reach = np.minimum(np.where(unknown, least, furthest), words(right))
+    reach = np.minimum(np.where(unknown, least, furthest), words(right) + gram)
     wanted = np.where(large, _bits(least - reach, np.minimum(words(left), width - 1), width) & ~earlier, 0)
     rows = np.flatnonzero(wanted)
     if not len(rows):
         return np.empty((0, 4), np.int64)
-    around = np.concatenate([left[rows, ::-1], right[rows]], axis=1).astype(np.uint64)
+    # every window holds the whole gram, which counts as one symbol
+    around = np.concatenate([left[rows, ::-1], keys[rows, None].view(np.uint64), right[rows]], axis=1)
+    size = least - gram + 1
     sums = np.zeros((around.shape[1] + 1, len(rows)), np.uint64)
     for j in range(around.shape[1]):
         sums[j + 1] = sums[j] * _ODD + around[:, j]
-    power = np.uint64(pow(int(_ODD), least, 1 << 64))
+    power = np.uint64(pow(int(_ODD), size, 1 << 64))
     out = []
     for s in range(width):
         some = np.flatnonzero(wanted[rows] >> s & 1)
-        who, begin = rows[some], width - s
-        value = mixed(sums[begin + least, some] - sums[begin, some] * power)
+        who, start = rows[some], width - s
+        # the place of the gram in the window is part of the hash
+        value = mixed(sums[start + size, some] - sums[start, some] * power + np.uint64(s))
         out.append(np.stack([value.view(np.int64), docs[who], at[who] - s, met[who] >> s & 1], axis=1))
     return np.concatenate(out)
 
@@ -184,7 +191,7 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
                 words = np.where(words == _EDGE, np.uint64(1), words)
                 at = np.array(chosen, np.int64)
                 padded = np.concatenate([np.zeros(window, np.uint64), words, np.zeros(least, np.uint64)])
-                rights += map(bytes, padded[at[:, None] + (window + np.arange(least))].astype(">u8"))
+                rights += map(bytes, padded[at[:, None] + (window + gram + np.arange(least - gram))].astype(">u8"))
                 lefts += map(bytes, padded[at[:, None] + (window - 1 - np.arange(window))].astype(">u8"))
                 keys.append(runs(words, gram)[at].view(np.int64)), ids.append(np.full(len(at), doc_id)), ats.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ats)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["key", "doc_id", "at", "left", "right"])
@@ -201,7 +208,7 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
         held = None
         for b in batches:
             table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
-            spans, windows = _compare(table, least)
+            spans, windows = _compare(table, least, gram)
             n = len(spans)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *(pa.array(spans[:, j]) for j in range(3)), pa.nulls(n, pa.int64())], list(shape_out))
             for k in range(0, len(windows), 65536):
