@@ -87,8 +87,8 @@ def name_from_url(url: Column, default: str, extension: str) -> Column:
 
 
 def stamped_name(prefix: str, name: Column, at: Column) -> Column:
-    """``prefix-name-YYYYmmdd-HHMMSS`` in UTC."""
-    return F.concat(F.lit(f"{prefix}-"), name, F.lit("-"), F.date_format(at, "yyyyMMdd-HHmmss"))
+    """``prefix-name_YYYYmmdd_HHMMSS``, the time in the session's zone."""
+    return F.concat(F.lit(f"{prefix}-"), name, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"))
 
 
 #: Form of a picture request inside a text: an optional prompt, caption and ratio, parted by bars.

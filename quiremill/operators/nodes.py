@@ -124,18 +124,22 @@ def summaries(elems: DataFrame, header_rows: int = 3) -> DataFrame:
     outer = outer_tables(elems)
     declared = elems.where("tag = 'tbl'").select(*SECTION, F.col("pos").alias("tbl_pos"), _int("rowCnt").alias("row_count"), _int("colCnt").alias("col_count"))
     cells = _cells(elems).join(outer, [*SECTION, "tbl_pos"])
-    spans = elems.where("tag = 'tc'").select(*SECTION, F.col("pos").alias("tc_pos"), F.col("end_pos").alias("tc_end"), F.col("outer_tbl_pos").alias("tbl_pos"))
-    words = elems.where((F.col("tag") == "t") & ~X.is_blank(F.col("text"))).select(*SECTION, F.col("outer_tbl_pos").alias("tbl_pos"), F.col("pos").alias("t_pos"), X.strip(F.col("text")).alias("w")).where(F.col("tbl_pos").isNotNull())
-    texts = spans.join(words, [*SECTION, "tbl_pos"]).where(F.col("t_pos").between(F.col("tc_pos"), F.col("tc_end"))).groupBy(*SECTION, "tc_pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("t_pos", "w"))), lambda s: s["w"]).alias("texts"))
+    # a text belongs to the last cell of its outer table that begins before it
+    words = F.when((F.col("tag") == "t") & ~X.is_blank(F.col("text")), X.strip(F.col("text")))
+    cell = F.when((F.col("tag") == "tc") & (F.col("tbl_pos") == F.col("outer_tbl_pos")), F.struct(F.col("pos").alias("tc_pos"), F.col("end_pos").alias("tc_end")))
+    inside = elems.where(F.col("outer_tbl_pos").isNotNull() & F.col("tag").isin("t", "tc")).select(*SECTION, "outer_tbl_pos", "pos", words.alias("w"), cell.alias("cell"))
+    so_far = Window.partitionBy(*SECTION, "outer_tbl_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = inside.withColumn("cell", F.last("cell", True).over(so_far)).where(F.col("w").isNotNull() & (F.col("pos") <= F.col("cell.tc_end")))
+    texts = held.groupBy(*SECTION, F.col("cell.tc_pos").alias("tc_pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("texts"))
     rows = cells.join(texts, [*SECTION, "tc_pos"], "left").withColumns({"texts": F.coalesce("texts", F.expr("cast(array() as array<string>)")), "col_span": F.col("cell_col_span"), "width": F.col("cell_width")})
     out = A.table_summaries(rows, [*SECTION, "tbl_pos", "outer_idx"], header_rows)
     return out.join(declared, [*SECTION, "tbl_pos"]).withColumns({"row_count": F.coalesce("row_count", F.lit(0)), "col_count": F.coalesce("col_count", F.lit(0))})
 
 
-def relevant_summaries(all_summaries: DataFrame, chunk_nodes: DataFrame) -> DataFrame:
-    """Summaries of the tables that a chunk has cells of."""
-    used = chunk_nodes.where("table_idx >= 0").select(*SECTION, F.col("table_idx").alias("outer_idx")).distinct()
-    return all_summaries.join(used, [*SECTION, "outer_idx"], "left_semi")
+def relevant_summaries(all_summaries: DataFrame, chunk_nodes: DataFrame, chunk: Sequence[str] = (*SECTION, "chunk_no")) -> DataFrame:
+    """Summaries of the tables that a chunk has cells of, for each chunk."""
+    used = chunk_nodes.where("table_idx >= 0").select(*chunk, F.col("table_idx").alias("outer_idx")).distinct()
+    return used.join(all_summaries, [*SECTION, "outer_idx"])
 
 
 def summary_text(most_headers: int = 15) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Keys = Sequence[str]
 
@@ -50,19 +51,38 @@ def greedy_chunks(units_df: DataFrame, by: Keys) -> DataFrame:
 
     A fold within each section: the state is the chunk's number, its fill and the divided table it belongs to.
     """
-    one = F.struct("unit_at", "size", "oversize", "most", "nids")
-    grouped = units_df.groupBy(*by).agg(F.sort_array(F.collect_list(one)).alias("units"))
-    start = F.expr("named_struct('no', cast(-1 as bigint), 'fill', cast(0 as bigint), 'over', cast(null as bigint), 'out', cast(array() as array<bigint>))")
+    def step(state, size, over, most):
+        number, fill, last = state
+        if number < 0 or over != last or fill + size > most:
+            return (number + 1, size, over), number + 1
+        return (number, fill + size, over), number
 
-    def step(state: Column, u: Column) -> Column:
-        new = (state["no"] < 0) | ~state["over"].eqNullSafe(u["oversize"].cast("long")) | (state["fill"] + u["size"] > u["most"])
-        no = F.when(new, state["no"] + 1).otherwise(state["no"])
-        fill = F.when(new, u["size"]).otherwise(state["fill"] + u["size"])
-        return F.struct(no.alias("no"), fill.alias("fill"), u["oversize"].cast("long").alias("over"), F.concat(state["out"], F.array(no)).alias("out"))
+    return folded(units_df, by, "unit_at", ["size", "oversize", "most"], step, (-1, 0, None), "chunk_no").select(*by, "unit_at", "size", "nids", "chunk_no")
 
-    numbers = F.aggregate("units", start, step, lambda s: s["out"])
-    zipped = grouped.select(*by, F.explode(F.arrays_zip(F.col("units"), numbers.alias("no"))).alias("z"))
-    return zipped.select(*by, F.col("z.units.unit_at").alias("unit_at"), F.col("z.units.size").alias("size"), F.col("z.units.nids").alias("nids"), F.col("z.no").alias("chunk_no"))
+
+def folded(df: DataFrame, by: Keys, order: str, values: Sequence[str], step, start, name: str) -> DataFrame:
+    """``df`` with a long column made by a fold over each group's rows in order: ``step(state, *values)`` gives (state, value).
+
+    Rows stream through in sorted Arrow batches, and of a group only the state is held, so a group may have any length.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    rows = df.repartition(*by).sortWithinPartitions(*by, order)
+    keys, given = [df.columns.index(k) for k in by], [df.columns.index(v) for v in values]
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, state = None, start
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(k).to_pylist() for k in (*keys, *given)), strict=True):
+                if row[: len(keys)] != at:
+                    at, state = row[: len(keys)], start
+                state, value = step(state, *row[len(keys) :])
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, name])
+
+    return rows.mapInArrow(run, schema)
 
 
 def page_numbers(children: DataFrame, by: Keys, order: str, drop: int = 1000, top: int = 1000, used: int = 2000, first: str = "first_pos", last: str = "last_bottom", forced: str | None = None) -> DataFrame:
@@ -84,18 +104,15 @@ def row_chunks(rows: DataFrame, by: Keys, order: str, pos: str = "first_pos", fo
     A split forgets the position before it, and a row without a position keeps it, so this is a fold.
     """
     ask = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
-    grouped = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(pos).cast("double").alias("pos"), ask.alias("ask")))).alias("rows"))
-    start = F.expr("named_struct('no', cast(0 as bigint), 'prev', cast(null as double), 'n', cast(0 as bigint), 'out', cast(array() as array<bigint>))")
-
-    def step(s: Column, r: Column) -> Column:
-        split = (s["n"] > 0) & (r["ask"] | F.coalesce(r["pos"] < s["prev"] - drop, F.lit(False)))
-        no = F.when(split, s["no"] + 1).otherwise(s["no"])
-        prev = F.when(split, r["pos"]).otherwise(F.coalesce(r["pos"], s["prev"]))
-        return F.struct(no.alias("no"), prev.alias("prev"), (s["n"] + 1).alias("n"), F.concat(s["out"], F.array(no)).alias("out"))
-
-    numbers = F.aggregate("rows", start, step, lambda s: s["out"])
-    zipped = grouped.select(*by, F.explode(F.arrays_zip(F.col("rows"), numbers.alias("no"))).alias("z"))
-    return zipped.select(*by, F.col("z.rows.at").alias(order), F.col("z.no").alias("chunk_no"))
+    wanted = rows.select(*by, F.col(order), F.col(pos).cast("double").alias("__pos"), ask.alias("__ask"))
+
+    def step(state, place, asked):
+        number, before, first = state
+        if not first and (asked or (place is not None and before is not None and place < before - drop)):
+            return (number + 1, place, False), number + 1
+        return (number, before if place is None else place, False), number
+
+    return folded(wanted, by, order, ["__pos", "__ask"], step, (0, None, True), "chunk_no").select(*by, order, "chunk_no")
 
 
 def gaps(children: DataFrame, by: Keys, order: str, first: str = "first_pos", last: str = "last_bottom", name: str = "gap") -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quiremill.functions.text import normalize_patch, safe_name, stamped_name
 from quiremill.operators import annotate as N
 from quiremill.operators import joins as J
 from quiremill.operators import mutate as M
 from quiremill.operators import render as R
 from quiremill.operators import sequence as S
 from quiremill.operators.keep import kept
-from quiremill.operators.nodes import SECTION, chunks, for_model, merged_chunks, nodes, planned_chunks, with_global_ids
+from quiremill.operators.nodes import SECTION, chunks, for_model, merged_chunks, nodes, planned_chunks, summaries, with_global_ids
 from quiremill.operators.styles import centre_paragraph
 from quiremill.sources import html as H
 from quiremill.sources import package as P
@@ -88,18 +89,26 @@ def chunked(node_table: DataFrame, plan: DataFrame | None, most: int) -> DataFra
     return merged.unionByName(chunks(left, most))
 
 
-def generate(entries: DataFrame, analyse: N.Annotator, fill: N.Annotator, topic: str, plan: DataFrame | None = None, pictures: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+def planned(table: DataFrame, all_summaries: DataFrame, planner: N.Annotator, wording: N.Wording = N.Wording()) -> DataFrame:
+    """The plan (section, chunk_id, node_ids) that a model answers with, from the nodes it is shown."""
+    return kept(N.plans(planner.annotate(N.plan_prompts(for_model(table), all_summaries, wording))))
+
+
+def generate(entries: DataFrame, analyse: N.Annotator, fill: N.Annotator, topic: str, plan: DataFrame | N.Annotator | None = None, pictures: DataFrame | None = None, options: Options = Options(), description: str = "", reference: str = "", wording: N.Wording = N.Wording()) -> DataFrame:
     """(doc_id, content) of filled templates.
 
-    ``pictures`` (doc_id, section_no, nid, seq, body) are pictures made for the requests; a request without one is passed over, and
-    nodes that go without a picture go.
+    ``plan`` is a plan of chunks, or what answers with one. ``pictures`` (doc_id, section_no, nid, seq, body) are pictures made for
+    the requests; a request without one is passed over, and nodes that go without a picture go.
     """
     pkg = Package(entries)
-    table = pkg.nodes()
-    chunk_of = chunked(table, plan, options.most_nodes)
-    shown = kept(N.prompts(for_model(table), chunk_of))
-    analysed, filled = kept(analyse.annotate(shown)), kept(fill.annotate(shown))
+    table, all_summaries = pkg.nodes(), kept(summaries(pkg.elems))
+    if plan is not None and not isinstance(plan, DataFrame):
+        plan = planned(table, all_summaries, plan, wording)
+    chunk_of = kept(chunked(table, plan, options.most_nodes))
+    shown = kept(N.analysis_prompts(for_model(table), chunk_of, all_summaries, description, wording))
+    analysed = kept(analyse.annotate(shown.drop("html")))
     notes = kept(N.last_note(N.with_pairs(N.analysis(analysed), table)))
+    filled = kept(fill.annotate(N.fill_prompts(shown, notes, chunk_of, topic, description, reference, wording)))
     written = J.fillable(N.fills(filled), notes.select(*SECTION, "id", "category", "action", "skip_fill"), SECTION)
     texts, requests = N.picture_requests(table, written, notes, topic, options.pictures and pictures is not None)
 
@@ -110,11 +119,11 @@ def generate(entries: DataFrame, analyse: N.Annotator, fill: N.Annotator, topic:
         elems, more = _illustrated(pkg, elems, table, have)
     by_id = table.select(*SECTION, F.col("nid").alias("id"), "table_idx")
     done = (have if have is not None else requests.limit(0)).select(*SECTION, F.col("nid").alias("id"))
-    gone = J.deletions(notes.where("delete or category = 'instruction'"), notes.where("delete_if_no_image"), done, by_id.where("table_idx < -1"), SECTION)
+    cells = by_id.where("table_idx >= 0")
+    gone = kept(J.deletions(notes.where("delete or category = 'instruction'"), notes.where("delete_if_no_image"), done, cells, SECTION))
     elems = kept(M.deleted_paragraphs(elems, M.node_paragraphs(table, gone.withColumnRenamed("id", "nid"))))
-    cells = gone.join(by_id.where("table_idx >= 0"), [*SECTION, "id"]).select(*SECTION, "table_idx")
-    marked = notes.where("delete").join(by_id, [*SECTION, "id"]).where("table_idx >= 0").select(*SECTION, "table_idx")
-    elems = M.deleted_tables(elems, N.removed_tables(analysed).select(*SECTION, "table_idx").unionByName(marked).unionByName(cells), table)
+    hit = gone.join(cells, [*SECTION, "id"]).select(*SECTION, "table_idx")
+    elems = M.deleted_tables(elems, N.removed_tables(analysed).select(*SECTION, "table_idx").unionByName(hit), table)
     return pkg.repacked(elems, more)
 
 
@@ -176,6 +185,32 @@ def save_from_html(entries: DataFrame, edited: DataFrame, compat: bool = False,
     return pkg.repacked(M.filled(kept(elems), table, texts.select(*SECTION, "nid", "new_text")))
 
 
+def named(packages: DataFrame, kind: str, title: Column, at: Column) -> DataFrame:
+    """``packages`` with the ``name`` of the file each is to be saved as: ``filled-…`` after its topic, ``edited-…`` after its file."""
+    plain = F.regexp_replace(safe_name(F.trim(title), "report"), r"(?i)\.hwpx$", "")
+    return packages.withColumn("name", F.concat(stamped_name(kind, plain, at), F.lit(".hwpx")))
+
+
+def picture_slots(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """(doc_id, entry, prompt): the pictures of each package in order and the prompts (doc_id, seq, prompt) for them, by place; blank prompts ask for nothing."""
+    slots = P.pictures(entries).select("doc_id", "picture_no", "entry")
+    return J.zipped(slots, requests.select("doc_id", "seq", "prompt"), ["doc_id"], "picture_no", "seq").where(F.trim("prompt") != "").select("doc_id", "entry", "prompt")
+
+
+def with_new_pictures(entries: DataFrame, made: DataFrame) -> DataFrame:
+    """(doc_id, content) of packages whose picture entries (doc_id, entry, body) are exchanged."""
+    new = made.select("doc_id", "entry", F.col("body").alias("__body"))
+    changed = entries.join(new, ["doc_id", "entry"], "left").withColumn("body", F.coalesce("__body", "body")).drop("__body")
+    return P.packed(changed)
+
+
+def exported_pictures(entries: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, path): every picture of packages as a file ``<package>-<picture>`` of a folder."""
+    base = F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"\.[^.]*$", "")
+    name = F.concat(base, F.lit("-"), F.element_at(F.split("entry", "/"), -1))
+    return P.write(P.pictures(entries).select("doc_id", F.col("body").alias("content"), name.alias("file")), folder, F.col("file"))
+
+
 def to_html(entries: DataFrame, lines: bool = False, ids: bool = True) -> DataFrame:
     """(doc_id, html) of packages."""
     pkg = Package(entries)
@@ -195,16 +230,12 @@ def edit_page(entries: DataFrame, number: int, answers: DataFrame, lines: bool =
     cells = td_rows(pages.select("doc_id", F.col("page").alias("html")))
     labels = J.label_values(cells, ["doc_id"], ["row_no"], "cell_no")
     on_page = H.owned_text(pages.select("doc_id", F.col("page").alias("html")), ["doc_id"]).select("doc_id", F.col("id").try_cast("long").alias("id")).where("id is not null")
-    from quiremill.functions.text import normalize_patch
-
     proposed = N.edits(answers).withColumn("new_text", normalize_patch(F.col("new_text")))
     return pages, J.resolved_edits(proposed, labels, on_page, ["doc_id"])
 
 
 def td_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, row_no, cell_no, nid, text): cells with an id, row by row, found by pattern; rows without any are left out."""
-    from quiremill.functions.text import normalize_patch
-
     rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "row"))
     cells = rows.select("doc_id", "row_no", F.posexplode(F.regexp_extract_all("row", F.lit(r'(?is)(<td[^>]*data-id="\d+"[^>]*>.*?</td>)'), F.lit(1))).alias("cell_no", "td"))
     return cells.select("doc_id", "row_no", "cell_no", F.regexp_extract("td", r'data-id="(\d+)"', 1).cast("long").alias("nid"), normalize_patch(F.col("td")).alias("text"))

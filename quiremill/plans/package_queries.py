@@ -481,3 +481,86 @@ def q_pkg_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("entry", F.concat(F.lit("BinData/"), "item", F.lit(".png"))).join(files, ["doc_id", "entry"], "left")
     out = out.join(there("Contents/content.hpf", "item", "href", "in_content"), ["doc_id", "entry"], "left").join(there("META-INF/manifest.xml", "file-entry", "full-path", "in_manifest"), ["doc_id", "entry"], "left")
     return out.select("doc_id", "item", "entry", "width", "height", "clip_right", "caption", "pic_id", "paragraph_id", "para_ref", "char_ref", F.coalesce("in_content", F.lit(False)).alias("in_content"), F.coalesce("in_manifest", F.lit(False)).alias("in_manifest"), "file_width")
+
+
+# --- what models are shown -----------------------------------------------------------------------
+
+_SHOWN = _BASE + _STYLED + f""", model AS (
+  SELECT *, CAST(CASE WHEN is_body THEN (length(raw) - length(ltrim(raw))) // 2 ELSE 0 END AS BIGINT) AS depth, {_MM.format('width')} AS wmm, {_MM.format('height')} AS hmm, replace(text, '&', '&amp;') AS safe,
+         CASE WHEN kind = 'cell' AND r = 0 AND c = 2 THEN table_idx % 2 + 1 ELSE 1 END AS span FROM summed
+), seen AS (SELECT * FROM model WHERE NOT (text = '' AND (CASE WHEN is_body THEN depth = 0 ELSE wmm BETWEEN 1 AND 8 OR hmm BETWEEN 1 AND 3 END))
+), marked AS (
+  SELECT cell.*, m, CASE WHEN m >= 3 THEN 3 WHEN m >= 1 THEN 1 ELSE 0 END AS lo, CASE WHEN cell.n % 3 = 0 THEN 1 ELSE (3 * r + c) % 2 + 1 END AS border FROM cell JOIN seg USING (n, k)
+), heads AS (SELECT n, k, string_agg(trim(raw) || CASE WHEN span > 1 THEN '(' || span || '열병합)' ELSE '' END, ' | ' ORDER BY r, c) FILTER (place <= 15) AS header_texts FROM (SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY r, c) AS place FROM marked WHERE r < 3 AND trim(raw) <> '') GROUP BY ALL
+), measures AS (SELECT n, k, any_value(m) AS m, avg(CASE WHEN trim(raw) = '' THEN 1.0 ELSE 0.0 END) AS ratio, count(*) AS cells, count(DISTINCT border) AS borders FROM marked WHERE r >= lo GROUP BY ALL
+), tables AS (
+  SELECT n, string_agg('[table ' || k || '] ' || (m + 1) || 'x3, headers: ' || header_texts || ', least width 8.0 mm, empty ' || CAST(round_even(ratio * 100, 0) AS BIGINT) || '%' || CASE WHEN cells >= 6 AND borders = 2 THEN ', alternating' ELSE '' END, chr(10) ORDER BY k) AS lines
+  FROM measures JOIN heads USING (n, k) GROUP BY n
+)"""
+
+
+@_query(_SHOWN + """, listed AS (
+  SELECT doc_id, n, section_no, string_agg(printf('[%3d] ', nid) || printf('(%-20s) ', CASE WHEN is_body THEN 'body depth=' || depth ELSE 'T' || table_idx || ' R' || r || ' C' || c END) || text, chr(10) ORDER BY nid) AS nodes,
+         string_agg('- ' || text, chr(10) ORDER BY nid) FILTER (kind = 'heading') AS headings FROM seen GROUP BY ALL)
+SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, 'TASK' || CASE WHEN section_no = 0 AND lines IS NOT NULL THEN chr(10) || chr(10) || '## Tables' || chr(10) || lines ELSE '' END || CASE WHEN headings IS NOT NULL THEN chr(10) || chr(10) || '## Headings' || chr(10) || headings ELSE '' END
+       || chr(10) || chr(10) || '## Nodes' || chr(10) || nodes AS prompt FROM listed LEFT JOIN tables USING (n)""")
+def q_pkg_plan_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14 nodes as lines, F12 headings, A1 summaries: what a model that plans chunks is shown."""
+    pkg = _opened(spark, sf_dir)
+    out = N.plan_prompts(D.for_model(pkg.nodes()), D.summaries(pkg.elems), N.Wording(plan="TASK"))
+    return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "prompt")
+
+
+@_query(_SHOWN + """, td AS (
+  SELECT n, table_idx, r, c, '    <td data-id="' || nid || '" data-size="' || wmm || 'x' || hmm || 'mm" data-style="' || style_summary || '"' || CASE WHEN span > 1 THEN ' colspan="' || span || '"' ELSE '' END || '>' || safe || '</td>' AS x FROM seen WHERE kind = 'cell'
+  UNION ALL SELECT n, table_idx, r, c, '    <td data-id=""></td>' FROM model WHERE kind = 'cell' AND text = ''
+  UNION ALL SELECT n, table_idx, r, 3, '    <td data-id=""></td>' FROM model WHERE kind = 'cell' AND c = 0 AND r > 0 AND table_idx % 2 = 1
+), tr AS (SELECT n, table_idx, r, '  <tr>' || chr(10) || string_agg(x, chr(10) ORDER BY c) || chr(10) || '  </tr>' AS x FROM td GROUP BY ALL
+), piece AS (
+  SELECT n, 0 AS section_no, (SELECT min(nid) FROM seen WHERE seen.n = tr.n AND seen.kind = 'cell' AND seen.table_idx = tr.table_idx) AS place, '<table data-table-idx="' || table_idx || '">' || chr(10) || string_agg(x, chr(10) ORDER BY r) || chr(10) || '</table>' AS x FROM tr GROUP BY n, table_idx
+  UNION ALL SELECT n, section_no, nid, '<p data-id="' || nid || '" data-depth="' || depth || '" data-style="' || style_summary || '">' || CASE WHEN text = '' THEN trim(raw) ELSE safe END || '</p>' FROM seen WHERE is_body
+), page AS (SELECT n, section_no, string_agg(x, chr(10) ORDER BY place) AS html FROM piece GROUP BY ALL)
+SELECT 'nation' || n AS doc_id, CAST(section_no AS BIGINT) AS section_no, 'TASK' || chr(10) || chr(10) || '## Description' || chr(10) || 'Report' || CASE WHEN section_no = 0 AND lines IS NOT NULL THEN chr(10) || chr(10) || '## Tables' || chr(10) || lines ELSE '' END
+       || chr(10) || chr(10) || '## Document' || chr(10) || html AS prompt FROM page LEFT JOIN tables USING (n)""")
+def q_pkg_analysis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14 nodes as HTML, J16 summaries of a chunk's tables, A8 grids of cells, P15 sizes: what a model that classifies nodes is shown."""
+    pkg = _opened(spark, sf_dir)
+    table = D.for_model(pkg.nodes())
+    out = N.analysis_prompts(table, D.chunks(table, 10**9), D.summaries(pkg.elems), "Report", N.Wording(analyse="TASK"))
+    return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "prompt")
+
+
+@_query(_BASE + """, row_of AS (SELECT n, k, r, key, 3402 + 100 * (key % 20) AS height FROM cust
+), first AS (SELECT node.n, node.table_idx, node.c, node.nid FROM node WHERE kind = 'cell' AND r = 0
+), below AS (SELECT node.n, node.table_idx, node.c, node.nid, height FROM node WHERE kind = 'cell' AND r = 1
+), pair AS (SELECT first.n, first.nid AS header, below.nid AS detail, first.c FROM first JOIN below USING (n, table_idx, c) WHERE round_even(below.height / 283.465, 0) >= 12)
+SELECT 'nation' || n AS doc_id, header AS id, 'summary_header' AS role, detail AS partner, CAST(CASE c WHEN 0 THEN 10 WHEN 1 THEN 14 ELSE 10 END AS BIGINT) AS max_chars FROM pair
+UNION ALL SELECT 'nation' || n, detail, 'detail_body', header, -1 FROM pair""")
+def q_pkg_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 and J9 header and detail cells, J10 their roles, O1 nearest candidate, P21 most characters."""
+    table = _opened(spark, sf_dir).nodes(styles=False)
+    notes = table.where("table_idx >= 0").select(*SECTION, F.col("nid").alias("id"), F.lit(None).cast("string").alias("role"), *(F.lit(None).cast("long").alias(k) for k in ("detail_node", "header_node")), F.lit(None).cast("int").alias("max_chars"))
+    out = N.with_pairs(notes, table).where("role is not null")
+    return out.select("doc_id", F.col("id").cast("long").alias("id"), "role", F.coalesce("detail_node", "header_node").cast("long").alias("partner"), F.coalesce("max_chars", F.lit(-1)).cast("long").alias("max_chars"))
+
+
+@_query("""
+SELECT 'nation' || n_nationkey AS doc_id, unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['BinData/B.JPG', 'BinData/image3.png'] WHEN n_nationkey % 3 = 1 THEN ['BinData/B.JPG'] ELSE ['BinData/image3.png'] END) AS entry,
+       unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['p0', 'p1'] WHEN n_nationkey % 3 = 1 THEN ['p0'] ELSE ['p1'] END) AS prompt FROM nation""")
+def q_pkg_picture_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J20 prompts to the pictures of a package by place; there are more prompts than pictures, or fewer, or blank ones."""
+    entries = P.entries(packages(spark, sf_dir))
+    n = F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long")
+    asked = entries.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.when(n % 3 == 1, 0).otherwise(2))).alias("seq"))
+    asked = asked.withColumn("prompt", F.when((n % 3 == 2) & (F.col("seq") == 0), " ").otherwise(F.concat(F.lit("p"), F.col("seq").cast("string"))))
+    return office.picture_slots(entries, asked)
+
+
+@_query("""SELECT o_orderkey, 'filled-' || CASE WHEN s = '' THEN 'report' ELSE s END || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.hwpx' AS filled, 'edited-' || CASE WHEN s = '' THEN 'report' ELSE s END || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.hwpx' AS edited
+FROM (SELECT *, regexp_replace(regexp_replace(CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE o_orderpriority || '/' || o_orderstatus || ' ' END, '[^0-9A-Za-z._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM orders)""")
+def q_output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P26 names of written packages, from topics and from file names."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    title = F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(F.concat("o_orderpriority", F.lit("/"), "o_orderstatus", F.lit(" ")))
+    filled = office.named(o, "filled", title, F.col("o_orderdate")).withColumnRenamed("name", "filled")
+    return office.named(filled, "edited", F.concat(F.trim(title), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(".HWPX")), F.col("o_orderdate")).select("o_orderkey", "filled", F.col("name").alias("edited"))

@@ -108,13 +108,13 @@ def picture_format(body: Column) -> Column:
     """png, jpeg, gif, webp or bmp by the first bytes."""
     head = F.hex(F.substring(body, 1, 12))
     return (
-        F.when(F.startswith(head, F.lit("89504E470D0A1A0A")), "png").when(F.startswith(head, F.lit("FFD8FF")), "jpeg").when(F.startswith(head, F.lit("47494638")), "gif")
+        F.when(F.startswith(head, F.lit("89504E470D0A1A0A")), "png").when(F.startswith(head, F.lit("FFD8")), "jpeg").when(F.startswith(head, F.lit("47494638")), "gif")
         .when(F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250")), "webp").when(F.startswith(head, F.lit("424D")), "bmp")
     )
 
 
 def picture_size(body: Column) -> Column:
-    """struct<width, height> of PNG and JPEG data; null for others."""
+    """struct<width, height> of PNG and JPEG data; null for others. Bytes between a JPEG's segments are passed over."""
 
     @F.pandas_udf("struct<width:int,height:int>")
     def size(s):  # noqa: ANN001
@@ -126,11 +126,19 @@ def picture_size(body: Column) -> Column:
             if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24:
                 return int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big")
             at = 2
-            while b[:2] == b"\xff\xd8" and at + 9 < len(b) and b[at] == 0xFF:
+            while b[:2] == b"\xff\xd8" and at + 9 < len(b):
+                if b[at] != 0xFF:  # padding between segments
+                    at += 1
+                    continue
                 kind, n = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
-                if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                if kind in (0xD8, 0xD9):  # these have no length
+                    at += 2
+                elif 0xC0 <= kind <= 0xC3:
                     return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
-                at += 2 + n
+                elif n < 2:
+                    break
+                else:
+                    at += 2 + n
             return None, None
 
         return pd.DataFrame([one(b) for b in s], columns=["width", "height"], dtype="Int32")
