@@ -2,19 +2,22 @@
 
 Joining a table with its own derivatives repeats its whole plan in each; after a few steps planning alone would take minutes.
 So what is used often goes to a table in the folder that driver and executors share, which also survives lost executors.
+``cleared`` removes these tables when the results that need them have been used.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -23,13 +26,36 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders written within the scopes that are open.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written for results within it; these must have been used (saved, counted) by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path, schema = f"{shared_folder(df.sparkSession)}/quiremill/{name}-{uuid.uuid4().hex}", df.schema
+    for scope in _scopes:
+        scope.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` as a written table; what is one already stays as it is."""
     if getattr(df, "_quiremill_kept", False):
         return df
-    path, schema = f"{shared_folder(df.sparkSession)}/quiremill/kept-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    out = written(df, "kept")
     out._quiremill_kept = True
     return out
 

@@ -80,3 +80,15 @@ def test_convert_folder_and_settings(spark, tmp_path):
     made = office.convert(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
     assert [r.path.rsplit("/", 1)[1] for r in made] == ["doc0.html"] and "hello" in (tmp_path / "out/doc0.html").read_text()
     assert office.settings_file("# c\nA=1\nB = 'x'\nbad\n", {"A": "2"}) == {"A": "2", "B": "x"}
+
+
+def test_written_tables_are_cleared(spark):
+    import os
+
+    from quiremill.operators import keep
+
+    folder = os.path.join(keep.shared_folder(spark), "quiremill")
+    with keep.cleared(spark):
+        one = keep.written(spark.range(3), "probe")
+        assert one.count() == 3 and any(f.startswith("probe-") for f in os.listdir(folder))
+    assert not any(f.startswith("probe-") for f in os.listdir(folder))
