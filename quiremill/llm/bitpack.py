@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiremill.llm import bpe
-from quiremill.llm._common import default_vocabulary, shared_dir, sliced
+from quiremill.llm._common import default_vocabulary, sliced
+from quiremill.operators.keep import shared_folder
 
 _MAGIC, _HEAD, _NULL = b"QMBITS1\0", struct.Struct("<8sIIQQ"), -(2**63)
 
@@ -196,5 +197,5 @@ def read(shards: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, **options) -> DataFrame:
     """Write all documents to shards in the shared folder and describe each from what is read back."""
-    path = f"{shared_dir(docs.sparkSession)}/quiremill/token-ids-{uuid.uuid4().hex}"
+    path = f"{shared_folder(docs.sparkSession)}/quiremill/token-ids-{uuid.uuid4().hex}"
     return read(write(docs, path, vocabulary, **options))

@@ -86,9 +86,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest: Digest = sha256) -> DataFrame:
     """One row of ``docs`` for each group, all columns as they were."""
     kept = _looked_up(_rows(docs, id_col, text_col, digest), salts).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # only repeated ids can leave several rows of a group, a check that reads the ids alone
+    if docs.groupBy(docs[id_col].cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept.select("row.*")
     once = F.col("group_size") == 1
-    # where a winner has copies these may have its id as well: only such groups are combined, first within each task, by the
-    # longest text, then the least
+    # combined first within each task: the longest text, then the least
     text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     repeats = kept.where(~once).groupBy(*KEY, normalised(F.col("row")[text_col]).alias("norm")).agg(F.min_by("row", F.struct(-F.length(text), text)).alias("row"))
     return kept.where(once).select("row.*").union(repeats.select("row.*"))
