@@ -38,8 +38,18 @@ def cleared(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that no result needs any more: all that was made of them has been written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._quiremill_path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +58,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     for scope in _scopes:
         scope.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._quiremill_path = path
+    return out
 
 
 def kept(df: DataFrame) -> DataFrame:
