@@ -6,9 +6,10 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quiremill.operators.keep import dropped
 from quiremill.operators.keep import written as staged
 
-__all__ = ["SLICE", "default_vocabulary", "read", "sliced", "staged"]
+__all__ = ["SLICE", "default_vocabulary", "dropped", "read", "sliced", "staged"]
 
 #: Rows that Python workers turn into lists at a time; bounds a worker's memory, not the result.
 SLICE = 256

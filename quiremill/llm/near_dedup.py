@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.llm._common import sliced, staged
+from quiremill.llm._common import dropped, sliced, staged
 from quiremill.llm.words import Words, mixed, runs
 
 BINS, ROWS = 128, 4
@@ -228,14 +228,18 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.join(parents, "member")
         rest = staged(both.where(F.col("centre") != F.col("parent")).select(F.greatest("centre", "parent").alias("member"), F.least("centre", "parent").alias("centre")), "near-rest")
         if rest.isEmpty():
+            dropped(edges, rest)
             break
+        before = (edges, rest, parents)
         edges = staged(rest.union(parents.select("member", F.col("parent").alias("centre"))).distinct(), "near-links")
+        dropped(*before)
     while True:
         above = parents.select(F.col("member").alias("parent"), F.col("parent").alias("above"))
-        jumped = staged(parents.join(above, "parent", "left").select("member", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "near-parents")
-        parents = jumped.select("member", "parent")
+        jumped = staged(parents.select("member", "parent").join(above, "parent", "left").select("member", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "near-parents")
+        dropped(parents)
+        parents = jumped
         if jumped.where("moved").isEmpty():
-            return parents.withColumnRenamed("parent", "root")
+            return jumped.select("member", F.col("parent").alias("root"))
 
 
 def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS, rows: int = ROWS, salts: int = 64, block: int = 512) -> DataFrame:
@@ -256,6 +260,7 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 80, bins: int = BINS,
     sizes = classes.select(F.col("doc_id").alias("class_id"), "n_shingles")
     sets = _sets(docs, starred, words)
     links = staged(_confirmed(sets, stars, percent, salts), "near-confirmed")
+    dropped(keys, buckets)
     roots, clusters = components(links), components(stars)
 
     reach = lambda df, name: df.select(F.col("member").alias("class_id"), F.col("root").alias(name))

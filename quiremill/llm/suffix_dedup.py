@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.llm._common import sliced, staged
+from quiremill.llm._common import dropped, sliced, staged
 from quiremill.llm.words import _ODD, Words, mixed, runs
 
 #: Words beyond either end of a text, one kind for each end and document: they match nothing.
@@ -199,7 +199,8 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
     shape = "key long, doc_id long, at long, left binary, right binary"
     suffixes = rows.join(wanted, "doc_id").select("doc_id", "text", "ats").mapInArrow(contexts, shape)
     order = ["key", "right", "doc_id", "at"]
-    dealt = staged(suffixes, "suffix-contexts").repartitionByRange(*order).sortWithinPartitions(*order)
+    context = staged(suffixes, "suffix-contexts")
+    dealt = context.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(batches):
         """Spans (met null), and windows (key: hash, end: null)."""
@@ -224,6 +225,7 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
 
     shape_out = dict.fromkeys(("key", "doc_id", "at", "end", "met"), "long")
     compared = staged(dealt.mapInArrow(compare, ", ".join(f"{k} {v}" for k, v in shape_out.items())), "suffix-compared")
+    dropped(retained, again, wanted, context)
     # windows in two documents, or known to be
     windows = compared.where("met is not null").select("key", "doc_id", "at", "met")
     shared = staged(windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("met").alias("met")).where("a < z or met = 1").select("key"), "suffix-windows")
