@@ -129,8 +129,3 @@ def style_summary(name: Column, char: Column, para: Column) -> Column:
     part = lambda label, c: F.when(some(c), F.concat(F.lit(label), c))
     parts = F.concat_ws(",", part("style=", name), part("size=", at(char, "height")), F.when(some(at(char, "bold")), F.lit("bold")), F.when(some(at(char, "italic")), F.lit("italic")), part("color=", at(char, "textColor")), part("align=", at(para, "align_horizontal")))
     return F.when(parts == "", F.lit("")).otherwise(F.concat(F.lit("S:"), parts))
-
-
-def attributes_text(entries: Column) -> Column:
-    """array<struct<key, value>> as ``key="value"`` pairs; a key without a value stands alone."""
-    return F.array_join(F.transform(entries, lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit('="'), escape_html(e["value"], quotes=True), F.lit('"')))), " ")

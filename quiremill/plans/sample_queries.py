@@ -432,3 +432,50 @@ def q_dedup_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _read(spark, sf_dir, "documents").select(F.col("source").alias("s"), F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 40).alias("table_idx"))
     bare = nodes.join(_read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
     return J.deletions(nodes.where("id % 29 = 0"), bare, nodes.where("id % 2 = 0"), nodes.where("table_idx % 2 = 0"), ["s"])
+
+
+@_query("""WITH e AS (SELECT *, row_number() OVER w AS k, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, CAST(sum(CASE WHEN k > 1 AND event_type <> before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run_no FROM e""")
+def q_style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of equal style; a user's events stand for a paragraph's texts, their types for styles."""
+    return S.runs_of_equal(_read(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type").select("event_id", F.col("run_no").cast("long").alias("run_no"))
+
+
+_SEGMENTS = "SELECT l_orderkey, CAST(l_partkey % 100 AS BIGINT) AS l, CAST(l_suppkey % 50 AS BIGINT) AS t, CAST(l_quantity AS BIGINT) AS w, CAST(l_linenumber AS BIGINT) AS h FROM lineitem"
+
+
+@_query(f'SELECT l_orderkey, min(l) AS "left", min(t) AS top, max(l + w) AS "right", max(t + h) AS bottom FROM ({_SEGMENTS}) GROUP BY l_orderkey')
+def q_bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of paragraphs; an order's items stand for lines."""
+    i = _read(spark, sf_dir, "lineitem")
+    lines = i.select("l_orderkey", (F.col("l_partkey") % 100).alias("left"), (F.col("l_suppkey") % 50).alias("top"), F.col("l_quantity").cast("long").alias("width"), F.col("l_linenumber").cast("long").alias("height"))
+    return A.bounding_boxes(lines, ["l_orderkey"])
+
+
+@_query("""SELECT l_orderkey, bool_and(l_returnflag = 'N') AS borderless, count(DISTINCT l_linestatus) > 1 OR count(DISTINCT CASE WHEN l_returnflag = 'N' THEN 'NONE' ELSE l_returnflag END) > 1 AS separate FROM lineitem GROUP BY l_orderkey""")
+def q_border_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a table's edges are alike; items stand for cells, their flags for kinds of edges."""
+    kind = F.when(F.col("l_returnflag") == "N", "NONE").otherwise(F.col("l_returnflag"))
+    return A.border_uniformity(_read(spark, sf_dir, "lineitem").withColumns({"border_type": kind, "border_width": F.col("l_linestatus")}), ["l_orderkey"])
+
+
+@_query("""SELECT p_partkey, CAST(p_size AS DOUBLE) AS top, CAST(CASE WHEN p_partkey % 4 >= 2 THEN p_size + 2 ELSE p_size END AS DOUBLE) AS bottom,
+       CASE WHEN p_retailprice > 1000 THEN greatest(0.5, 1000 / p_retailprice) END AS scale, NOT (p_partkey % 3 = 0 AND ((p_size * 3 BETWEEN 1 AND 79) OR (p_size BETWEEN 1 AND 24))) AS room FROM part""")
+def q_box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padding shorthand of one to four lengths, the factor that fits a table to its page, whether a node has room for a picture."""
+    from quiremill.operators.annotate import large_enough
+
+    size = F.col("p_size")
+    lengths = F.transform(F.sequence(F.lit(0), (F.col("p_partkey") % 4).cast("int")), lambda k: F.concat((size + k).cast("string"), F.lit("px")))
+    pad = U.padding_top_bottom(F.array_join(lengths, " "))
+    scale = U.table_scale(F.lit(1000.0), F.col("p_retailprice"))
+    return _read(spark, sf_dir, "part").select("p_partkey", pad["top"].alias("top"), pad["bottom"].alias("bottom"), scale.alias("scale"), large_enough(size * 3, size, F.col("p_partkey") % 3 == 0).alias("room"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'border-left:' || p_size || 'px; ' ELSE '' END || 'padding:' || p_brand || CASE WHEN p_size % 3 = 0 THEN '; background-color:' || p_type ELSE '' END AS box FROM part""")
+def q_box_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a style that belong to its box, as text; those without a value go."""
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    size = F.col("p_size")
+    style = F.array(entry("color", F.lit("red")), entry("border-left", F.when(size % 2 == 0, F.concat(size.cast("string"), F.lit("px")))), entry("padding", F.col("p_brand")), entry("font-size", F.col("p_name")), entry("background-color", F.when(size % 3 == 0, F.col("p_type")).otherwise("")))
+    return _read(spark, sf_dir, "part").select("p_partkey", U.css(U.box_entries(style)).alias("box"))
