@@ -54,15 +54,20 @@ def coalesced_lookup(rows: DataFrame, by: Keys, key: str, dimension: DataFrame,
 def overlapping_below(cells: DataFrame, by: Keys, most_header: float = 10, least_detail: float = 12, nid: str = "nid", row: str = "row", col: str = "col", row_span: str = "row_span", col_span: str = "col_span", height: str = "height") -> DataFrame:
     """(by, header, detail): a low cell and the nearest cell below it (least row, then column) whose columns overlap, if that one is high.
 
-    An equi-join by table with the overlap as a residual condition; only the nearest candidate is tested for height.
+    Cells overlap where they share a column, so each column is looked along by itself, in one pass from every low cell to the next
+    cell at or below its end. Only the nearest candidate is tested for height.
     """
     one = F.greatest(F.lit(1), F.col(row_span))
-    right = F.col(col) + F.greatest(F.lit(1), F.col(col_span)) - 1
-    a = cells.where((F.col(height) > 0) & (F.col(height) <= most_header)).select(*by, F.col(nid).alias("header"), (F.col(row) + one).alias("__from"), F.col(col).alias("__lo"), right.alias("__hi"))
-    b = cells.select(*by, F.col(nid).alias("detail"), F.col(row).alias("__row"), F.col(col).alias("__blo"), right.alias("__bhi"), F.col(height).alias("__h"))
-    pairs = a.join(b, list(by)).where((F.col("__row") >= F.col("__from")) & (F.col("__lo") <= F.col("__bhi")) & (F.col("__blo") <= F.col("__hi")))
-    nearest = pairs.groupBy(*by, "header").agg(F.min(F.struct("__row", "__blo", "detail", "__h")).alias("n"))
-    return nearest.where(F.col("n.__h") >= least_detail).select(*by, "header", F.col("n.detail").alias("detail"))
+    columns = F.explode(F.sequence(F.col(col), F.col(col) + F.greatest(F.lit(1), F.col(col_span)) - 1)).alias("__column")
+    low = (F.col(height) > 0) & (F.col(height) <= most_header)
+    found = F.struct(F.col(row).alias("row"), F.col(col).alias("col"), F.col(nid).alias("detail"), F.col(height).alias("height"))
+    heads = cells.where(low).select(*by, columns, (F.col(row) + one).alias("__at"), F.lit(-1).alias("__col"), F.col(nid).alias("header"), F.lit(None).cast(cells.select(found.alias("f")).schema["f"].dataType).alias("f"))
+    all_cells = cells.select(*by, columns, F.col(row).alias("__at"), F.col(col).alias("__col"), F.lit(None).cast(cells.schema[nid].dataType).alias("header"), found.alias("f"))
+    # a low cell stands before the cells in the row where it ends
+    ahead = Window.partitionBy(*by, "__column").orderBy("__at", F.col("header").isNull(), "__col", "f.detail").rowsBetween(1, Window.unboundedFollowing)
+    below = heads.unionByName(all_cells).withColumn("__next", F.first("f", True).over(ahead)).where(F.col("header").isNotNull() & F.col("__next").isNotNull())
+    nearest = below.groupBy(*by, "header").agg(F.min("__next").alias("n"))
+    return nearest.where(F.col("n.height") >= least_detail).select(*by, "header", F.col("n.detail").alias("detail"))
 
 
 def with_roles(analysis: DataFrame, pairs: DataFrame, by: Keys, widths: DataFrame | None = None) -> DataFrame:

@@ -150,7 +150,11 @@ def q_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.label_values(cells, ["page_id"], ["row"], "col")
 
 
-@_query()
+_DECODED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@_query(f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>')))) AS k FROM pages)
+SELECT page_id, {_DECODED.format('id')} AS id, string_agg({_DECODED.format('text')}, '' ORDER BY k) AS text, bool_or(text <> '') AS has_data FROM a GROUP BY page_id, {_DECODED.format('id')}""")
 def q_link_text_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text by the nearest element that carries an id; link targets stand for ids."""
     from quiremill.sources.html import owned_text

@@ -16,10 +16,6 @@ def test_same_as_sql(spark, con, name):
     same(q.QUERIES[name](spark, SF), q.ORACLE_SQL[name], con)
 
 
-def test_text_by_owner_has_rows(spark):
-    assert q.QUERIES["q_link_text_by_owner"](spark, SF).count() > 0
-
-
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 
