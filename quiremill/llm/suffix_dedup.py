@@ -159,7 +159,7 @@ def _windows(keys, docs, at, left, right, before, after, met, earlier, furthest,
     return np.concatenate(out)
 
 
-def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
+def repeated(docs: DataFrame, least: int = 50, gram: int = 20, range_rows: int = 50_000) -> DataFrame:
     """One row per repeated passage: doc_id, start_word, end_word (exclusive), n_words."""
     window = least - gram + 1
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
@@ -200,7 +200,9 @@ def repeated(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
     suffixes = rows.join(wanted, "doc_id").select("doc_id", "text", "ats").mapInArrow(contexts, shape)
     order = ["key", "right", "doc_id", "at"]
     context = staged(suffixes, "suffix-contexts")
-    dealt = context.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges of so many rows each: merged by their compressed bytes, as adaptive plans would, ranges of copies would be far larger than others
+    ranges = max(1, -(-context.count() // range_rows))
+    dealt = context.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def compare(batches):
         """Spans (met null), and windows (key: hash, end: null)."""

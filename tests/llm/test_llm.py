@@ -388,6 +388,25 @@ def test_base_spans_are_the_patterns(parts):
     assert pii.base_spans(text) == plain_spans(text)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pii_query_is_the_plain_patterns_and_more(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    rows = queries.op8_pii(spark, f"/root/testdata/{sf}").collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    order = ("email", "ip", "card", "phone")
+    for r in rows:
+        text = texts[r.doc_id]
+        base = [f"{k}:{a}:{z}" for k, a, z in plain_spans(text)]
+        every = r.spans.split(",") if r.spans else []
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b.startswith(f"{k}:") for b in base) for k in order)
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(every)
+        # what the field adds holds as many digits as its kind asks for, and an address its sign or words for it
+        for kind, start, end in (e.split(":") for e in set(every) - set(base)):
+            part = text[int(start) : int(end)]
+            digits = sum(c in "0123456789" for c in part)
+            assert kind in order and (kind == "email" and ("@" in part or " at " in part.lower() or "(at)" in part.lower()) or kind == "ip" and digits >= 4 or kind == "card" and 13 <= digits <= 19 or kind == "phone" and 7 <= digits <= 15), part
+
+
 def test_field_adds_what_patterns_miss():
     field = pii.fit()
     lines = pii.labelled_lines(200, seed=77)
@@ -509,7 +528,7 @@ def test_repeated_passages_are_brute_force(spark, seed):
     texts[500] = " ".join(phrases[0] * 400)  # a document that is one line over and over
     texts[501] = " ".join(phrases[0] * 3 + phrases[1])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
-    assert sorted(tuple(x) for x in suffix_dedup.repeated(df).collect()) == brute_passages(texts)
+    assert sorted(tuple(x) for x in suffix_dedup.repeated(df, range_rows=100).collect()) == brute_passages(texts)  # many ranges
 
 
 def test_repeated_passages_of_odd_rows(odd, empty):
