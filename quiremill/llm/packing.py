@@ -20,6 +20,7 @@ pieces of equal length are ranked by id; an empty table has no sequences; other
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 from itertools import pairwise
 
@@ -77,7 +78,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
     """Patterns [pattern, class] and how often each is used (fractions) so that all demand is met with few sequences.
 
     Each round prices patterns once and takes in all that still improve the plan. The plan is within ``gap`` of the
-    optimum when the best price is within ``gap`` of 1; ``rounds`` bounds the work where that takes long.
+    optimum when the best price is within ``gap`` of 1; ``rounds`` bounds the work where that takes long, and a warning says so.
     """
     fits = capacity // sizes
     patterns = np.diag(fits.astype(float))
@@ -104,6 +105,8 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
         if step % 40 == 39:  # rounding errors go
             inverse = inverted(patterns)
             used = np.einsum("ij,j->i", inverse, demand)
+    else:
+        warnings.warn(f"the packing plan is not proven to be within {gap} of the optimum after {rounds} rounds", stacklevel=2)
     return patterns.T, np.maximum(used, 0)
 
 
