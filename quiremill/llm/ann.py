@@ -34,7 +34,7 @@ BITS, DIRECTIONS = 32, 1024
 class Forest:
     """Trees over the rows of a matrix of unit vectors."""
 
-    def __init__(self, rows: np.ndarray, trees: int = 128, k: int = 5, recall: float = 0.97, seed: int = 17):
+    def __init__(self, rows: np.ndarray, trees: int = 128, k: int = 5, recall: float = 0.95, seed: int = 17):
         n, dims = rows.shape
         self.rows = rows
         rng = np.random.default_rng(seed)
@@ -156,7 +156,7 @@ class Shard:
             take *= 4
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, most_shards: int = 64, shard_bytes: int = 32 << 20) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, most_shards: int = 64, shard_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` nearest rows found. ``queries`` has the columns of ``rows``.
 
     There is a shard for each ``shard_rows`` rows up to ``most_shards`` shards; beyond that they grow to ``shard_bytes`` of vectors.
