@@ -77,18 +77,23 @@ def elements(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``elements`` of XML entries (doc_id, entry, body); ``keep`` names further columns of ``entries`` to repeat."""
     kept = [f for f in entries.schema.fields if f.name in keep]
     schema = ELEMENTS + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
-    names = [n.split()[0] for n in ELEMENTS.replace("struct<key:string,value:string>", "x").split(", ")]
+    names = [n.split()[0] for n in ELEMENTS.replace("struct<key:string,value:string>", "x").split(", ")][2:]
 
     def run(batches) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                rows = parse(bytes(r["body"]))
-                out = pd.DataFrame([{k: x.get(k) for k in names} | {"doc_id": r["doc_id"], "entry": r["entry"]} | {f.name: r[f.name] for f in kept} for x in rows], dtype=object)
-                yield out
-
-    return entries.select("doc_id", "entry", "body", *(f.name for f in kept)).mapInPandas(run, schema)
+        import pyarrow as pa
+
+        pairs = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+        kinds = {n: pairs if n == "attrs" else pa.string() if n in ("tag", "ns", "prefix", "text", "tail") else pa.int32() for n in names}
+        for b in batches:
+            for k in range(b.num_rows):
+                rows = parse(b.column(2)[k].as_py())
+                for at in range(0, len(rows), 20_000):
+                    some = rows[at : at + 20_000]
+                    again = [pa.repeat(b.column(c)[k], len(some)) for c in (0, 1, *range(3, b.num_columns))]
+                    made = [pa.array([r[n] for r in some], kinds[n]) for n in names]
+                    yield pa.RecordBatch.from_arrays([*again[:2], *made, *again[2:]], ["doc_id", "entry", *names, *(f.name for f in kept)])
+
+    return entries.select("doc_id", "entry", "body", *(f.name for f in kept)).mapInArrow(run, schema)
 
 
 def attribute(key: str, column: str = "attrs"):

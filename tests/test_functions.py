@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quiremill.functions import text as X
 from quiremill.functions import units as U
-from quiremill.sources.html import _Pages
+from quiremill.sources.html import _page_texts, _Trace
 
 
 def one(spark, column, **values):
@@ -66,7 +66,7 @@ def test_units_and_colours(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["<div class='page'>", "</div>", "<p>", "</p>", "x", "<br>", "&amp;", "<div>"]), max_size=20))
 def test_pages_are_whole(parts):
-    p = _Pages(False)
+    p = _Trace(False)
     p.feed("".join(parts))
     p.close()
-    assert all(x.startswith('<div class="page">') and x.endswith("</div>") or x.endswith("</p>") for x in p.pages)
+    assert all(x.startswith('<div class="page">') and x.endswith(("</div>", "</p>")) for x in _page_texts(p.trace))
