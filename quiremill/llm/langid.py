@@ -35,8 +35,10 @@ from quiremill.llm.automaton import Packed, suffix_automaton
 UNKNOWN = "und"
 #: Letters parsed in one go.
 STRETCH = 256
+#: Stretches that go through the tables side by side.
+LANES = 4096
 #: Letters that are turned to numbers together; bounds a worker's memory but for single longer texts.
-ROOM = 2_000_000
+ROOM = 1_000_000
 LEAST_LETTERS = 2_000
 #: Texts of fewer letters are too short to be told from random ones, and are accepted.
 SURE = 40
@@ -115,8 +117,8 @@ class Model:
         size = np.minimum(at[1:][text] - begin, STRETCH)
         order = np.argsort(-size, kind="stable")
         out = np.zeros((len(lengths), len(self.languages)), np.int64)
-        for k in range(0, len(order), 8192):
-            some = order[k : k + 8192]
+        for k in range(0, len(order), LANES):
+            some = order[k : k + LANES]
             places = np.arange(int(size[some[0]]))[:, None] + begin[some]
             columns = symbols[np.minimum(places, len(symbols) - 1)]
             for lang, automaton in enumerate(self.automata):
