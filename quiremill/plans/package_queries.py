@@ -25,6 +25,7 @@ from quiremill.operators import mutate as M
 from quiremill.operators import nodes as D
 from quiremill.operators import render as R
 from quiremill.operators import styles as Y
+from quiremill.operators.keep import kept
 from quiremill.plans import office
 from quiremill.sources import html as H
 from quiremill.sources import package as P
@@ -156,12 +157,17 @@ def _doc(n: Column) -> Column:
     return F.concat(F.lit("nation"), n.cast("string"))
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packages unzipped, written once for all that is read of them."""
+    return kept(P.entries(packages(spark, sf_dir)))
+
+
 def _opened(spark: SparkSession, sf_dir: str) -> office.Package:
-    return office.Package(P.entries(packages(spark, sf_dir)))
+    return office.Package(_entries(spark, sf_dir))
 
 
 def _reopened(contents: DataFrame) -> office.Package:
-    return office.Package(P.entries(contents.withColumnRenamed("doc_id", "path")))
+    return office.Package(kept(P.entries(contents.withColumnRenamed("doc_id", "path"))))
 
 
 # --- what is expected ---------------------------------------------------------------------------
@@ -211,7 +217,7 @@ SELECT 'nation' || n_nationkey AS doc_id, CAST(x.p AS BIGINT) AS entry_pos, x.e
 FROM nation, entry""")
 def q_pkg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 unzip, S2 contents folder, S3 and S4 sections and their order, S15 pictures, A16 their count, A10 next picture number, P28 format and size, K1 and K2 packing and compression."""
-    entries = P.entries(packages(spark, sf_dir))
+    entries = _entries(spark, sf_dir)
     out = entries.join(P.sections(entries).select("doc_id", "entry", "section_no"), ["doc_id", "entry"], "left").join(P.pictures(entries).select("doc_id", "entry", "picture_no"), ["doc_id", "entry"], "left")
     out = out.join(P.next_picture_no(entries), "doc_id").join(P.picture_counts(entries), "doc_id").join(P.contents_folder(entries), "doc_id")
     some = lambda c, v: F.coalesce(c, F.lit(v)).cast("long")
@@ -411,7 +417,7 @@ def q_pkg_td_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S21 table rows of HTML, J15 labels to values, P24 texts normalised."""
     from quiremill.operators.joins import label_values
 
-    docs = office.to_html(P.entries(packages(spark, sf_dir)))
+    docs = office.to_html(_entries(spark, sf_dir))
     cells = office.td_rows(docs)
     labels = label_values(cells, ["doc_id"], ["row_no"], "cell_no")
     rows = cells.select("doc_id", F.lit("cell").alias("kind"), F.col("nid").alias("gid"), "text")
@@ -423,7 +429,7 @@ def q_pkg_td_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) {_AFTER}""")
 def q_pkg_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U5 edited HTML merged, J12 edits x nodes, J13 tables no longer there and their paragraphs, K1 and K3 written and read back."""
-    entries = P.entries(packages(spark, sf_dir))
+    entries = _entries(spark, sf_dir)
     docs = office.to_html(entries)
     edited = docs.select("doc_id", F.regexp_replace(F.replace("html", F.lit("Supplier#"), F.lit("Vendor ")), r"(?s)^(.*?)<table.*?</table>", "$1").alias("html"))
     return _result(_reopened(office.save_from_html(entries, edited)))
@@ -431,7 +437,7 @@ def q_pkg_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages filled by recorded answers: instructions go, every third table goes, suppliers are filled, some with a picture."""
-    entries = P.entries(packages(spark, sf_dir))
+    entries = _entries(spark, sf_dir)
     table = office.Package(entries).nodes(styles=False)
     n = F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long")
     key = _supplier_key()
@@ -549,7 +555,7 @@ SELECT 'nation' || n_nationkey AS doc_id, unnest(CASE WHEN n_nationkey % 3 = 0 T
        unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['p0', 'p1'] WHEN n_nationkey % 3 = 1 THEN ['p0'] ELSE ['p1'] END) AS prompt FROM nation""")
 def q_pkg_picture_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J20 prompts to the pictures of a package by place; there are more prompts than pictures, or fewer, or blank ones."""
-    entries = P.entries(packages(spark, sf_dir))
+    entries = _entries(spark, sf_dir)
     n = F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long")
     asked = entries.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.when(n % 3 == 1, 0).otherwise(2))).alias("seq"))
     asked = asked.withColumn("prompt", F.when((n % 3 == 2) & (F.col("seq") == 0), " ").otherwise(F.concat(F.lit("p"), F.col("seq").cast("string"))))
