@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quiremill.operators.keep import dropped
 from quiremill.operators.keep import written as staged
 
-__all__ = ["SLICE", "default_vocabulary", "dropped", "read", "sliced", "staged"]
+__all__ = ["SLICE", "default_pieces", "default_vocabulary", "dropped", "read", "sliced", "staged"]
 
 #: Rows that Python workers turn into lists at a time; bounds a worker's memory, not the result.
 SLICE = 256
@@ -31,3 +31,10 @@ def default_vocabulary() -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def default_pieces() -> str:
+    """Where the public SentencePiece model is installed."""
+    import public_tokenizers
+
+    return os.fspath(public_tokenizers.path("piece_bpe_32k.model"))

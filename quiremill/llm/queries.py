@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiremill.llm import ann, bitpack, bpe, exact_dedup, langid, near_dedup, packing, pii, suffix_dedup, toxicity
+from quiremill.llm import ann, bitpack, bpe, divergence, exact_dedup, langid, near_dedup, packing, pieces, pii, suffix_dedup, toxicity, whitening
 from quiremill.llm._common import read
 
 
@@ -51,6 +51,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,7 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_repeated_passages,
         op10_token_files,
+        op11_pieces,
+        op12_whitening,
+        op13_source_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE}
