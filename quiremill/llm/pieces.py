@@ -4,15 +4,15 @@ No piece of the vocabulary has a whitespace marker behind another character (che
 marker to what stands before it: a text is its chunks, each the markers of a run of spaces and the characters up to the next
 marker, and each chunk is segmented by itself, wherever it stands.
 
-1. Documents are cut into chunks, some of them at a time as a *block*: the block's distinct chunks are numbered, and the
-   documents kept as these numbers, one for each position. Blocks are written to the shared folder once.
-2. The distinct chunks of all blocks are a table in which each is segmented once, by merging the best pair until none is left.
-3. The table is joined back to the blocks' numbered chunks (a chunk has one row a block there, however frequent it is), these
-   are gathered by block, and every position takes its number's ids. The texts themselves are never shuffled.
+1. Each task counts the chunks of its texts, some texts at a time, and passes on those that occur more than once among them; the counts are
+   added up, and the commonest ``TABLE`` chunks of at most ``SHORT`` characters are the corpus's table, whose size has a bound whatever the corpus.
+2. Each of them is segmented once, in a job over the table.
+3. Every text is cut again, and each position takes its chunk's ids from the table. Chunks that are not in it (rare or long
+   ones) are segmented by the worker that meets them, and remembered in a table of bounded size. So what the table holds changes no result, and texts are never shuffled.
 
 Defined results: null and empty texts have the end id alone and decode to the empty text; U+2581 in a text is a space, as for
 the library; characters that are no piece become the ids of their bytes; strings of control pieces are ordinary text;
-repeated rows each have their result; a text of any length is one block at most; other columns are ignored.
+repeated rows each have their result; a text of any length takes room in proportion to it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +20,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections import Counter
 from functools import lru_cache
+from itertools import pairwise
 
-import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.llm._common import default_pieces, sliced, staged
+from quiremill.llm._common import default_pieces, dropped, sliced, staged
 
 MARKER = "▁"
-#: Characters of texts, and rows, that form a block; a longer text is a block of its own.
-BLOCK_SIZE = (2_000_000, 8192)
+#: Most chunks in the table, and their most characters.
+TABLE, SHORT = 100_000, 32
+#: Characters of texts whose chunks are counted together, and other chunks that a worker remembers.
+COUNTED, REMEMBERED = 8_000_000, 200_000
 _CHUNKS = re.compile(" *[^ ]+| +")
 
 
@@ -54,7 +55,7 @@ class Pieces:
             raise ValueError("user-defined and unused pieces are not supported")
         self.text_of = [p.piece for p in model.pieces]
         self.id_of = {p.piece: k for k, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
-        self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
+        self.cost = {p.piece: -p.score for p in model.pieces if p.type == kinds.NORMAL}
         if any(MARKER in t.lstrip(MARKER) for t in self.id_of):
             raise ValueError("pieces cross whitespace markers, so chunks are not independent")
         self.byte_of = {k: int(p.piece[1:-1], 16) for k, p in enumerate(model.pieces) if p.type == kinds.BYTE}
@@ -67,12 +68,35 @@ class Pieces:
     def segment(self, chunk: str) -> list[int]:
         """The ids of a chunk, whose spaces stand for markers: the pair that makes the best piece is merged first, the leftmost of equals."""
         at = list(chunk.replace(" ", MARKER))
-        score, last = self.score, len(at) - 1
+        self._merge(at) if len(at) > 40 else self._merge_few(at)
+        out = []
+        for piece in at:
+            if piece is not None:
+                k = self.id_of.get(piece)
+                out += [k] if k is not None else [self.bytes[b] for b in piece.encode("utf-8")]
+        return out
+
+    def _merge_few(self, at: list) -> None:
+        """For short chunks: look at all pairs anew."""
+        cost, never = self.cost, float("inf")
+        costs = [cost.get(a + b, never) for a, b in pairwise(at)]
+        while costs:
+            least = min(costs)
+            if least is never:
+                break
+            k = costs.index(least)
+            at[k : k + 2] = [at[k] + at[k + 1]]
+            del costs[k]
+            if k < len(costs):
+                costs[k] = cost.get(at[k] + at[k + 1], never)
+            if k:
+                costs[k - 1] = cost.get(at[k - 1] + at[k], never)
+
+    def _merge(self, at: list) -> None:
+        """For chunks of any length: pairs wait in a queue; what has been merged into its left neighbour is None."""
+        cost, last = self.cost, len(at) - 1
         after, before = list(range(1, len(at) + 1)), list(range(-1, len(at) - 1))
-        queue = []
-        for k in range(last):
-            if (s := score.get(both := at[k] + at[k + 1])) is not None:
-                queue.append((-s, k, both))
+        queue = [(s, k, both) for k, both in enumerate(a + b for a, b in pairwise(at)) if (s := cost.get(both)) is not None]
         heapq.heapify(queue)
         while queue:
             _, k, both = heapq.heappop(queue)
@@ -83,16 +107,10 @@ class Pieces:
             after[k] = n = after[n]
             if n <= last:
                 before[n] = k
-                if (s := score.get(more := both + at[n])) is not None:
-                    heapq.heappush(queue, (-s, k, more))
-            if (p := before[k]) >= 0 and (s := score.get(more := at[p] + both)) is not None:
-                heapq.heappush(queue, (-s, p, more))
-        out = []
-        for piece in at:
-            if piece is not None:
-                k = self.id_of.get(piece)
-                out += [k] if k is not None else [self.bytes[b] for b in piece.encode("utf-8")]
-        return out
+                if (s := cost.get(more := both + at[n])) is not None:
+                    heapq.heappush(queue, (s, k, more))
+            if (p := before[k]) >= 0 and (s := cost.get(more := at[p] + both)) is not None:
+                heapq.heappush(queue, (s, p, more))
 
     def surface(self, ids) -> str:
         """The text of ids, spaces for markers, without regard to where it stands in a document."""
@@ -145,128 +163,115 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-class _Numbers(dict):
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        return n
-
-
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, counts, numbers, chunks), a row a block: its documents' ids, their counts of chunks, the chunks' numbers (compressed), and the distinct chunks by number."""
-
-    most_characters, most_rows = BLOCK_SIZE
+def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(chunk, n): short chunks that some texts hold more than once, with their occurrences there."""
 
     def run(batches):
         import pyarrow as pa
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        task, made = TaskContext.get().partitionId(), 0
 
-        def block(ids, counts, numbers, known):
-            all_ = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-            planes = all_.view(np.uint8).reshape(-1, 4).T  # high bytes apart from low ones, as most are 0
-            columns = [pa.array([(task << 32) + made], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(planes.tobytes())], pa.binary()), pa.array([list(known)], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "counts", "numbers", "chunks"])
+        def some():
+            kept = [(c, n) for c, n in count.items() if n > 1 and len(c) <= SHORT]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["chunk", "n"])
 
-        ids, counts, numbers, known, size = [], [], [], _Numbers(), 0
+        count, size = Counter(), 0
         for b in sliced(batches):
-            done = 0
-            for k, text in enumerate(b.column(1).to_pylist()):
-                found = chunks(text)
-                counts.append(len(found))
-                if found:
-                    numbers.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
-                    size += len(text)
-                if size >= most_characters or len(counts) >= most_rows:
-                    ids.append(b.column(0).slice(done, k + 1 - done))
-                    yield block(ids, counts, numbers, known)
-                    ids, counts, numbers, known, size, done, made = [], [], [], _Numbers(), 0, k + 1, made + 1
-            if done < b.num_rows:
-                ids.append(b.column(0).slice(done))
-        if counts:
-            yield block(ids, counts, numbers, known)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"block long, ids array<{kind}>, counts array<int>, numbers binary, chunks array<string>")
+            for text in b.column(0).to_pylist():
+                count.update(chunks(text))
+                size += len(text or "")
+                if size >= COUNTED:
+                    yield some()
+                    count, size = Counter(), 0
+        yield some()
+
+    return docs.select(docs[text_col].cast("string")).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest counts, ``most`` at most: those from the least power of a root of two on that leaves no more."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(level.alias("level")).count().collect()  # a few hundred rows
+    total, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return counts.where(level >= least) if least is not None else counts.where("false")
 
 
-def _segmented(table: DataFrame, path: str) -> DataFrame:
-    """(chunk, piece_ids) of a table of distinct chunks."""
+def table(docs: DataFrame, path: str, text_col: str = "text", most: int = TABLE) -> dict[str, list[int]]:
+    """The commonest chunks with their ids, each segmented once by Spark; bounded by ``most`` and ``SHORT``."""
+    counts = staged(counted(docs, text_col), "pieces")
 
     def run(batches):
         import pyarrow as pa
 
         pieces = load(path)
         for b in sliced(batches, 4096):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(pieces.segment, b.column(0).to_pylist()), pa.list_(pa.int32()))], ["chunk", "piece_ids"])
-
-    return table.mapInArrow(run, "chunk string, piece_ids array<int>")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(pieces.segment, b.column(0).to_pylist()), pa.list_(pa.int32()))], ["chunk", "ids"])
 
+    found = commonest(counts, most).select("chunk").mapInArrow(run, "chunk string, ids array<int>").collect()
+    dropped(counts)
+    return {r["chunk"]: list(r["ids"]) for r in found}
 
-def _joined(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """(ids, counts, numbers, found) a block: ``found`` holds (number, piece_ids) of its distinct chunks."""
-    blocks = staged(_blocks(docs, id_col, text_col), "pieces")
-    numbered = blocks.select("block", F.posexplode("chunks").alias("number", "chunk"))
-    table = _segmented(numbered.select("chunk").distinct(), path)
-    found = numbered.join(table, "chunk").groupBy("block").agg(F.collect_list(F.struct("number", "piece_ids")).alias("found"))
-    return blocks.drop("chunks").join(found, "block", "left").select("ids", "counts", "numbers", "found")
 
+class Known(dict):
+    """``make(ids)`` of chunks: of all in the table, and of others when they are met; of these at most twice ``most`` are remembered, the latest."""
 
-def _each_document(batches: Iterator) -> Iterator[tuple]:
-    """(ids of documents, their chunks' numbers, piece ids by number) of each block."""
-    import zstandard
+    def __init__(self, pieces: Pieces, ids_of: dict[str, list[int]], make, most: int = REMEMBERED):
+        super().__init__((c, make(ids)) for c, ids in ids_of.items())
+        self.pieces, self.make, self.most, self.now, self.before = pieces, make, most, {}, {}
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for k in range(batch.num_rows):
-            counts = np.asarray(batch.column(1)[k].values, np.int64)
-            planes = np.frombuffer(unpack(batch.column(2)[k].as_py()), np.uint8)
-            numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().tolist()
-            found = batch.column(3)[k].values
-            by_number: list = []
-            if found is not None and len(found):
-                order = np.argsort(np.asarray(found.field(0)))
-                by_number = found.field(1).take(order).to_pylist()
-            ends = np.cumsum(counts).tolist()
-            yield batch.column(0)[k].values, [numbers[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)], by_number
+    def __missing__(self, chunk: str):
+        value = self.now.get(chunk)
+        if value is None:
+            value = self.before.get(chunk)
+            if value is None:
+                value = self.make(self.pieces.segment(chunk))
+            if len(self.now) >= self.most:
+                self.before, self.now = self.now, {}
+            if len(chunk) <= SHORT:
+                self.now[chunk] = value
+        return value
 
 
 def encoded(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int> with the end id, decoded string) of every text."""
     path = model or default_pieces()
+    shipped = docs.sparkSession.sparkContext.broadcast(table(docs, path, text_col))
 
     def run(batches):
         import pyarrow as pa
 
         pieces = load(path)
-        for ids, documents, table in _each_document(batches):
-            texts = [pieces.surface(t) for t in table]
-            rows = [[i for n in d for i in table[n]] + [pieces.end] for d in documents]
-            decoded = ["".join([texts[n] for n in d])[1:] for d in documents]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        known = Known(pieces, shipped.value, lambda ids: ids)
+        for b in sliced(batches):
+            ids = [[k for c in chunks(t) for k in known[c]] + [pieces.end] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _joined(docs, path, id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """One row per document: n_tokens, and SHA-256 of the ids and of the text decoded from them."""
     path = model or default_pieces()
+    shipped = docs.sparkSession.sparkContext.broadcast(table(docs, path))
 
     def run(batches):
         import pyarrow as pa
 
         pieces = load(path)
+        known = Known(pieces, shipped.value, lambda ids: (" ".join(map(str, ids)), pieces.surface(ids)))
         end = str(pieces.end)
-        for ids, documents, table in _each_document(batches):
-            texts, sizes = [pieces.surface(t) for t in table], [len(t) for t in table]
-            numbers = [" ".join(map(str, t)) for t in table]
+        for b in sliced(batches):
             n, of_ids, of_text = [], [], []
-            for d in documents:
-                n.append(sum([sizes[k] for k in d]) + 1)
-                of_ids.append(hashlib.sha256(" ".join([*[numbers[k] for k in d], end]).encode()).hexdigest())
-                of_text.append(hashlib.sha256("".join([texts[k] for k in d])[1:].encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _joined(docs.select(docs["doc_id"].cast("long"), docs["text"]), path, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for text in b.column(1).to_pylist():
+                found = list(map(known.__getitem__, chunks(text)))
+                numbers = " ".join([*[x[0] for x in found], end])
+                n.append(numbers.count(" ") + 1)
+                of_ids.append(hashlib.sha256(numbers.encode()).hexdigest())
+                of_text.append(hashlib.sha256("".join([x[1] for x in found])[1:].encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -54,9 +54,7 @@ def of_library(library, rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
-def test_pieces_of_documents_equal_the_library(spark, library, odd, monkeypatch, block):
-    monkeypatch.setattr(pieces, "BLOCK_SIZE", (block, 8192 if block > 300 else 3))
+def test_pieces_of_documents_equal_the_library(spark, library, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = pieces.digests(docs)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -72,10 +70,15 @@ def test_pieces_keep_their_general_interface(spark, library):
     assert out == {(n, library.decode(library.encode(t or "", add_eos=True))): library.encode(t or "", add_eos=True) for n, t in rows}
 
 
-def test_a_chunk_has_one_row_a_block(spark):
-    df = spark.createDataFrame([(k, "the same words the same") for k in range(300)], "doc_id long, text string").coalesce(1)
-    (block,) = pieces._blocks(df, "doc_id", "text").collect()
-    assert sorted(block.chunks) == [" same", " the", " words"] and len(block.ids) == 300 and set(block.counts) == {5}
+def test_the_table_holds_the_commonest_chunks(spark, library):
+    df = spark.createDataFrame([(k, f"the same words the same once{k} {'long' * 9} {'long' * 9} twice twice") for k in range(300)], "doc_id long, text string").repartition(3)
+    path, counts = default_pieces(), {r.chunk: r.n for r in pieces.counted(df).collect()}
+    assert counts == {" the": 600, " same": 600, " words": 300, " twice": 600}
+    every = pieces.table(df, path)
+    assert every == {c: library.encode(c[1:]) for c in counts}
+    assert set(pieces.table(df, path, most=3)) == {" the", " same", " twice"} and pieces.table(df, path, most=2) == {} and pieces.table(df.limit(0), path) == {}
+    known = pieces.Known(pieces.load(path), every, len, most=2)
+    assert [known[c] for c in (" the", " a", " b", " c", " a")] == [1] * 5 and len(known.now) + len(known.before) <= 4 and len(known) == 4
 
 
 # --- 12
