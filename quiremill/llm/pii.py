@@ -3,29 +3,32 @@
 Base spans come from four patterns (e-mail addresses, IPv4 addresses, payment cards that pass the
 Luhn test, international phone numbers). The field labels tokens (letter runs, digit runs, single
 other characters) with O or begin/inside of a kind, from word-shape features of the token and its two
-neighbours on either side. It is trained here, by gradient steps on the likelihood of a small table of
-labelled lines written out by rule, and decoded by Viterbi over many windows at a time in numpy. It
-finds what the patterns leave: "kim at mail dot org", "(555) 123-4567", "4111.1111.1111.1111".
+neighbours on either side. It is trained here, by gradient steps on the likelihood of a small labelled table
+(``pii_lines``), and decoded by Viterbi in numpy. It finds what the patterns leave: "kim at mail dot org",
+"(555) 123-4567", "4111.1111.1111.1111".
 
-A span of the field holds a digit, "@", "(at)" or the word "dot"; so windows of ``MARGIN`` characters around
-each of these, anywhere in the whole text, are decoded and all other tokens are O. Its spans count
-only if they pass the same tests as base spans (digits, Luhn, octets) and overlap no base span.
+Every token of every text is decoded, and the labels are those of the best path through the whole text. A token is *surely
+O* if the best of all spans that could lie over it, however long, scores less than O in its place, whatever the labels around.
+The best path is O there, so what lies between such tokens is decoded by itself, many stretches at a time, of any length.
+The field's spans count only
+if they pass the same tests as base spans (digits, Luhn, octets) and overlap no base span.
 
 Defined results: null and empty texts have no spans; offsets are code points; very long texts are
-scanned in one linear pass; windows that touch are one, of any length; windows are decoded in blocks of
+scanned in one linear pass; stretches are decoded in blocks of
 bounded size, a longer one alone, in room in proportion to its length; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from quiremill.llm import pii_lines
 from quiremill.llm._common import sliced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -85,99 +88,98 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- the field -------------------------------------------------------------------------------
 
-MARGIN = 48
-#: Tokens of the windows that are decoded together.
-BLOCK = 1 << 19
-_ANCHOR = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]", re.I)
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|[\d_]")
-#: Words that carry a hint, by group (fixed values).
-_HINTS = {
-    "at": ("at",),
-    "dot": ("dot",),
-    "mail": ("mail", "email", "contact", "write", "address"),
-    "call": ("phone", "tel", "telephone", "call", "fax", "mobile", "cell", "dial", "ring"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pan"),
-    "host": ("ip", "host", "server", "ping", "ipv4"),
-    "top": ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info"),
-    "not": ("version", "order", "invoice", "isbn", "id", "ref", "page", "password", "token", "key", "total", "on", "year", "section"),
-}
+#: Tokens of the stretches that are decoded together, stretches of them, tokens that are scored together, and characters of texts that are turned to tokens together.
+BLOCK, LANES, SCORED, ROOM = 1 << 19, 4096, 1 << 16, 1 << 20
+_HINTS = pii_lines.HINTS
 _CLASSES = ["", "lower", "title", "upper", "other", *_HINTS, *(f"d{n}" for n in (1, 2, 3, 4, "5-6", "7-12", "13-19", "20+")), *"@.+-():/=,[]_", "mark"]
 _NUMBER = {c: k for k, c in enumerate(_CLASSES)}
-_HINT_OF = {w: _NUMBER[g] for g, words in _HINTS.items() for w in words}
 _SYMBOLS = 2 * len(_CLASSES)
 _LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 _REACH = (-2, -1, 0, 1, 2)
 _NEVER = -1e4
-
-
-def _class(token: str) -> int:
-    if token.isdigit() and token.isascii():
-        n = len(token)
-        return _NUMBER[f"d{n}" if n < 5 else "d5-6" if n < 7 else "d7-12" if n < 13 else "d13-19" if n < 20 else "d20+"]
-    if (hint := _HINT_OF.get(token.lower())) is not None:
-        return hint
-    if token.isalpha():
-        return _NUMBER["lower" if token.islower() else "upper" if token.isupper() else "title" if token.istitle() else "other"]
-    return _NUMBER.get(token, _NUMBER["mark"])
-
-
-def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
-    """(symbol, start, end); a symbol is the word shape and whether white space comes before."""
-    out = []
-    for m in _TOKEN.finditer(text, start, len(text) if end is None else end):
-        a, b = m.span()
-        out.append((2 * _class(m.group()) + (a == 0 or text[a - 1].isspace()), a, b))
+#: What a code point is: white space, of a letter run, of a digit run, a token by itself, or the mark between texts.
+_SPACE, _WORD, _DIGIT, _SINGLE, _BETWEEN = range(5)
+_MARK = "\ud800"  # no text from a table holds half a surrogate pair
+#: A letter run of at most this many ASCII letters can be a hint.
+_HINT_LETTERS = max(len(w) for words in _HINTS.values() for w in words)
+
+
+@lru_cache(maxsize=1)
+def _code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point its kind, its case (1 lower, 2 upper), and its class as a token."""
+    kind, case, own = np.full(0x110000, _SINGLE, np.uint8), np.zeros(0x110000, np.uint8), np.full(0x110000, _NUMBER["mark"], np.uint8)
+    for k in range(0x110000):
+        c = chr(k)
+        if c.isalnum():
+            if not c.isdecimal():
+                kind[k] = _WORD
+                case[k] = 1 if c.islower() else 2 if c.isupper() else 0
+        elif c.isspace():
+            kind[k] = _SPACE
+    kind[ord("0") : ord("9") + 1] = _DIGIT
+    for c in _CLASSES:
+        if len(c) == 1:
+            own[ord(c)] = _NUMBER[c]
+    kind[ord(_MARK)] = _BETWEEN
+    return kind, case, own
+
+
+@lru_cache(maxsize=1)
+def _hints() -> tuple[np.ndarray, np.ndarray]:
+    found = sorted((_key(w), _NUMBER[group]) for group, words in _HINTS.items() for w in words if w.isalpha())
+    return np.array([k for k, _ in found]), np.array([n for _, n in found])
+
+
+def _key(word: str) -> int:
+    out = 0
+    for c in word:
+        out = out * 32 + ord(c) - 96
     return out
 
 
-def labelled_lines(count: int = 900, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """The small labelled table: lines of filler words with personal data and look-alikes, by rule."""
-    r = random.Random(seed)
-
-    def word(a: int = 2, b: int = 9) -> str:
-        w = "".join(r.choice("aeioubcdfghklmnprstvwy") for _ in range(r.randint(a, b)))
-        return r.choice((w, w, w, w.title()))
-
-    def digits(n: int) -> str:
-        return "".join(r.choice("0123456789") for _ in range(n))
-
-    def card() -> str:
-        body = r.choice("3456") + digits(r.choice((11, 14, 14, 14, 17)))
-        number = body + next(c for c in "0123456789" if luhn(body + c))
-        sep = r.choice(("", "", " ", "-", ".", "/"))
-        return sep.join(number[k : k + 4] for k in range(0, len(number), 4))
-
-    def phone() -> str:
-        area, first, last = digits(3), digits(3), digits(4)
-        return r.choice((f"+{digits(1)} ({area}) {first}-{last}", f"({area}) {first}-{last}", f"{area}-{first}-{last}", f"{area}.{first}.{last}", f"+{digits(2)} {area} {first} {last}", f"00{digits(2)} {area} {first}{last}"))
-
-    def ip() -> str:
-        parts = [str(r.randint(0, 255)) for _ in range(4)]
-        return r.choice((".", ".", " . ", "[.]")).join(parts)
-
-    def email() -> str:
-        user, host, top = word().lower() + r.choice(("", "." + digits(2), "_" + word().lower())), word().lower(), r.choice(_HINTS["top"])
-        return r.choice((f"{user}@{host}.{top}", f"{user} at {host} dot {top}", f"{user} @ {host}.{top}", f"{user}(at){host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user}@{host} dot {top}"))
-
-    def other() -> str:
-        return r.choice((digits(4), f"{digits(2)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"${digits(3)}", f"{digits(3)},{digits(3)}", hashlib.md5(digits(9).encode()).hexdigest(), f"password={hashlib.md5(digits(9).encode()).hexdigest()[:18]}", f"invoice {digits(8)}", f"order {digits(10)}", f"at {word()} dot", f"{digits(2)}%", f"{word()}@", f"page {digits(3)}", f"{digits(2)} {word()} {digits(2)}", f"{digits(3)} {digits(3)}", digits(22), f"({digits(4)})", f"{digits(2)}/{digits(2)}/{digits(4)}"))
-
-    make = {"email": email, "ip": ip, "card": card, "phone": phone}
-    hint = {"email": "mail", "ip": "host", "card": "card", "phone": "call"}
-    rows = []
-    for _ in range(count):
-        line, spans = " ".join(word() for _ in range(r.randint(0, 5))), []
-        for _ in range(r.randint(1, 2)):
-            kind = r.choice((*KINDS, "", "", ""))
-            line += r.choice((" ", " ", ", ", ". ", "\n")) if line else ""
-            if kind and r.random() < 0.4:
-                line += r.choice(_HINTS[hint[kind]]) + r.choice((" ", ": ", " is "))
-            item = make[kind]() if kind else other()
-            if kind:
-                spans.append((kind, len(line), len(line) + len(item)))
-            line += item + r.choice(("", ".", ",", "")) + " " + " ".join(word() for _ in range(r.randint(0, 4)))
-        rows.append((line, spans))
-    return rows
+_BY_LENGTH = np.array([0] + [_NUMBER[f"d{n}"] for n in (1, 2, 3, 4)] + [_NUMBER["d5-6"]] * 2 + [_NUMBER["d7-12"]] * 6 + [_NUMBER["d13-19"]] * 7 + [_NUMBER["d20+"]])
+
+
+class Tokens:
+    """The tokens of some texts in one row, with two marks before, between and behind: ``symbols`` (word shape, and whether white space comes before; 0 for marks), ``start`` and ``end`` in the row of all characters, and ``first``, where each text begins there."""
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer((_MARK * 2 + "".join([t + _MARK * 2 for t in texts])).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.first = np.cumsum([2, *(len(t) + 2 for t in texts)])[:-1]
+        kinds, cases, own = _code_points()
+        kind = kinds[codes]
+        run = (kind == _WORD) | (kind == _DIGIT)
+        change = kind[1:] != kind[:-1]
+        alone = kind >= _SINGLE
+        begin, end = alone.copy(), alone.copy()
+        begin[1:] |= run[1:] & change
+        end[:-1] |= run[:-1] & change
+        self.start, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        first = kind[self.start]
+        size = self.end - self.start
+        shape = own[codes[self.start]].astype(np.int64)
+        digits = first == _DIGIT
+        shape[digits] = _BY_LENGTH[np.minimum(size[digits], 20)]
+        words = np.flatnonzero(first == _WORD)
+        a, z, n = self.start[words], self.end[words], size[words]
+        case = cases[codes]
+        low, up = (np.concatenate([[0], np.cumsum(case == k, dtype=np.int32)]) for k in (1, 2))
+        low, up = low[z] - low[a], up[z] - up[a]
+        shape[words] = np.where((up == 0) & (low > 0), _NUMBER["lower"], np.where((low == 0) & (up > 0), _NUMBER["upper"], np.where((up == 1) & (case[a] == 2), _NUMBER["title"], _NUMBER["other"])))
+        # letters as digits of base 32, for the few words that are hints
+        short = np.flatnonzero((n > 1) & (n <= _HINT_LETTERS))
+        a, n, key = a[short], n[short], np.zeros(len(short), np.int64)
+        for k in range(_HINT_LETTERS):
+            letter = codes[np.minimum(a + k, len(codes) - 1)].astype(np.int64)
+            fine = (letter < 128) & (letter >= 64)
+            key = np.where(k < n, np.where(fine & (key >= 0), key * 32 + ((letter | 32) - 96), -1), key)
+        known, group = _hints()
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        hit = known[at] == key
+        shape[words[short[hit]]] = group[at[hit]]
+        before = np.concatenate([[_BETWEEN], kind[self.start[1:] - 1]])
+        self.symbols = np.where(first == _BETWEEN, 0, 2 * shape + ((before == _SPACE) | (before == _BETWEEN)))
+        self.marks = first == _BETWEEN
 
 
 class Field:
@@ -192,30 +194,72 @@ class Field:
         width = symbols.shape[1]
         return sum(self.emit[k][padded[:, k : k + width]] for k in range(len(_REACH)))
 
+    def at(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Scores [..., label] at some places of a row of symbols."""
+        return sum(self.emit[k][symbols[places + offset]] for k, offset in enumerate(_REACH))
+
+    def surely_outside(self, tokens: Tokens) -> np.ndarray:
+        """Of each token whether the best path of its text goes through O there; true for marks.
+
+        Take a path with a span of kind k, and put O in place of its labels. The path changes by the span's gain over O: of its
+        first token, of each further one, and a bounded rest for the labels around it. The best span over a token is found from running
+        sums and their running extremes; if its gain is negative, no best path has any span there.
+        """
+        move, outside, n = self.move, np.ones(len(tokens.symbols), bool), len(tokens.symbols)
+        ends = [0, *range(1, len(_LABELS), 2)]  # labels that may follow any label
+        gains = np.full((2 * len(KINDS), n), -1e3)
+        for a in range(2, n - 2, SCORED):
+            score = self.at(tokens.symbols, np.arange(a, min(a + SCORED, n - 2)))
+            gains[:, a : a + len(score)] = (score[:, 1:] - score[:, :1]).T
+        gains[:, tokens.marks] = -1e3
+        for k in range(len(KINDS)):
+            begin, inside = 2 * k + 1, 2 * k + 2
+            first = gains[2 * k] + (move[:, begin] - move[:, 0]).max()
+            more = gains[2 * k + 1] + (move[inside, inside] - move[0, 0])
+            rest = max(0.0, move[begin, inside] - move[inside, inside]) + (move[[begin, inside]][:, ends] - move[0, ends]).max()
+            sums = np.cumsum(more)
+            from_left = np.full(n, -np.inf)  # the best span that begins before a token and reaches it
+            from_left[1:] = np.maximum.accumulate(first - sums)[:-1] + sums[1:]
+            to_right = np.maximum.accumulate(sums[::-1])[::-1] - sums
+            outside &= np.maximum(first, from_left) + to_right + rest < -1e-4  # running sums are that exact
+        return outside | tokens.marks
+
     def decode(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best labels [window, token] by Viterbi, all windows at once; windows begin and end beside O."""
-        (n, width), labels = symbols.shape, len(self.move)
-        padded, back = np.pad(symbols, ((0, 0), (2, 2))), np.zeros((n, width, labels), np.int8)
-        finals = np.zeros((n, labels))
+        """Best labels [window, token] by Viterbi of whole windows, which begin and end beside O."""
+        padded = np.pad(symbols, ((0, 0), (2, 2)))
+        return self.paths(padded.ravel(), np.arange(len(symbols)) * padded.shape[1] + 2, lengths)
+
+    def paths(self, symbols: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best labels [stretch, token] by Viterbi, all stretches at once: ``at`` says where each begins in a row of symbols; O is on both sides."""
+        order = np.argsort(-lengths, kind="stable")
+        at, sizes = at[order], lengths[order]
+        n, width, labels = len(at), int(sizes[0]), len(self.move)
+        live = n - np.searchsorted(sizes[::-1], np.arange(width + 1), "right")  # stretches that have a token at each step; they are the first ones
+        back, finals, move = np.zeros((width, n, labels), np.int8), np.zeros((n, labels)), self.move.T.copy()
+        block = max(1, min(512, SCORED // n))
+        top = len(symbols) - 3
         for t in range(width):
-            if t % 512 == 0:  # scores of a block of tokens at a time, with the two on either side
-                score = self.scores(padded[:, t : t + 516])[:, 2:-2]
+            m = live[t]
+            if t % block == 0:  # scores of a block of tokens at a time
+                score = self.at(symbols, np.minimum(np.arange(t, min(t + block, width))[:, None] + at[:m], top))
             if t == 0:
-                best = score[:, 0] + self.move[0]
-                continue
-            finals[lengths == t] = best[lengths == t]
-            over = best[:, :, None] + self.move[None]
-            back[:, t] = over.argmax(axis=1)
-            best = over.max(axis=1) + score[:, t % 512]
-        finals[lengths == width] = best[lengths == width]
+                best = score[0] + self.move[0]
+            else:
+                over = best[:m, None, :] + move
+                back[t, :m] = over.argmax(axis=2)
+                best = over.max(axis=2) + score[t % block, :m]
+            if live[t + 1] < m:
+                finals[live[t + 1] : m] = best[live[t + 1] :]
         now = (finals + self.move[:, 0]).argmax(axis=1)
         out, rows = np.zeros((n, width), np.int8), np.arange(n)
         for t in range(width - 1, -1, -1):
-            live = t < lengths
-            out[live, t] = now[live]
+            m = live[t]
+            out[:m, t] = now[:m]
             if t:
-                now = np.where(live, back[rows, t, now], now)
-        return out
+                now[:m] = back[t, rows[:m], now[:m]]
+        whole = np.empty_like(out)
+        whole[order] = out
+        return whole
 
 
 def _legal() -> np.ndarray:
@@ -229,11 +273,17 @@ def _legal() -> np.ndarray:
     return out
 
 
+def _listed(text: str) -> list[tuple[int, int, int]]:
+    """(symbol, start, end) of a text's tokens."""
+    t = Tokens([text])
+    return [(s, a - 2, z - 2) for s, a, z, mark in zip(t.symbols.tolist(), t.start.tolist(), t.end.tolist(), t.marks.tolist(), strict=True) if not mark]
+
+
 @lru_cache(maxsize=2)
-def fit(count: int = 450, seed: int = 3, steps: int = 80, rate: float = 0.25, l2: float = 2e-3) -> Field:
+def fit(rules: int = 450, seed: int = 3, steps: int = 80, rate: float = 0.25, l2: float = 2e-3, hand: tuple | None = None) -> Field:
     """Train on the labelled table by Adam steps on its mean log-likelihood."""
-    lines = labelled_lines(count, seed)
-    found = [tokens(t) for t, _ in lines]
+    lines = [*(pii_lines.by_hand() if hand is None else hand), *pii_lines.by_rule(rules, seed)]
+    count, found = len(lines), [_listed(t) for t, _ in lines]
     width = max(map(len, found))
     symbols, gold = np.zeros((count, width), np.int64), np.zeros((count, width), np.int64)
     lengths = np.array([max(1, len(x)) for x in found])
@@ -292,21 +342,16 @@ def fit(count: int = 450, seed: int = 3, steps: int = 80, rate: float = 0.25, l2
     return field
 
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+#: The written forms of an address: "@" or "at" (free or in brackets), and "." or "dot" likewise.
+_AT = r"(?:\s?@\s?|\s?[(\[]\s?(?:at|@)\s?[)\]]\s?|\s+at\s+)"
+_DOT = r"(?:\.|\s?[(\[]\s?(?:dot|\.)\s?[)\]]\s?|\s+dot\s+)"
+_ADDRESS = re.compile(rf"[\w.%+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
 
 
 def _passes(kind: str, span: str) -> bool:
-    numbers = "".join(re.findall(r"[0-9]", span))
+    numbers = "".join(_DIGITS.findall(span))
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s*(?:@|[(\[]?\s*at\s*[)\]]?)\s*[\w-]+(?:\s*(?:\.|[(\[]?\s*dot\s*[)\]]?)\s*[\w-]+)+", span, re.I))
+        return bool(_ADDRESS.fullmatch(span))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", span)
         return len(parts) == 4 and _octets(parts) and bool(re.fullmatch(r"[0-9\s.\[\]()]+", span))
@@ -315,44 +360,66 @@ def _passes(kind: str, span: str) -> bool:
     return 9 <= len(numbers) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9\s().\-/]+[0-9]", span)) and not numbers == span
 
 
-def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
-    """Per text its base spans and all spans, both by kind as listed, then start."""
-    base = [base_spans(t) for t in texts]
-    items = []  # (text number, tokens)
-    for k, text in enumerate(texts):
-        items += [(k, toks) for a, b in _windows(text) if (toks := tokens(text, a, b))]
-    items.sort(key=lambda x: len(x[1]))
-    more: list[list] = [[] for _ in texts]
+def labelled(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
+    """The field's spans (kind, start, end) of each text, in order."""
+    tokens = Tokens(texts)
+    rest = ~field.surely_outside(tokens)
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], rest.view(np.int8), [0]])))
+    begin, size = turn[::2], turn[1::2] - turn[::2]
+    order = np.argsort(size, kind="stable")
+    out: list[list] = [[] for _ in texts]
     at = 0
-    while at < len(items):
-        # windows of like length, a bounded number of tokens; a longer one alone
-        some = items[at : at + 512]
-        while len(some) > 1 and len(some) * len(some[-1][1]) > BLOCK:
+    while at < len(order):
+        # stretches of like length, a bounded number of tokens; a longer one alone
+        some = order[at : at + LANES]
+        while len(some) > 1 and len(some) * size[some[-1]] > BLOCK:
             some = some[: len(some) // 2]
         at += len(some)
-        lengths = np.array([len(t) for _, t in some])
-        symbols = np.zeros((len(some), lengths.max()), np.int64)
-        for row, (_, toks) in enumerate(some):
-            symbols[row, : len(toks)] = [t[0] for t in toks]
-        labels = field.decode(symbols, lengths)
+        labels = field.paths(tokens.symbols, begin[some], size[some])
         for row in np.flatnonzero(labels.any(axis=1)).tolist():
-            k, toks = some[row]
-            t = 0
-            while t < len(toks):
-                if (label := int(labels[row, t])) == 0:
-                    t += 1
-                    continue
+            path, t, n = labels[row].tolist(), 0, int(size[some[row]])
+            while t < n:
+                label = path[t]
                 u = t + 1
-                while u < len(toks) and labels[row, u] == label + (label % 2):
-                    u += 1
-                kind, a, b = _LABELS[label][2:], toks[t][1], toks[u - 1][2]
-                while b > a and texts[k][b - 1] in ".,;:":
-                    b -= 1
-                if _passes(kind, texts[k][a:b]) and all(b <= x or a >= y for _, x, y in base[k]):
-                    more[k].append((kind, a, b))
+                if label:
+                    while u < n and path[u] == label + label % 2:
+                        u += 1
+                    a, z = int(tokens.start[begin[some[row]] + t]), int(tokens.end[begin[some[row]] + u - 1])
+                    text = int(np.searchsorted(tokens.first, a, "right")) - 1
+                    first = int(tokens.first[text])
+                    out[text].append((_LABELS[label][2:], a - first, z - first))
                 t = u
-    order = {kind: k for k, kind in enumerate(KINDS)}
-    return [(own, sorted({*own, *extra}, key=lambda s: (order[s[0]], s[1], s[2]))) for own, extra in zip(base, more, strict=True)]
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
+
+
+def _added(text: str, base: list, spans: list) -> list[tuple[str, int, int]]:
+    """The spans that pass their kind's test and overlap no base span."""
+    taken = sorted((a, z) for _, a, z in base)
+    starts, reach = [a for a, _ in taken], []
+    for _, z in taken:
+        reach.append(max(z, reach[-1] if reach else 0))
+    out = []
+    for kind, a, z in spans:
+        while z > a and text[z - 1] in ".,;:":
+            z -= 1
+        before = bisect_left(starts, z)
+        if _passes(kind, text[a:z]) and not (before and reach[before - 1] > a):
+            out.append((kind, a, z))
+    return out
+
+
+def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
+    """Per text its base spans and all spans, both by kind as listed, then start."""
+    rank, out, at = {kind: k for k, kind in enumerate(KINDS)}, [], 0
+    while at < len(texts):  # as many as fit the room, one at least
+        end, room = at + 1, ROOM - len(texts[at])
+        while end < len(texts) and (room := room - len(texts[end])) >= 0:
+            end += 1
+        for text, spans in zip(texts[at:end], labelled(texts[at:end], field), strict=True):
+            base = base_spans(text)
+            out.append((base, sorted({*base, *_added(text, base, spans)}, key=lambda s: (rank[s[0]], s[1], s[2]))))
+        at = end
+    return out
 
 
 def _joined(spans) -> str:

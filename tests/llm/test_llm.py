@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quiremill.llm import ann, bitpack, bpe, exact_dedup, langid, near_dedup, packing, pii, queries, suffix_dedup, toxicity
+from quiremill.llm import ann, bitpack, bpe, exact_dedup, langid, near_dedup, packing, pii, pii_lines, queries, suffix_dedup, toxicity
 from quiremill.llm._common import default_vocabulary
 from tests.oracle import duck, same
 
@@ -409,7 +409,7 @@ def test_pii_query_is_the_plain_patterns_and_more(spark, sf):
 
 def test_field_adds_what_patterns_miss():
     field = pii.fit()
-    lines = pii.labelled_lines(200, seed=77)
+    lines = pii_lines.by_rule(200, seed=77)
     both = pii.all_spans([t for t, _ in lines], field)
     assert all(set(own) <= set(every) for own, every in both)
     hit = sum(len(set(s) & set(every)) for (_, s), (_, every) in zip(lines, both, strict=True))
@@ -418,7 +418,7 @@ def test_field_adds_what_patterns_miss():
     # exact decoding: the best of all paths of a short window
     import itertools
 
-    symbols = np.array([[t[0] for t in pii.tokens("call (555) 1")]])
+    symbols = np.array([[t[0] for t in pii._listed("call (555) 1")]])
     score = field.scores(symbols)[0]
     best = max(itertools.product(range(9), repeat=symbols.shape[1]), key=lambda y: field.move[0, y[0]] + sum(score[t, y[t]] for t in range(len(y))) + sum(field.move[a, b] for a, b in itertools.pairwise(y)) + field.move[y[-1], 0])
     assert tuple(field.decode(symbols, np.array([symbols.shape[1]]))[0]) == best
@@ -433,7 +433,7 @@ def test_field_loses_nothing_in_long_dense_texts():
         text += phone + ",\n"
     assert pii.all_spans([text, "call (555) 123-4567"], field)[0][1] == want
     # scores by blocks of tokens are those of the whole
-    symbols = np.array([[x[0] for x in pii.tokens(text[:30000])]])
+    symbols = np.array([[x[0] for x in pii._listed(text[:30000])]])
     best, score = None, field.scores(symbols)[0]
     for t in range(symbols.shape[1]):
         best = score[t] + (field.move[0] if best is None else (best[:, None] + field.move).max(axis=0))
@@ -442,6 +442,50 @@ def test_field_loses_nothing_in_long_dense_texts():
     assert abs(path - (best + field.move[:, 0]).max()) < 1e-6
 
 
+def whole_text_spans(text, field):
+    """The field's spans where all tokens of a text go through one Viterbi."""
+    found, out, t = pii._listed(text), [], 0
+    path = field.decode(np.array([[x[0] for x in found]]), np.array([len(found)]))[0].tolist() if found else []
+    while t < len(path):
+        u = t + 1
+        if path[t]:
+            while u < len(path) and path[u] == path[t] + path[t] % 2:
+                u += 1
+            out.append((pii._LABELS[path[t]][2:], found[t][1], found[u - 1][2]))
+        t = u
+    return out
+
+
+def test_field_decodes_whole_texts(docs):
+    field = pii.fit()
+    texts = [x for x, _ in pii_lines.by_rule(3000, seed=9)] + [r.text or "" for r in docs.select("text").collect()] + ["", " ", "x" * 5000, "1 " * 3000, "@ at dot " * 800]
+    assert pii.labelled(texts, field) == [whole_text_spans(t, field) for t in texts]
+    # weights that are sure of little
+    r = np.random.default_rng(3)
+    for size in (0.3, 2.0):
+        wild = pii.Field(r.normal(0, size, field.emit.shape), r.normal(0, size, field.move.shape) + pii._legal())
+        wild.emit[2, :, 0] += 2 * size
+        assert pii.labelled(texts[:300], wild) == [whole_text_spans(t, wild) for t in texts[:300]]
+
+
+def test_field_finds_addresses_without_any_digit_or_sign():
+    field, r = pii.fit(), random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvz") for _ in range(r.randint(3, 9)))
+    lines = [f"mail {word()} at {word()}.{r.choice(('com', 'org', 'net', 'de'))}" for _ in range(500)]
+    assert [every for _, every in pii.all_spans(lines, field)] == [[("email", 5, len(x))] for x in lines]
+    for name in ("a.very.long.personal.mail.box.name.of.jane.q.public.springfield", "x" * 60):
+        text = f"{name} at example dot org"
+        assert pii.all_spans([text], field)[0][1] == [("email", 0, len(text))]
+
+
+def test_field_on_lines_by_hand_that_it_has_not_seen():
+    lines, wrong, hit, total = pii_lines.by_hand(), 0, 0, 0
+    field = pii.fit(hand=tuple((x, tuple(s)) for k, (x, s) in enumerate(lines) if k % 3))
+    for (_, want), (_, every) in zip(lines[::3], pii.all_spans([x for x, _ in lines[::3]], field), strict=True):
+        hit, total, wrong = hit + len(set(want) & set(every)), total + len(want), wrong + len(set(every) - set(want))
+    assert hit >= 0.75 * total and wrong == 0
+
+
 def test_pii_of_odd_rows(spark, odd, empty):
     got = {r.doc_id: r for r in pii.found(odd).collect()}
     assert got[8].n_email == 1 and got[8].spans.startswith("email:") and got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
