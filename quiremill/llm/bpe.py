@@ -21,11 +21,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from functools import lru_cache
 from itertools import chain
 
-import regex
 from pyspark.sql import DataFrame
 
 from quiremill.llm._common import default_vocabulary, sliced
@@ -33,8 +31,9 @@ from quiremill.llm.automaton import suffix_automaton
 
 #: Unicode White_Space, as fixed values.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The vocabulary's own pattern of words (a fixed value of its file), with white space spelled out.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACE + r"\p{L}\p{N}]+")
+#: The vocabulary's own pattern of words (a fixed value of its file), for ASCII.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_PIECES = re.compile(f"[^{_SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _END = "</w>"
 #: Added to a final atom's code so that it differs from the same atom inside a word.
@@ -70,17 +69,25 @@ class Memo(dict):
 
 class WordBpe:
     def __init__(self, path: str, remember: int = 100_000):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != _END or model.get("byte_fallback") or model.get("ignore_merges") or spec["decoder"] is not None:
             raise ValueError("only byte-level BPE with word ends and without a decoder is supported")
+        split, *rest = spec["pre_tokenizer"].get("pretokenizers", [{"type": None}])
+        if split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or [(p["type"], p["use_regex"], p["add_prefix_space"]) for p in rest] != [("ByteLevel", False, False)]:
+            raise ValueError("only words cut by one pattern and taken as bytes are supported")
+        # what letters and numbers are, and how they are lower-cased, depends on the library's Unicode tables; pieces beyond ASCII are therefore left to it
+        self._normal = Tokenizer.from_file(path).normalizer
+        self._cut = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         vocab: dict[str, int] = model["vocab"]
         self.text_of = {i: t for t, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.text_of |= {i: t for t, i in self.special.items()}
         self.size = max(self.text_of) + 1
-        self._special_re = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self._special_re = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._letters = _byte_letters()
         self._table = {b: c for b, c in self._letters.items()}
 
@@ -191,38 +198,34 @@ class WordBpe:
             at = start[at]
         return tuple(reversed(ids))
 
-    @staticmethod
-    def normalised(text: str) -> str:
-        """Composed and lower-cased; white space may stay, as it only parts words."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # each character is lower-cased by itself
-                text = text.replace("Σ", "σ")
-        return text.lower()
-
-    @staticmethod
-    def memo(one, join, most: int) -> Memo:
+    def words_of(self, piece: str) -> list[str]:
+        """The normalised words of what stands between white space. Composing, lower-casing and cutting never reach across white space."""
+        if piece.isascii():
+            piece = piece.lower()
+            return [piece] if piece.isalpha() else _WORDS.findall(piece)
+        return [w for w, _ in self._cut.pre_tokenize_str(self._normal.normalize_str(piece))]
+
+    def memo(self, one, join, most: int) -> Memo:
         """Values of what stands between white space: ``one`` word's value, or ``join`` of its words' values."""
 
         def make(piece: str):
-            words = [piece] if piece.isalpha() else _WORDS.findall(piece)
-            return one(words[0]) if len(words) == 1 else join([memo[w] for w in words])
+            words = self.words_of(piece)
+            return of_word[words[0]] if len(words) == 1 and words[0] != piece else one(piece) if len(words) == 1 else join([of_word[w] for w in words])
 
-        memo = Memo(make, most)
-        return memo
+        of_word = Memo(one, most // 2)
+        return Memo(make, most)
 
     def values(self, text: str | None, memo: Memo, of_special) -> list:
         """The values of a text's pieces and, by ``of_special``, of its special tokens, in order."""
         if not text:
             return []
-        if self._special_re is not None and "<|" in text:
+        if any(s in text for s in self.special):
             parts = self._special_re.split(text)
-            if len(parts) > 1:
-                return [v for i, part in enumerate(parts) for v in ([of_special(self.special[part])] if i % 2 else self.values(part, memo, of_special))]
-        text = self.normalised(text)
+            return [v for i, part in enumerate(parts) for v in ([of_special(self.special[part])] if i % 2 else self.values(part, memo, of_special))]
+        if text.isascii():
+            text = text.lower()
         # these four part words for str.split, but are no Unicode white space
-        pieces = _WORDS.findall(text) if _SEPARATORS.search(text) else text.split()
+        pieces = _PIECES.findall(text) if _SEPARATORS.search(text) else text.split()
         return list(map(memo.__getitem__, pieces))
 
     def encode(self, text: str | None) -> list[int]:

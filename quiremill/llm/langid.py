@@ -1,8 +1,8 @@
 """Language ID by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built; a text is parsed from left to right into the longest
-phrases that occur in that text, across words, and the language that needs the fewest phrases wins, each phrase weighed by
-log2 of the automaton's text length and divided by the letters parsed. Texts are lower-cased letters and marks, with one
+phrases that occur in that text, across words, and the language that needs the fewest phrases wins. A phrase costs the same
+in every language, log2 of the longest automaton's text length, so that a language with little text has no cheaper phrases; costs are divided by the letters parsed. Texts are lower-cased letters and marks, with one
 space for everything between them. They are parsed whole, in stretches of ``STRETCH`` letters at whose ends a phrase ends;
 many stretches go through an automaton's flat tables at a time in numpy.
 
@@ -14,6 +14,8 @@ One passage in five is held back. The most bits a letter that these need, or the
 taken as what its texts can need; a text counts as none of the learned languages beyond the middle between that and the
 bits of a text whose every letter is unknown.
 
+A language is learned if its passages hold a letter.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could be
 learned; ties go to the smaller language value; rows with null lang or null or empty text are scored but not learned from;
 rows with null id are learned from like others; other columns are ignored.
@@ -69,22 +71,25 @@ def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class Model:
-    """Languages, and for each its automaton, the bits of a phrase and the most bits a letter of a text in it."""
+    """Languages, and for each its automaton, the bits of a phrase (one number for all) and the most bits a letter of a text in it."""
 
     def __init__(self, passages: dict[str, list[str]], letters_per_language: int = 120_000):
-        self.languages = sorted(passages)
         self.automata, self.bits, self.most = [], [], []
         learned, held = {}, {}
-        for name in self.languages:
-            parts = [c[a:z] for c, at, _ in [letters_of(passages[name])] for a, z in zip(at[:-1], at[1:], strict=True) if z > a + 1]
+        for name in sorted(passages):
+            parts = [c[a:z] for c, at, has in [letters_of(passages[name])] for a, z, letter in zip(at[:-1], at[1:], has, strict=True) if letter]
+            if not parts:
+                continue
             held[name] = parts[4::5]
             rest = [x for k, x in enumerate(parts) if k % 5 != 4]
             learned[name] = np.concatenate([*rest, np.array([32], np.uint32)])[:letters_per_language]
+        self.languages = list(learned)
+        price = math.log2(max(map(len, learned.values()), default=1) + 1)
         self.alphabet = np.unique(np.concatenate([*learned.values(), np.array([32], np.uint32)])) if learned else np.empty(0, np.uint32)
         for name in self.languages:
             symbols = np.searchsorted(self.alphabet, learned[name]) + 1
             self.automata.append(Packed(suffix_automaton(symbols.tolist())[0], len(self.alphabet) + 1))
-            self.bits.append(math.log2(len(symbols) + 1))
+            self.bits.append(price)
         for k, name in enumerate(self.languages):
             self.most.append(self._bound(k, learned[name], held[name]))
 

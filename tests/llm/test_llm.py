@@ -175,6 +175,18 @@ def test_language_of_odd_rows(docs, odd, empty):
     assert langid.accepted(odd, model).columns == odd.columns
 
 
+def test_a_language_with_hardly_any_letters_takes_nothing_over(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1, "12345 67", "xx"), (-2, "ab", "yy"), (-3, "the und", "zz"), (-4, "\u0301\u0301", "mm")], docs.schema)
+    every = docs.unionByName(more)
+    model = langid.fit(every.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    assert set(model.languages) <= {"de", "en", "es", "fr", "yy", "zz"} and len(set(model.bits)) == 1
+    rows = langid.predicted(every).join(docs, "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) > 0.99 * len(rows)
+    known = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    assert langid.accepted(docs, model).count() >= langid.accepted(docs, known).count() - 1
+
+
 def test_every_language_is_learned(spark, odd, empty):
     r, rows = random.Random(2), []
     for n in range(30):
@@ -222,6 +234,15 @@ def test_bpe_digests(odd, empty, library):
     assert bpe.digests(empty).count() == 0 and bpe.encoded(odd).count() == len(ODD)
 
 
+def test_ids_of_every_code_point_are_the_librarys(library):
+    own, of_files = bpe.load(default_vocabulary()), bitpack.library_encoder(default_vocabulary())
+    texts = [f"a{chr(c)}b {chr(c)}\u0301 Q{chr(c)}" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and not 0x30000 < c < 0xE0000 and not 0xF0100 < c]
+    for a in range(0, len(texts), 20000):
+        want = [x.ids for x in library.encode_batch(texts[a : a + 20000], add_special_tokens=False)]
+        assert [own.encode(t) for t in texts[a : a + 20000]] == want
+        assert [np.frombuffer(of_files(t), "<u4").tolist() for t in texts[a : a + 20000 : 7]] == want[::7]
+
+
 # --- 5
 def test_exact_dedup_is_sql(spark):
     same(queries.op5_exact_dedup(spark, SF), queries.ORACLE_SQL["op5_exact_dedup"], duck(SF))
