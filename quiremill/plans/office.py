@@ -163,9 +163,9 @@ def _manifests(pkg: Package, rows: DataFrame) -> DataFrame:
         fresh = fresh.join(new.select("doc_id", *names, "media", "no"), ["doc_id", *names])
         value = {"item": F.col("id") if "id" in names else None, "entry": F.col(names[-1]), "media": F.col("media"), None: F.lit("1")}
         attrs = F.array(*(F.struct(F.lit(k).alias("key"), value[v].alias("value")) for k, v in pairs))
-        host = tree.where(F.col("tag") == parent).groupBy("doc_id", "entry").agg(F.min_by(F.struct("pos", "end_pos", "prefix"), "pos").alias("h"))
+        host = tree.where(F.col("tag") == parent).groupBy("doc_id", "entry").agg(F.min_by(F.struct("pos", "end_pos", "prefix", "top_pos"), "pos").alias("h"))
         top = tree.groupBy("doc_id").agg(F.max("pos").alias("top"))
-        added = fresh.join(host, "doc_id").join(top, "doc_id").select("doc_id", "entry", (F.col("top") + F.col("no")).cast("int").alias("pos"), F.col("h.pos").alias("parent_pos"), F.col("h.prefix").alias("prefix"), F.lit(item).alias("tag"), attrs.alias("attrs"), (F.col("h.end_pos") + F.col("no") * 1e-6 + 0.1).alias("at"))
+        added = fresh.join(host, "doc_id").join(top, "doc_id").select("doc_id", "entry", (F.col("top") + F.col("no")).cast("int").alias("pos"), F.col("h.pos").alias("parent_pos"), F.coalesce("h.top_pos", "h.end_pos").alias("top_pos"), F.col("h.prefix").alias("prefix"), F.lit(item).alias("tag"), attrs.alias("attrs"), (F.col("h.end_pos") + F.col("no") * 1e-6 + 0.1).alias("at"))
         made.append(E.written(tree.unionByName(added, allowMissingColumns=True), "at"))
     return made[0].unionByName(made[1])
 

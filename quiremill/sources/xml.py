@@ -101,36 +101,96 @@ def attribute(key: str, column: str = "attrs"):
     return F.get(F.filter(column, lambda a: F.element_at(F.split(a["key"], ":"), -1) == key), F.lit(0))["value"]
 
 
+#: Numbers of root children that go to one fragment, and characters of text that a fragment is handed on with.
+FRAGMENT, FLUSH = 50_000, 1 << 20
+_LAST = 2**31 - 1
+
+
+class _Serialiser:
+    """XML text of elements that come in document order, a parent before its children: holds the open elements and the text not yet handed on."""
+
+    def __init__(self):
+        self.open: list[tuple[int, str]] = []
+        self.waiting: tuple | None = None
+        self.out: list[str] = []
+        self.size = 0
+
+    def put(self, text: str) -> None:
+        self.out.append(text)
+        self.size += len(text)
+
+    def settle(self, next_parent: int | None) -> None:
+        """Write what waits to learn whether it has a child, and close what the next element is not in."""
+        if self.waiting:
+            pos, name, start, text, tail = self.waiting
+            self.waiting = None
+            if pos == next_parent:
+                self.put(f"<{start}>{text}")
+                self.open.append((pos, f"</{name}>{tail}"))
+                return
+            self.put(f"<{start}>{text}</{name}>{tail}" if text else f"<{start}/>{tail}")
+        while self.open and self.open[-1][0] != next_parent:
+            self.put(self.open.pop()[1])
+
+    def take(self) -> str:
+        out, self.out, self.size = "".join(self.out), [], 0
+        return out
+
+
+def fragments(elems: DataFrame, order: str = "pos") -> DataFrame:
+    """(doc_id, entry, part, seq, text, alone): pieces of the XML of sections, in order of part and seq.
+
+    A part is a range of the root's children; each is written by one task from sorted batches, which holds its open elements
+    and ``FLUSH`` characters, so a section of any size is written by many tasks in bounded room. The root's start is the first piece and its
+    end the last; ``alone`` is what the root is where it has no child.
+    """
+    top = F.when(F.col("parent_pos").isNull(), -1).otherwise(F.floor(F.coalesce(F.col("top_pos"), F.raise_error(F.lit("an element without its root's child"))) / FRAGMENT))
+    wanted = elems.select("doc_id", "entry", top.cast("int").alias("part"), F.col(order).cast("double").alias("at"), "pos", "parent_pos", "tag", "prefix", "attrs", "text", "tail")
+    by = ["doc_id", "entry", "part"]
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        key, made, seq = None, _Serialiser(), 0
+
+        def rows(some):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], [*by, "seq", "text", "alone"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                for r in batch.slice(at, 2048).to_pylist():
+                    here = (r["doc_id"], r["entry"], r["part"])
+                    if here != key:
+                        if key:
+                            made.settle(None)
+                            yield rows([(*key, seq, made.take(), None)])
+                        key, seq = here, 0
+                    name = f"{r['prefix']}:{r['tag']}" if r["prefix"] else r["tag"]
+                    start = name + "".join([f" {a['key']}={quoteattr(a['value'])}" for a in r["attrs"] or ()])
+                    text, tail = escape(r["text"] or ""), escape(r["tail"] or "")
+                    if r["part"] < 0:
+                        yield rows([(*here, 0, f"<{start}>{text}", f"<{start}>{text}</{name}>" if text else f"<{start}/>"), (*here[:2], _LAST, 0, f"</{name}>", None)])
+                        key = None
+                        continue
+                    made.settle(r["parent_pos"])
+                    made.waiting = (r["pos"], name, start, text, tail)
+                    if made.size >= FLUSH:
+                        yield rows([(*key, seq, made.take(), None)])
+                        seq += 1
+        if key:
+            made.settle(None)
+            yield rows([(*key, seq, made.take(), None)])
+
+    # range partitioning would sample the input; a hash of the part spreads a section's parts as well
+    return wanted.repartition(*by).sortWithinPartitions(*by, "at", "pos").drop("at").mapInArrow(run, "doc_id string, entry string, part int, seq int, text string, alone string")
+
+
 def written(elems: DataFrame, order: str = "pos") -> DataFrame:
     """(doc_id, entry, body): XML of the elements that are left, in the order of ``order``, with the fixed declaration.
 
-    ``order`` may be fractional, so that new elements stand between old ones; an element comes after its parent.
+    ``order`` may be fractional, so that new elements stand between old ones; an element comes after its parent, next to what else is below it, and
+    names the child of the root it is in (``top_pos``).
     """
-
-    def join(key, rows):
-        import pandas as pd
-
-        rows = rows.sort_values(order, kind="stable")
-        children: dict = {}
-        for r in rows.itertuples():
-            children.setdefault(None if pd.isna(r.parent_pos) else int(r.parent_pos), []).append(r)
-        out = [DECLARATION]
-        stack = [("open", r) for r in reversed(children.get(None, []))]
-        while stack:
-            what, r = stack.pop()
-            if what == "close":
-                out.append(r)
-                continue
-            name = f"{r.prefix}:{r.tag}" if r.prefix else r.tag
-            start = name + "".join(f" {a['key']}={quoteattr(a['value'])}" for a in (r.attrs if r.attrs is not None else []))
-            own, tail = children.get(int(r.pos), []), escape(r.tail or "")
-            if not own and not r.text:
-                out.append(f"<{start}/>{tail}")
-                continue
-            out.append(f"<{start}>{escape(r.text or '')}")
-            stack.append(("close", f"</{name}>{tail}"))
-            stack += [("open", c) for c in reversed(own)]
-        return pd.DataFrame({"doc_id": [key[0]], "entry": [key[1]], "body": ["".join(out).encode("utf-8")]})
-
-    wanted = elems.select("doc_id", "entry", "pos", "parent_pos", "tag", "prefix", "attrs", "text", "tail", *([order] if order != "pos" else []))
-    return wanted.groupBy("doc_id", "entry").applyInPandas(join, "doc_id string, entry string, body binary")
+    pieces = fragments(elems, order).groupBy("doc_id", "entry").agg(F.sort_array(F.collect_list(F.struct("part", "seq", "text"))).alias("all"), F.max("alone").alias("alone"))
+    text = F.when(F.size("all") == 2, F.col("alone")).otherwise(F.array_join(F.transform("all", lambda x: x["text"]), ""))
+    return pieces.select("doc_id", "entry", F.encode(F.concat(F.lit(DECLARATION), text), "UTF-8").alias("body"))
