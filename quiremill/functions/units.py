@@ -25,21 +25,26 @@ def mm_to_px(value: Column) -> Column:
     return F.replace(value, F.lit(" mm"), F.lit("")).try_cast("double") / 25.4 * 96
 
 
-def two_decimals(number: Column) -> Column:
-    """A double as text with two decimals, rounded as C's printf does: by its exact binary value, ties to even.
+def decimals(number: Column, places: int) -> Column:
+    """A double as text with decimals, rounded as C's printf does: by its exact binary value, ties to even.
 
     A double times a power of two is exact, so its digits are those of a whole number; the rest is whole-number arithmetic.
     """
     size = F.abs(number)
     small = size < 1024
-    whole = F.when(small, size * float(1 << 52)).otherwise(size * float(1 << 42)).cast("long").cast("decimal(19,0)") * F.lit(100).cast("decimal(3,0)")
+    tens = F.lit(10**places).cast(f"decimal({places + 1},0)")
+    whole = F.when(small, size * float(1 << 52)).otherwise(size * float(1 << 42)).cast("long").cast("decimal(19,0)") * tens
     unit = F.when(small, F.lit(1 << 52)).otherwise(F.lit(1 << 42)).cast("decimal(16,0)")
     rest = whole % unit
     low = ((whole - rest) / unit).cast("decimal(20,0)")
     up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
-    cents = F.when(up, low + 1).otherwise(low).cast("decimal(20,0)")
-    text = (cents / F.lit(100).cast("decimal(3,0)")).cast("decimal(22,2)").cast("string")
-    return F.when((number < 0) & (cents > 0), F.concat(F.lit("-"), text)).otherwise(text)
+    units = F.when(up, low + 1).otherwise(low).cast("decimal(20,0)")
+    text = (units / tens).cast(f"decimal({20 + places},{places})").cast("string")
+    return F.when((number < 0) & (units > 0), F.concat(F.lit("-"), text)).otherwise(text)
+
+
+def two_decimals(number: Column) -> Column:
+    return decimals(number, 2)
 
 
 def px(number: Column) -> Column:
