@@ -1,7 +1,7 @@
 """Packages (ZIP files of XML and blobs): read as entries, written back in their order.
 
-``entries`` has a row for each file in a package; bodies stay binary. Reading is one task per package, over the binaryFile
-source, whose path filter and column pruning work as usual. Writing gathers one package's entries in one task.
+``entries`` has a row for each file in a package; bodies stay binary. ``read`` goes through the data source of packages, which
+inflates only what is asked for; ``entries`` unzips packages that are already rows, such as those of the binaryFile source. Writing gathers one package's entries in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiremill.operators.keep import written
+from quiremill.sources.datasource import NAME, registered
+
 ENTRIES = "doc_id string, entry_pos int, entry string, compress_type int, body binary"
 #: Parts of a path that mark signatures and encryption, dropped on writing (fixed values).
 UNSAFE = ("sign", "encrypt", "certification", "xmlsig")
@@ -42,8 +45,11 @@ def entries(packages: DataFrame) -> DataFrame:
     return packages.select("path", "content").mapInArrow(unzip, ENTRIES)
 
 
-def read(spark: SparkSession, path: str, glob: str = "*.hwpx") -> DataFrame:
-    return entries(files(spark, path, glob))
+def read(spark: SparkSession, path: str, glob: str = "*.hwpx", only: Column | None = None) -> DataFrame:
+    """``entries`` of the packages below a path. ``only`` is a condition on ``entry`` and ``doc_id``; where Spark pushes it down
+    (``spark.sql.python.filterPushdown.enabled``), nothing else is read of a package but its directory."""
+    found = registered(spark).read.format(NAME).option("glob", glob).load(path)
+    return found if only is None else found.where(only)
 
 
 def _folder() -> Column:
@@ -165,24 +171,9 @@ def packed(all_entries: DataFrame) -> DataFrame:
 
 
 def write(packages: DataFrame, folder: str, name: Column | None = None) -> DataFrame:
-    """Write (doc_id, content) as files of a folder that executors share as a file system; returns (doc_id, path). Files appear
-    whole: each is written beside its place and renamed, so a retried task repeats no harm."""
-    named = packages.withColumn("name", name if name is not None else F.element_at(F.split("doc_id", "/"), -1))
-
-    def save(batches):
-        import os
-        import uuid
-
-        for pdf in batches:
-            os.makedirs(folder, exist_ok=True)
-            paths = []
-            for file, content in zip(pdf["name"], pdf["content"], strict=True):
-                path = os.path.join(folder, file)
-                part = f"{path}.{uuid.uuid4().hex}.part"
-                with open(part, "wb") as f:
-                    f.write(content if isinstance(content, bytes) else content.encode("utf-8"))
-                os.replace(part, path)
-                paths.append(path)
-            yield pdf[["doc_id"]].assign(path=paths)
-
-    return named.select("doc_id", "name", "content").mapInPandas(save, "doc_id string, path string")
+    """Write (doc_id, content) as files of a folder, all or none; returns (doc_id, path). Files of the same names are replaced."""
+    named = packages.select("doc_id", (name if name is not None else F.element_at(F.split("doc_id", "/"), -1)).alias("name"), F.col("content").cast("binary").alias("content"))
+    named = written(named, "files")  # made once: it is read to write the files, and again for their names
+    registered(packages.sparkSession)
+    named.select("name", "content").write.format(NAME).mode("overwrite").save(folder)
+    return named.select("doc_id", F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("path"))
