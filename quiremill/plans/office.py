@@ -224,14 +224,19 @@ def convert(spark: SparkSession, path: str, out: str, lines: bool = False, glob:
     return P.write(pages.select("doc_id", F.encode("html", "UTF-8").alias("content")), out, name)
 
 
+def page_edits(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, seq, target, new_text): what a model proposed (doc_id, answer) for pages (doc_id, page), resolved to nodes."""
+    html = pages.select("doc_id", F.col("page").alias("html"))
+    labels = J.label_values(td_rows(html), ["doc_id"], ["row_no"], "cell_no")
+    on_page = H.owned_text(html, ["doc_id"]).select("doc_id", F.col("id").try_cast("long").alias("id")).where("id is not null")
+    proposed = N.edits(answers).withColumn("new_text", normalize_patch(F.col("new_text")))
+    return J.resolved_edits(proposed, labels, on_page, ["doc_id"])
+
+
 def edit_page(entries: DataFrame, number: int, answers: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(page (doc_id, page), edits (doc_id, seq, target, new_text)): what a model proposed for one page (doc_id, answer), resolved to nodes."""
+    """(page (doc_id, page), edits (doc_id, seq, target, new_text)): one page of each package, and what a model proposed for it."""
     pages = kept(H.page(to_html(entries, lines), ["doc_id"], number))
-    cells = td_rows(pages.select("doc_id", F.col("page").alias("html")))
-    labels = J.label_values(cells, ["doc_id"], ["row_no"], "cell_no")
-    on_page = H.owned_text(pages.select("doc_id", F.col("page").alias("html")), ["doc_id"]).select("doc_id", F.col("id").try_cast("long").alias("id")).where("id is not null")
-    proposed = N.edits(answers).withColumn("new_text", normalize_patch(F.col("new_text")))
-    return pages, J.resolved_edits(proposed, labels, on_page, ["doc_id"])
+    return pages, page_edits(pages, answers)
 
 
 def td_rows(docs: DataFrame) -> DataFrame:

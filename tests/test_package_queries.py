@@ -1,6 +1,7 @@
 import pytest
 
 from quiremill.plans import package_queries as q
+from quiremill.plans import supplier_queries
 from tests.oracle import duck, same
 
 SF = "/root/testdata/sf0.001"
@@ -11,9 +12,12 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(q.QUERIES))
+QUERIES, ORACLE_SQL = q.QUERIES | supplier_queries.QUERIES, q.ORACLE_SQL | supplier_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_as_sql(spark, con, name):
-    same(q.QUERIES[name](spark, SF), q.ORACLE_SQL[name], con)
+    same(QUERIES[name](spark, SF), ORACLE_SQL[name], con)
 
 
 def test_pictures_exchanged_and_exported(spark, tmp_path):
