@@ -207,8 +207,9 @@ class Packages(DataSource):
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """The session, which knows the format and may push filters down to it."""
+    """The session, which knows the format and may push filters down to it: Spark asks for this setting where a source can take filters."""
     if not getattr(spark, "_quiremill_packages", False):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         spark.dataSource.register(Packages)
         spark._quiremill_packages = True
     return spark

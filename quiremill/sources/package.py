@@ -7,6 +7,8 @@ inflates only what is asked for; ``entries`` unzips packages that are already ro
 from __future__ import annotations
 
 import io
+import re
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -46,8 +48,8 @@ def entries(packages: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, glob: str = "*.hwpx", only: Column | None = None) -> DataFrame:
-    """``entries`` of the packages below a path. ``only`` is a condition on ``entry`` and ``doc_id``; where Spark pushes it down
-    (``spark.sql.python.filterPushdown.enabled``), nothing else is read of a package but its directory."""
+    """``entries`` of the packages below a path. ``only`` is a condition on ``entry`` and ``doc_id``, which goes down to
+    the source: nothing else is read of a package but its directory."""
     found = registered(spark).read.format(NAME).option("glob", glob).load(path)
     return found if only is None else found.where(only)
 
@@ -119,33 +121,38 @@ def picture_format(body: Column) -> Column:
     )
 
 
+#: JPEG markers: those that begin a frame (its size follows), and those without a length (fixed values of the format).
+_FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+_BARE = frozenset((0x01, *range(0xD0, 0xDA)))
+_MARKER = re.compile(rb"\xff+([^\x00\xff])")
+
+
+def _jpeg_size(b: bytes) -> tuple[int, int] | None:
+    """(width, height) of the first frame: from marker to marker, each segment's length a jump."""
+    found = _MARKER.search(b)
+    while found:
+        kind, at = found[1][0], found.end()
+        if kind in _FRAMES and len(b) >= at + 7:
+            height, width = struct.unpack_from(">HH", b, at + 3)
+            return width, height
+        jump = 0 if kind in _BARE else struct.unpack_from(">H", b, at)[0] if len(b) >= at + 2 else 0
+        if kind not in _BARE and jump < 2:
+            return None
+        found = _MARKER.search(b, at + jump)
+    return None
+
+
 def picture_size(body: Column) -> Column:
-    """struct<width, height> of PNG and JPEG data; null for others. Bytes between a JPEG's segments are passed over."""
+    """struct<width, height> of PNG and JPEG data (frames of every kind); null for others."""
 
     @F.pandas_udf("struct<width:int,height:int>")
     def size(s):  # noqa: ANN001
         import pandas as pd
 
         def one(b):
-            if b is None:
-                return None, None
-            if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24:
-                return int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big")
-            at = 2
-            while b[:2] == b"\xff\xd8" and at + 9 < len(b):
-                if b[at] != 0xFF:  # padding between segments
-                    at += 1
-                    continue
-                kind, n = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
-                if kind in (0xD8, 0xD9):  # these have no length
-                    at += 2
-                elif 0xC0 <= kind <= 0xC3:
-                    return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
-                elif n < 2:
-                    break
-                else:
-                    at += 2 + n
-            return None, None
+            if b is not None and b.startswith(b"\x89PNG\r\n\x1a\n") and len(b) >= 24:
+                return struct.unpack_from(">II", b, 16)
+            return (_jpeg_size(b) if b is not None and b.startswith(b"\xff\xd8") else None) or (None, None)
 
         return pd.DataFrame([one(b) for b in s], columns=["width", "height"], dtype="Int32")
 
