@@ -303,8 +303,10 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     if docs.groupBy(docs_id.alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
         keep = linked(docs, **options).where("kept").select(F.col("doc_id").alias("__keep_id"))
         return docs.join(keep, docs_id.eqNullSafe(keep["__keep_id"]), "left_semi")
-    rows = _numbered(docs)
-    own = linked(rows.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "__row")
-    keep = own.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(docs.columns)
+    # the row stands in a column of its own, so that no name of it can clash
+    rows = _numbered(docs.select(F.struct("*").alias("row")))
+    own = linked(rows.select(F.col("__row").alias("doc_id"), F.col("row.text").alias("text")), **options).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.col("row.doc_id").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), "__row")
+    keep = own.join(ids, "__row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select("row.*")

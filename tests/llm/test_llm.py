@@ -386,6 +386,8 @@ def test_near_dedup_of_ids_with_several_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.linked(df).collect())
     assert got == sorted([("5", "1", False), ("5", "1", False), ("7", "1", False), ("1", "1", True), ("9", "9", True), ("9", "9", True), ("8", "2", False), ("2", "2", True), ("3", "3", True), ("None", "None", True)])
+    clash = near_dedup.deduplicated(df.withColumn("__row", F.lit("mine")).withColumn("row", F.lit(1)))
+    assert clash.columns == ["doc_id", "text", "__row", "row"] and {(r["__row"], r["row"]) for r in clash.collect()} == {("mine", 1)}
     kept = [r.text for r in near_dedup.deduplicated(df).collect()]
     assert sorted(kept) == sorted([texts["a"], texts["b"], texts["c"], texts["d"], ""])  # a text of each group, whatever its id
 
