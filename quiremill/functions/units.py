@@ -25,22 +25,34 @@ def mm_to_px(value: Column) -> Column:
     return F.replace(value, F.lit(" mm"), F.lit("")).try_cast("double") / 25.4 * 96
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)``, where ``value`` is worked out and planned once however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def decimals(number: Column, places: int) -> Column:
     """A double as text with decimals, rounded as C's printf does: by its exact binary value, ties to even.
 
     A double times a power of two is exact, so its digits are those of a whole number; the rest is whole-number arithmetic.
     """
-    size = F.abs(number)
-    small = size < 1024
     tens = F.lit(10**places).cast(f"decimal({places + 1},0)")
-    whole = F.when(small, size * float(1 << 52)).otherwise(size * float(1 << 42)).cast("long").cast("decimal(19,0)") * tens
-    unit = F.when(small, F.lit(1 << 52)).otherwise(F.lit(1 << 42)).cast("decimal(16,0)")
-    rest = whole % unit
-    low = ((whole - rest) / unit).cast("decimal(20,0)")
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
-    units = F.when(up, low + 1).otherwise(low).cast("decimal(20,0)")
-    text = (units / tens).cast(f"decimal({20 + places},{places})").cast("string")
-    return F.when((number < 0) & (units > 0), F.concat(F.lit("-"), text)).otherwise(text)
+
+    def parts(x: Column) -> Column:
+        size = F.abs(x)
+        small = size < 1024
+        whole = F.when(small, size * float(1 << 52)).otherwise(size * float(1 << 42)).cast("long").cast("decimal(19,0)") * tens
+        unit = F.when(small, F.lit(1 << 52)).otherwise(F.lit(1 << 42)).cast("decimal(16,0)")
+        return F.struct(whole.alias("whole"), unit.alias("unit"), (x < 0).alias("negative"))
+
+    def text(s: Column) -> Column:
+        rest = s["whole"] % s["unit"]
+        low = ((s["whole"] - rest) / s["unit"]).cast("decimal(20,0)")
+        up = (rest * 2 > s["unit"]) | ((rest * 2 == s["unit"]) & (low % 2 == 1))
+        units = F.when(up, low + 1).otherwise(low).cast("decimal(20,0)")
+        digits = (units / tens).cast(f"decimal({20 + places},{places})").cast("string")
+        return F.when(s["negative"] & (units > 0), F.concat(F.lit("-"), digits)).otherwise(digits)
+
+    return _bound(_bound(number, parts), text)
 
 
 def two_decimals(number: Column) -> Column:
