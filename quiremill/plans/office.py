@@ -56,16 +56,25 @@ def settings_file(text: str, environ: dict[str, str]) -> dict[str, str]:
 
 
 class Package:
-    """The tables of some packages: entries, elements of sections and headers, nodes."""
+    """The tables of some packages: entries, elements of sections and headers, nodes. Each is made once, for all jobs that are given the same object."""
 
     def __init__(self, entries: DataFrame):
         self.entries = entries
         self.sections = kept(P.sections(entries, required=True))
-        self.elems = kept(E.elements(self.sections, ("section_no", "entry_pos", "compress_type")))
+        # elements are many times the size of their text, so tasks are not to be merged by the size of that
+        spread = self.sections.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SECTION)
+        self.elems = kept(E.elements(spread, ("section_no", "entry_pos", "compress_type")))
         self.header = kept(E.elements(P.header(entries)))
+        self._nodes: dict[bool, DataFrame] = {}
+
+    @classmethod
+    def of(cls, source: DataFrame | Package) -> Package:
+        return source if isinstance(source, cls) else cls(source)
 
     def nodes(self, styles: bool = True) -> DataFrame:
-        return kept(with_global_ids(nodes(self.elems, self.header if styles else None)))
+        if styles not in self._nodes:
+            self._nodes[styles] = kept(with_global_ids(nodes(self.elems, self.header if styles else None)))
+        return self._nodes[styles]
 
     def repacked(self, elems: DataFrame, more: DataFrame | None = None) -> DataFrame:
         """(doc_id, content) with sections written from ``elems`` and ``more`` entries put in the place of those of the same name."""
@@ -94,13 +103,13 @@ def planned(table: DataFrame, all_summaries: DataFrame, planner: N.Annotator, wo
     return kept(N.plans(planner.annotate(N.plan_prompts(for_model(table), all_summaries, wording))))
 
 
-def generate(entries: DataFrame, analyse: N.Annotator, fill: N.Annotator, topic: str, plan: DataFrame | N.Annotator | None = None, pictures: DataFrame | None = None, options: Options = Options(), description: str = "", reference: str = "", wording: N.Wording = N.Wording()) -> DataFrame:
+def generate(entries: DataFrame | Package, analyse: N.Annotator, fill: N.Annotator, topic: str, plan: DataFrame | N.Annotator | None = None, pictures: DataFrame | None = None, options: Options = Options(), description: str = "", reference: str = "", wording: N.Wording = N.Wording()) -> DataFrame:
     """(doc_id, content) of filled templates.
 
     ``plan`` is a plan of chunks, or what answers with one. ``pictures`` (doc_id, section_no, nid, seq, body) are pictures made for
     the requests; a request without one is passed over, and nodes that go without a picture go.
     """
-    pkg = Package(entries)
+    pkg = Package.of(entries)
     table, all_summaries = pkg.nodes(), kept(summaries(pkg.elems))
     if plan is not None and not isinstance(plan, DataFrame):
         plan = planned(table, all_summaries, plan, wording)
@@ -170,19 +179,21 @@ def _manifests(pkg: Package, rows: DataFrame) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
-def save_from_html(entries: DataFrame, edited: DataFrame, compat: bool = False, scope: DataFrame | None = None) -> DataFrame:
+def save_from_html(entries: DataFrame | Package, edited: DataFrame, compat: bool = False, scope: DataFrame | None = None) -> DataFrame:
     """(doc_id, content) of packages with the texts of edited HTML (doc_id, html); tables none of whose cells is in it go, with the
-    paragraphs that hold them. ``scope`` (doc_id, gid) limits that to the tables that were shown."""
-    pkg = Package(entries)
+    paragraphs that hold them. ``scope`` (doc_id, gid) limits that to the tables that were shown. HTML without any id is an error.
+    """
+    pkg = Package.of(entries)
     table = pkg.nodes(styles=False)
-    found = H.edits(edited, ["doc_id"], compat=compat).withColumnRenamed("id", "gid")
-    checked = edited.select("doc_id").join(found.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").withColumn("__ok", F.assert_true(F.coalesce("n", F.lit(0)) > 0, F.lit("the edited HTML holds no ids")))
-    found = found.join(checked.where("__ok is null").select("doc_id"), "doc_id", "left_semi")
+    # parsed once: the check, the texts and the tables that are gone all look at what was found
+    found = kept(H.edits(edited, ["doc_id"], compat=compat).withColumnRenamed("id", "gid"))
+    without = edited.select("doc_id").join(found, "doc_id", "left_anti").first()
+    if without is not None:
+        raise ValueError(f"the edited HTML holds no ids: {without.doc_id}")
     texts = found.where(F.col("new_text").isNotNull()).join(table.select(*SECTION, "nid", "gid"), ["doc_id", "gid"])
-    shown = table.join(edited.select("doc_id"), "doc_id", "left_semi")
-    found = kept(found)
+    shown = table.join(found.select("doc_id"), "doc_id", "left_semi")
     elems = M.without_tables(pkg.elems, M.orphan_tables(shown, found.select("doc_id", "gid"), scope))
-    return pkg.repacked(M.filled(kept(elems), table, texts.select(*SECTION, "nid", "new_text")))
+    return pkg.repacked(M.filled(elems, table, texts.select(*SECTION, "nid", "new_text")))
 
 
 def named(packages: DataFrame, kind: str, title: Column, at: Column) -> DataFrame:
@@ -211,9 +222,9 @@ def exported_pictures(entries: DataFrame, folder: str) -> DataFrame:
     return P.write(P.pictures(entries).select("doc_id", F.col("body").alias("content"), name.alias("file")), folder, F.col("file"))
 
 
-def to_html(entries: DataFrame, lines: bool = False, ids: bool = True) -> DataFrame:
+def to_html(entries: DataFrame | Package, lines: bool = False, ids: bool = True) -> DataFrame:
     """(doc_id, html) of packages."""
-    pkg = Package(entries)
+    pkg = Package.of(entries)
     return R.documents(R.pages(pkg.elems, pkg.header, pkg.nodes(styles=False) if ids else None, lines))
 
 
@@ -233,7 +244,7 @@ def page_edits(pages: DataFrame, answers: DataFrame) -> DataFrame:
     return J.resolved_edits(proposed, labels, on_page, ["doc_id"])
 
 
-def edit_page(entries: DataFrame, number: int, answers: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+def edit_page(entries: DataFrame | Package, number: int, answers: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(page (doc_id, page), edits (doc_id, seq, target, new_text)): one page of each package, and what a model proposed for it."""
     pages = kept(H.page(to_html(entries, lines), ["doc_id"], number))
     return pages, page_edits(pages, answers)

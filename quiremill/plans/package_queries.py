@@ -429,16 +429,16 @@ def q_pkg_td_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) {_AFTER}""")
 def q_pkg_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U5 edited HTML merged, J12 edits x nodes, J13 tables no longer there and their paragraphs, K1 and K3 written and read back."""
-    entries = _entries(spark, sf_dir)
-    docs = office.to_html(entries)
-    edited = docs.select("doc_id", F.regexp_replace(F.replace("html", F.lit("Supplier#"), F.lit("Vendor ")), r"(?s)^(.*?)<table.*?</table>", "$1").alias("html"))
-    return _result(_reopened(office.save_from_html(entries, edited)))
+    pkg = _opened(spark, sf_dir)
+    docs = office.to_html(pkg)
+    edited = kept(docs.select("doc_id", F.regexp_replace(F.replace("html", F.lit("Supplier#"), F.lit("Vendor ")), r"(?s)^(.*?)<table.*?</table>", "$1").alias("html")))
+    return _result(_reopened(office.save_from_html(pkg, edited)))
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages filled by recorded answers: instructions go, every third table goes, suppliers are filled, some with a picture."""
-    entries = _entries(spark, sf_dir)
-    table = office.Package(entries).nodes(styles=False)
+    pkg = _opened(spark, sf_dir)
+    table = pkg.nodes()
     n = F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long")
     key = _supplier_key()
     s = table.where((F.col("section_no") == 1) & key.isNotNull()).withColumn("key", key)
@@ -450,7 +450,7 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills = s.groupBy(*SECTION).agg(F.to_json(F.struct(F.collect_list(fill).alias("fills"))).alias("answer")).select(*SECTION, first, "answer")
     body = F.expr("unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(100 + key % 50), 8, '0'), '00000040'))")
     pictures = s.where("key % 11 = 0").select(*SECTION, "nid", F.lit(0).cast("long").alias("seq"), body.alias("body"))
-    return office.generate(entries, N.Recorded(analysis), N.Recorded(fills), "topic", pictures=pictures)
+    return office.generate(pkg, N.Recorded(analysis), N.Recorded(fills), "topic", pictures=pictures)
 
 
 _PICTURES = "kind = 'supplier' AND key % 11 = 0 AND key % 5 <> 0 AND key % 7 <> 0"
