@@ -12,8 +12,9 @@ candidates, while vectors without any structure, for which no hash prefix does s
 
 Equal vectors are one point that carries its ``k`` + 1 smallest ids: no further one can be among the nearest, as ties go to
 the smaller id, so a vector that a third of all rows hold is one point. Points are dealt evenly by a hash over shards whose
-number depends on the data alone; each shard is a forest, built once in one task's memory, and the queries stream past it,
-each visiting every shard. Nothing is sent to the driver.
+number depends on the data alone; each shard is a forest in one task's memory, and queries stream past it, each visiting every
+shard. Queries are dealt by a hash over blocks of bounded expected size, and each block meets each shard in a task of its own that builds
+the shard's forest again, so no task has all queries of a shard however many there are. Nothing is sent to the driver but two counts.
 
 Defined results: vectors that are null, empty, zero, or hold null, NaN or infinite components take no part, nor do rows with
 null id; vectors of different lengths are not compared; a row is never its own neighbour; rows with one id are the same row,
@@ -156,21 +157,27 @@ class Shard:
             take *= 4
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, most_shards: int = 64, shard_bytes: int = 32 << 20) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, trees: int = 128, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, most_shards: int = 64, shard_bytes: int = 32 << 20, block_queries: int = 65536) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` nearest rows found. ``queries`` has the columns of ``rows``.
 
     There is a shard for each ``shard_rows`` rows up to ``most_shards`` shards; beyond that they grow to ``shard_bytes`` of vectors.
+    There is a block for each ``block_queries`` queries, and a task for each shard and block: that many queries take far longer to answer than
+    a forest takes to build, so building it for each block costs little.
     """
     pick = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & _usable("vector"))
     total, size = pick(rows).agg(F.count("*"), F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()
     shards = max(1, -(-size // shard_bytes), min(most_shards, -(-total // shard_rows)))
+    blocks = max(1, -(-pick(queries).select("vec_id").count() // block_queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # limited within each task before the shuffle
     order = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = pick(rows).distinct().withColumn("n", order).where(F.col("n") <= k + 1)
-    points = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "ids", "vector")
-    asked = pick(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), F.array("vec_id").alias("ids"), "vector")
-    dealt = points.unionByName(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks", "ids")
+    points = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(False).alias("asks"), "ids", "vector")
+    asked = pick(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    asked = asked.select(every(shards).alias("shard"), "block", F.lit(True).alias("asks"), F.array("vec_id").alias("ids"), "vector")
+    # the task is the row's own number: neither a sample of the input nor a clash of hashes decides it
+    task = (F.col("shard").cast("long") * blocks + F.col("block")).cast("int").alias("task")
+    dealt = points.unionByName(asked).select(task, "asks", "ids", "vector").repartitionById(shards * blocks, "task").sortWithinPartitions("task", "asks", "ids")
 
     def run(batches):
         import pyarrow as pa

@@ -75,6 +75,14 @@ def test_nearest_on_odd_vectors(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_in_blocks_of_queries(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked, options = e.where("vec_id % 50 = 0"), {"shard_rows": 64}
+    whole = sorted(tuple(r) for r in ann.nearest(e, asked, **options).collect())
+    cut = ann.nearest(e, asked, block_queries=2, **options)
+    assert sorted(tuple(r) for r in cut.collect()) == whole and len(whole) == 5 * asked.count()
+
+
 def test_nearest_with_repeated_rows(spark):
     rows = [(50, [1.0, 0.0])] + [(k, [1.0, 0.01 * k]) for k in range(1, 7) for _ in range(8)]
     rows += [(7, [1.0, 0.001 + 1e-5 * j]) for j in range(3500)]  # one id, many near rows
