@@ -59,10 +59,10 @@ class Memo(dict):
         value = self.before.get(word)
         if value is None:
             value = self.make(word)
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
         if len(word) <= 64:
+            if len(self) >= self.most:
+                self.before = self.copy()
+                self.clear()
             self[word] = value
         return value
 
@@ -100,19 +100,21 @@ class WordBpe:
             if whole in self._parts or self._born.get(a, -1) >= rank or self._born.get(b, -1) >= rank:
                 raise ValueError("merges must make each token once, and its parts before it")
             self._born[whole], self._parts[whole], self._rank[a << 32 | b] = rank, (a, b), rank
-        self._fits: dict[int, bool] = {}
+        # for each token: whether it may follow another
+        self._fits: dict[int, dict[int, bool]] = {}
+        self._n_fits = 0
         self._match(sorted((atoms, i) for text, i in vocab.items() if (atoms := self._as_atoms(text))))
         self.ids_of = self.memo(self.encode_word, lambda v: tuple(chain.from_iterable(v)), remember)
 
     def _match(self, tokens: list[tuple[str, int]]) -> None:
-        """The suffix automaton of the tokens; ``_ends`` has for each state the tokens that end its strings as (length, id), longest first: its own, and those of the states that its suffix links lead to."""
+        """The suffix automaton of the tokens; ``_ends`` has for each state the tokens that end its strings as (length, id, ``_fits`` of it), longest first: its own, and those of the states that its suffix links lead to."""
         self._step, self._link, self._length = suffix_automaton(*(atoms for atoms, _ in tokens))
         self._ends: list[tuple] = [()] * len(self._step)
         for atoms, i in reversed(tokens):
             state = 0
             for c in atoms:
                 state = self._step[state][c]
-            self._ends[state] = (*sorted((*self._ends[state], (len(atoms), i)), reverse=True),)
+            self._ends[state] = (*sorted((*self._ends[state], (len(atoms), i, self._fits.setdefault(i, {}))), key=lambda e: e[:2], reverse=True),)
         for state in sorted(range(1, len(self._step)), key=self._length.__getitem__):
             self._ends[state] += self._ends[self._link[state]]
 
@@ -143,8 +145,8 @@ class WordBpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' joint text is just these two."""
-        key = left << 32 | right
-        known = self._fits.get(key)
+        found = self._fits.setdefault(right, {})
+        known = found.get(left)
         if known is None:
             known = True
             ends = self._right_lives(right)
@@ -156,9 +158,12 @@ class WordBpe:
                         break
                 if not known:
                     break
-            if len(self._fits) >= 500_000:
-                self._fits.clear()
-            self._fits[key] = known
+            if self._n_fits >= 500_000:
+                for of_token in self._fits.values():
+                    of_token.clear()
+                self._n_fits = 0
+            found[left] = known
+            self._n_fits += 1
         return known
 
     def letters(self, word: str) -> str:
@@ -170,25 +175,26 @@ class WordBpe:
         atoms = self.letters(word)
         atoms = atoms[:-1] + chr(_FINAL + ord(atoms[-1]))
         last, start = [-1] * (len(atoms) + 1), [0] * (len(atoms) + 1)
-        fits, step, link, length, ends = self._fits, self._step, self._link, self._length, self._ends
-        state = held = 0
-        for end, c in enumerate(atoms, 1):
+        step, link, length, ends = self._step, self._link, self._length, self._ends
+        state = held = end = 0
+        for c in atoms:
             to = step[state].get(c)
             while to is None:  # every single character is a token
                 state = link[state]
                 held = length[state]
                 to = step[state].get(c)
-            state, held = to, held + 1
-            for size, token in ends[state]:
+            state = to
+            held += 1
+            end += 1
+            for size, token, fits in ends[state]:
                 if size > held:  # the state's longer strings are not in the word
                     continue
-                begin = end - size
-                if begin:
+                if begin := end - size:
                     before = last[begin]
-                    if before < 0:
-                        continue
-                    ok = fits.get(before << 32 | token)
-                    if not (self.fits(before, token) if ok is None else ok):
+                    ok = fits.get(before)
+                    if ok is None:
+                        ok = before >= 0 and self.fits(before, token)
+                    if not ok:
                         continue
                 last[end], start[end] = token, begin
                 break
@@ -232,7 +238,7 @@ class WordBpe:
         return [i for ids in self.values(text, self.ids_of, lambda i: (i,)) for i in ids]
 
     def decode(self, ids) -> str:
-        return " ".join(self.text_of[i] for i in ids)
+        return " ".join([self.text_of[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -269,7 +275,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             ids = bpe.encode_word(word)
             return " ".join(map(str, ids)), bpe.decode(ids)
 
-        memo = bpe.memo(both, lambda v: tuple(" ".join(x) for x in zip(*v, strict=True)), 200_000)
+        memo = bpe.memo(both, lambda v: (" ".join([x[0] for x in v]), " ".join([x[1] for x in v])), 200_000)
         for b in sliced(batches):
             n, of_ids, of_text = [], [], []
             for text in b.column(1).to_pylist():
