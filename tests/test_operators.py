@@ -36,6 +36,34 @@ def test_picture_formats_and_sizes(spark):
     assert all(r.f == k for k, r in found.items()) and tuple(found["jpeg"].s) == (64, 32) and found["gif"].s is None
 
 
+def test_only_pictures_go_to_python(spark):
+    """Of a PNG its head, of other files nothing: a section's body is not to pass a worker for its size in pixels."""
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")
+    short, jpeg = png[:20], b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x20\x00\x40\x01" + b"\0" * 9
+    bodies = [png + b"x" * 5_000, short, jpeg, b"<xml>" + b"y" * 5_000, b"", None]
+    seen = spark.sparkContext.accumulator(0)
+    own = F.pandas_udf
+
+    def counting(kind):
+        def made(f):
+            def size(s):
+                seen.add(sum(len(b) for b in s if b is not None))
+                return f(s)
+
+            size.__annotations__ = f.__annotations__
+            return own(size, kind, 200)
+
+        return made
+
+    F.pandas_udf = counting
+    try:
+        df = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, body binary").select("k", pk.picture_size(F.col("body")).alias("s"))
+    finally:
+        F.pandas_udf = own
+    assert [r.s and tuple(r.s) for r in df.orderBy("k").collect()] == [(7, 9), None, (64, 32), None, None, None]
+    assert seen.value == 24 + len(short) + len(jpeg)
+
+
 def test_picture_geometry(spark):
     df = spark.createDataFrame([(100, "4:3"), (None, "4:3"), (None, "16:9"), (160, "x")], "w int, r string")
     assert [tuple(r.g) for r in df.select(picture_geometry(F.col("w"), F.col("r")).alias("g")).collect()] == [(2400, 1800, 7500, 5625), (52000, 39000, 162500, 121875), (60000, 33750, 187500, 105468), (3840, 2160, 12000, 6750)]
