@@ -17,7 +17,8 @@ At scale documents are dealt by ranges of their id, encoded by the tokenizers li
 shards of about ``ids_per_shard`` ids into the one column of a Parquet table in the shared folder, so
 that Spark's commit protocol covers retried and lost tasks. Totals a partition give each its first id.
 
-Words are cut by the vocabulary's own pattern; the library encodes each distinct word once a worker.
+Words are cut by the vocabulary's own pattern; the library encodes each distinct word once a worker, which remembers
+recent ones in tables of bounded size through all its tasks.
 
 Defined results: null and empty texts hold the end id alone; null ids sort first; rows with equal ids
 are neighbours in any order; other columns are ignored; an empty table makes no shards.
@@ -26,10 +27,8 @@ are neighbours in any order; other columns are ignored; an empty table makes no
 from __future__ import annotations
 
 import struct
-import sys
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -125,15 +124,19 @@ def library_encoder(path: str):
     """text -> ids of the tokenizers library as little-endian unsigned 32-bit integers, each distinct word encoded once while remembered."""
     cutter, library = bpe.load(path), _library(path)
     tokenize, letters = library.model.tokenize, cutter.letters
+    as_bytes = [struct.pack("<I", i) for i in range(cutter.size)]
 
     def one(word: str) -> bytes:
-        ids = array("I", [t.id for t in tokenize(letters(word))])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return b"".join([as_bytes[t.id] for t in tokenize(letters(word))])
 
     words = cutter.memo(one, b"".join, 300_000)
-    return lambda text: b"".join(cutter.values(text, words, lambda i: struct.pack("<I", i)))
+    return lambda text: b"".join(cutter.values(text, words, as_bytes.__getitem__))
+
+
+@lru_cache(maxsize=2)
+def lasting_encoder(path: str):
+    """``library_encoder`` with what it remembers, through all tasks of a worker."""
+    return library_encoder(path)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, ids_per_shard: int = 1 << 20) -> DataFrame:
@@ -144,7 +147,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, bits = library_encoder(tokenizer), width(bpe.load(tokenizer).size)
+        encode, bits = lasting_encoder(tokenizer), width(bpe.load(tokenizer).size)
         part, number, first, size = TaskContext.get().partitionId(), 0, 0, 0
         names, documents = [], []
         end = struct.pack("<I", end_id)

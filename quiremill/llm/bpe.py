@@ -33,6 +33,9 @@ from quiremill.llm.automaton import suffix_automaton
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's own pattern of words (a fixed value of its file), for ASCII.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: The same with Latin-1's and Cyrillic letters, each of which is one composed character with one lower case in all versions of Unicode.
+_LETTERED = re.compile("[\0-\x7fÀ-ÖØ-öø-ÿЀ-џ]+")
+_LETTERED_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿа-џ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿа-џ]+")
 _PIECES = re.compile(f"[^{_SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _END = "</w>"
@@ -79,7 +82,7 @@ class WordBpe:
         split, *rest = spec["pre_tokenizer"].get("pretokenizers", [{"type": None}])
         if split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or [(p["type"], p["use_regex"], p["add_prefix_space"]) for p in rest] != [("ByteLevel", False, False)]:
             raise ValueError("only words cut by one pattern and taken as bytes are supported")
-        # what letters and numbers are, and how they are lower-cased, depends on the library's Unicode tables; pieces beyond ASCII are therefore left to it
+        # what letters and numbers are, and how they are lower-cased, depends on the library's Unicode tables; other pieces than of ``_LETTERED`` are therefore left to it
         self._normal = Tokenizer.from_file(path).normalizer
         self._cut = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         vocab: dict[str, int] = model["vocab"]
@@ -209,6 +212,9 @@ class WordBpe:
         if piece.isascii():
             piece = piece.lower()
             return [piece] if piece.isalpha() else _WORDS.findall(piece)
+        if _LETTERED.fullmatch(piece):
+            piece = piece.lower()
+            return [piece] if piece.isalpha() else _LETTERED_WORDS.findall(piece)
         return [w for w, _ in self._cut.pre_tokenize_str(self._normal.normalize_str(piece))]
 
     def memo(self, one, join, most: int) -> Memo:
