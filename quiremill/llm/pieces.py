@@ -8,7 +8,10 @@ marker, and each chunk is segmented by itself, wherever it stands.
    added up, and the commonest ``TABLE`` chunks of at most ``SHORT`` characters are the corpus's table, whose size has a bound whatever the corpus.
 2. Each of them is segmented once, in a job over the table.
 3. Every text is cut again, and each position takes its chunk's ids from the table. Chunks that are not in it (rare or long
-   ones) are segmented by the worker that meets them, and remembered in a table of bounded size. So what the table holds changes no result, and texts are never shuffled.
+   ones) are segmented by the worker that meets them, those of some texts side by side, and remembered in a table of bounded size. So what the table holds changes no result, and texts are
+   never shuffled.
+
+Short chunks are merged many at a time in numpy: a row for each, and in each round the best pair of every row.
 
 Defined results: null and empty texts have the end id alone and decode to the empty text; U+2581 in a text is a space, as for
 the library; characters that are no piece become the ids of their bytes; strings of control pieces are ordinary text;
@@ -21,9 +24,10 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from functools import lru_cache
-from itertools import pairwise
+from functools import cached_property, lru_cache
+from itertools import chain, pairwise
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +38,47 @@ MARKER = "▁"
 TABLE, SHORT = 100_000, 32
 #: Characters of texts whose chunks are counted together, and other chunks that a worker remembers.
 COUNTED, REMEMBERED = 8_000_000, 200_000
+#: Characters of texts whose chunks are looked up together, but for single longer texts, and chunks that are merged side by side.
+TOGETHER, ROWS = 500_000, 2048
 _CHUNKS = re.compile(" *[^ ]+| +")
 
 
+class Pairs:
+    """Numbers of pairs of ids, in one flat table that numpy looks up many at a time: a pair lies at its hash, or at the next free place."""
+
+    NONE = 1 << 30
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        both = np.array(list(pairs), np.int64).reshape(-1, 2)
+        keys, numbers = both[:, 0] << 32 | both[:, 1], np.array(list(pairs.values()), np.int32)
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.keys, self.numbers = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int32)
+        at = self._hash(keys)
+        while len(keys):
+            first = np.zeros(len(keys), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = first & (self.keys[at] < 0)
+            self.keys[at[put]], self.numbers[at[put]] = keys[put], numbers[put]
+            keys, numbers, at = keys[~put], numbers[~put], (at[~put] + 1) & (len(self.keys) - 1)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The numbers of pairs, ``NONE`` of those without one or with an id below 0."""
+        out = np.full(len(left), self.NONE, np.int32)
+        open_ = np.flatnonzero((left >= 0) & (right >= 0))
+        keys = left[open_].astype(np.int64) << 32 | right[open_]
+        at = self._hash(keys)
+        while len(open_):
+            found = self.keys[at]
+            hit = found == keys
+            out[open_[hit]] = self.numbers[at[hit]]
+            more = np.flatnonzero(~hit & (found >= 0))
+            open_, keys, at = open_[more], keys[more], (at[more] + 1) & (len(self.keys) - 1)
+        return out
+
+
 class Pieces:
     """The vocabulary of a model file: merging BPE with byte pieces, a leading marker, and no other normalisation."""
 
@@ -64,6 +106,8 @@ class Pieces:
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.unknown_text = trained.unk_surface
         self.end = sentencepiece.SentencePieceProcessor(model_file=path).eos_id()
+        self.shown = {k: t.replace(MARKER, " ") for t, k in self.id_of.items()}
+        self.digits = [str(k) for k in range(len(self.text_of))]
 
     def segment(self, chunk: str) -> list[int]:
         """The ids of a chunk, whose spaces stand for markers: the pair that makes the best piece is merged first, the leftmost of equals."""
@@ -112,8 +156,75 @@ class Pieces:
             if (p := before[k]) >= 0 and (s := cost.get(more := at[p] + both)) is not None:
                 heapq.heappush(queue, (s, p, more))
 
+    @cached_property
+    def _many(self) -> tuple[np.ndarray, np.ndarray, int, Pairs]:
+        """(id of each code point, -2 less it if no piece has it, -1 if only longer pieces have it; id of each number, bits, numbers of pairs): a number is the rank of what the pair makes among costs, and in its last ``bits`` the place among pieces of the same cost."""
+        made = sorted((t for t in self.id_of if len(t) > 1), key=self.cost.__getitem__)
+        numbers, level, place, bits = [], -1, 0, max(Counter(self.cost[t] for t in made).values(), default=1).bit_length()
+        for k, t in enumerate(made):
+            same = k > 0 and self.cost[t] == self.cost[made[k - 1]]
+            level, place = (level, place + 1) if same else (level + 1, 0)
+            numbers.append(level << bits | place)
+        of_code = -2 - np.arange(0x110000, dtype=np.int32)
+        for c in set("".join(self.id_of)):
+            of_code[ord(c)] = self.id_of.get(c, -1)
+        ids = self.id_of
+        pairs = {(ids[t[:i]], ids[t[i:]]): n for n, t in zip(numbers, made, strict=True) for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids}
+        id_of = np.zeros(max(numbers, default=0) + 1, np.int32)
+        id_of[numbers] = [ids[t] for t in made]
+        return of_code, id_of, bits, Pairs(pairs)
+
+    def segment_all(self, some: list[str]) -> list[list[int]]:
+        """``segment`` of each chunk, of short ones many at a time."""
+        out: list = [None] * len(some)
+        short = sorted((k for k, c in enumerate(some) if len(c) <= SHORT), key=lambda k: len(some[k]))
+        for at in range(0, len(short), ROWS):
+            self._merge_rows(some, short[at : at + ROWS], out)
+        return [self.segment(c) if ids is None else ids for c, ids in zip(some, out, strict=True)]
+
+    def _merge_rows(self, some: list[str], places: list[int], out: list) -> None:
+        """Puts the ids of chunks, the longest last, in their places; those with a character that only longer pieces have are left out."""
+        of_code, id_of, bits, pairs = self._many
+        codes = of_code[np.frombuffer("".join([some[k] for k in places]).replace(" ", MARKER).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = np.array([len(some[k]) for k in places])
+        across = int(size[-1]) + 1  # one place more than the longest has, so that each has one behind it
+        there = np.arange(across) < size[:, None]
+        ids = np.full(there.shape, -1, np.int32)
+        ids[there] = codes
+        known = ~((ids == -1) & there).any(axis=1)
+        cost = np.full(there.shape, Pairs.NONE, np.int32)
+        cost[:, :-1] = pairs.of(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), across - 1)
+        row, cost, ids = np.flatnonzero(known) * across, cost[known], ids.ravel()  # where each row begins; from here on places are those of one flat array
+        after = np.arange(1, len(ids) + 1)
+        before = after - 2
+        while len(row):
+            at = (cost >> bits).argmin(axis=1)  # of equals the leftmost
+            least = cost[np.arange(len(row)), at]
+            going = least != Pairs.NONE
+            if not going.all():
+                row, cost, at, least = row[going], cost[going], at[going], least[going]
+            own, here = np.arange(len(row)), row + at
+            gone = after[here]
+            behind, ahead = after[gone], before[here]  # a row has a place behind its last
+            ids[here], ids[gone] = id_of[least], -1
+            after[here], before[behind] = behind, here
+            cost[own, gone - row] = Pairs.NONE
+            left = np.flatnonzero(at)
+            now = pairs.of(np.concatenate([ids[here], ids[ahead[left]]]), np.concatenate([ids[behind], ids[here[left]]]))
+            cost[own, at], cost[left, ahead[left] - row[left]] = now[: len(row)], now[len(row) :]
+        held = (ids != -1).reshape(there.shape) & known[:, None]
+        flat, ends = ids.reshape(there.shape)[held].tolist(), np.cumsum(held.sum(axis=1)).tolist()
+        for k, fine, a, z in zip(places, known.tolist(), [0, *ends], ends, strict=False):
+            if fine:
+                own = flat[a:z]
+                out[k] = own if min(own, default=0) >= 0 else [x for i in own for x in ((i,) if i >= 0 else [self.bytes[b] for b in chr(-2 - i).encode("utf-8")])]
+
     def surface(self, ids) -> str:
         """The text of ids, spaces for markers, without regard to where it stands in a document."""
+        try:
+            return "".join([self.shown[k] for k in ids])
+        except KeyError:  # bytes, control pieces, the unknown piece
+            pass
         out, held = [], bytearray()
         for k in ids:
             b = self.byte_of.get(k)
@@ -208,7 +319,7 @@ def table(docs: DataFrame, path: str, text_col: str = "text", most: int = TABLE)
 
         pieces = load(path)
         for b in sliced(batches, 4096):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(pieces.segment, b.column(0).to_pylist()), pa.list_(pa.int32()))], ["chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces.segment_all(b.column(0).to_pylist()), pa.list_(pa.int32()))], ["chunk", "ids"])
 
     found = commonest(counts, most).select("chunk").mapInArrow(run, "chunk string, ids array<int>").collect()
     dropped(counts)
@@ -228,12 +339,39 @@ class Known(dict):
             value = self.before.get(chunk)
             if value is None:
                 value = self.make(self.pieces.segment(chunk))
-            if len(self.now) >= self.most:
-                self.before, self.now = self.now, {}
-            if len(chunk) <= SHORT:
-                self.now[chunk] = value
+            self._remember(chunk, value)
         return value
 
+    def _remember(self, chunk: str, value) -> None:
+        if len(self.now) >= self.most:
+            self.before, self.now = self.now, {}
+        if len(chunk) <= SHORT:
+            self.now[chunk] = value
+
+    def of(self, texts: list[str | None]):
+        """The values of each text's chunks in order; what some texts hold of short chunks that are not known yet is segmented side by side."""
+        for some in together(texts):
+            cut = [chunks(t) for t in some]
+            new = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in self and c not in self.now and c not in self.before and len(c) <= SHORT]
+            for c, ids in zip(new, self.pieces.segment_all(new), strict=True):
+                self._remember(c, self.make(ids))
+            for found in cut:
+                yield [self[c] for c in found]
+
+
+def together(texts: list[str | None]):
+    """Texts in order, ``TOGETHER`` characters at a time, one text at least."""
+    some, size = [], 0
+    for t in texts:
+        n = len(t or "")
+        if some and size + n > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += n
+    if some:
+        yield some
+
 
 def encoded(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int> with the end id, decoded string) of every text."""
@@ -246,7 +384,7 @@ def encoded(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
         pieces = load(path)
         known = Known(pieces, shipped.value, lambda ids: ids)
         for b in sliced(batches):
-            ids = [[k for c in chunks(t) for k in known[c]] + [pieces.end] for t in b.column(1).to_pylist()]
+            ids = [[*chain.from_iterable(found), pieces.end] for found in known.of(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -262,12 +400,12 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
         import pyarrow as pa
 
         pieces = load(path)
-        known = Known(pieces, shipped.value, lambda ids: (" ".join(map(str, ids)), pieces.surface(ids)))
+        digits = pieces.digits
+        known = Known(pieces, shipped.value, lambda ids: (" ".join([digits[k] for k in ids]), pieces.surface(ids)))
         end = str(pieces.end)
         for b in sliced(batches):
             n, of_ids, of_text = [], [], []
-            for text in b.column(1).to_pylist():
-                found = list(map(known.__getitem__, chunks(text)))
+            for found in known.of(b.column(1).to_pylist()):
                 numbers = " ".join([*[x[0] for x in found], end])
                 n.append(numbers.count(" ") + 1)
                 of_ids.append(hashlib.sha256(numbers.encode()).hexdigest())

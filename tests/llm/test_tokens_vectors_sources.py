@@ -81,6 +81,23 @@ def test_the_table_holds_the_commonest_chunks(spark, library):
     assert [known[c] for c in (" the", " a", " b", " c", " a")] == [1] * 5 and len(known.now) + len(known.before) <= 4 and len(known) == 4
 
 
+def test_chunks_segmented_side_by_side_equal_single_ones(monkeypatch):
+    own, r = pieces.load(default_pieces()), random.Random(6)
+    some = [" ", "a", "b", "e", "the", "ing", "é", "è", "ou", "漢", "😀", "\n", ",", "0", "x" * 9]
+    every = ["".join(r.choices(some, k=r.randint(1, 8))).replace("▁", " ") for _ in range(6000)] + [" ", "a", "😀", "z" * 70]
+    want = [own.segment(c) for c in every]
+    assert own.segment_all(every) == want and own.segment_all([]) == []
+    texts = [*(" ".join(r.choices(every, k=20)) for _ in range(200)), None, ""]
+    monkeypatch.setattr(pieces, "TOGETHER", 3000)
+    merged = []
+    monkeypatch.setattr(pieces.Pieces, "segment", lambda self, c, one=pieces.Pieces.segment: merged.append(c) or one(self, c))
+    known = pieces.Known(own, {}, lambda ids: ids)
+    assert [[k for ids in found for k in ids] + [own.end] for found in known.of(texts)] == [own.encode(t) for t in texts]
+    merged.clear()
+    list(pieces.Known(own, {}, lambda ids: ids).of(["one two three, and what are plain words here"]))
+    assert not merged  # none of them by itself
+
+
 # --- 12
 def brute_whitening(vectors, most=32):
     x = np.floor(np.asarray(vectors, float) * 64).astype(int) + 1_000_000
