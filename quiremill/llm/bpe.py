@@ -7,13 +7,14 @@ token of the prefix before it) is compatible is stored, and following these back
 gives the ids.
 
 Two tokens are compatible if merging never prefers a pair across their border. With merge ranks that
-only grow upwards (checked on loading), the piece of the left token that touches the border has a
+only grow upwards (checked before the first word is encoded), the piece of the left token that touches the border has a
 known life in ranks, and so has the piece of the right one; a merge of two pieces whose lives both
 contain its rank rules the pair out. At equal rank the left merge goes first.
 
 Defined results: null and empty texts have no ids; the strings of special tokens in a text become
 their ids, as in the library's default; very long words are one linear scan. Words are encoded once
-per worker and remembered in a table of bounded size.
+per worker and remembered in a table of bounded size. The automaton and the merges are made when a word is first encoded; who only cuts
+words, such as packing and token files, holds neither.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -74,8 +75,7 @@ class WordBpe:
     def __init__(self, path: str, remember: int = 100_000):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self._path, spec = path, self._file(path)
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != _END or model.get("byte_fallback") or model.get("ignore_merges") or spec["decoder"] is not None:
             raise ValueError("only byte-level BPE with word ends and without a decoder is supported")
@@ -85,8 +85,7 @@ class WordBpe:
         # what letters and numbers are, and how they are lower-cased, depends on the library's Unicode tables; other pieces than of ``_LETTERED`` are therefore left to it
         self._normal = Tokenizer.from_file(path).normalizer
         self._cut = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
-        vocab: dict[str, int] = model["vocab"]
-        self.text_of = {i: t for t, i in vocab.items()}
+        self.text_of = {i: t for t, i in model["vocab"].items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.text_of |= {i: t for t, i in self.special.items()}
         self.size = max(self.text_of) + 1
@@ -94,32 +93,47 @@ class WordBpe:
         self._letters = _byte_letters()
         self._table = {b: c for b, c in self._letters.items()}
 
-        self._born: dict[int, int] = {}
-        self._parts: dict[int, tuple[int, int]] = {}
-        self._rank: dict[int, int] = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            a, b, whole = vocab[left], vocab[right], vocab[left + right]
-            if whole in self._parts or self._born.get(a, -1) >= rank or self._born.get(b, -1) >= rank:
-                raise ValueError("merges must make each token once, and its parts before it")
-            self._born[whole], self._parts[whole], self._rank[a << 32 | b] = rank, (a, b), rank
         # for each token: whether it may follow another
         self._fits: dict[int, dict[int, bool]] = {}
         self._n_fits = 0
-        self._match(sorted((atoms, i) for text, i in vocab.items() if (atoms := self._as_atoms(text))))
         self.ids_of = self.memo(self.encode_word, lambda v: tuple(chain.from_iterable(v)), remember)
 
-    def _match(self, tokens: list[tuple[str, int]]) -> None:
-        """The suffix automaton of the tokens; ``_ends`` has for each state the tokens that end its strings as (length, id, ``_fits`` of it), longest first: its own, and those of the states that its suffix links lead to."""
-        self._step, self._link, self._length = suffix_automaton(*(atoms for atoms, _ in tokens))
-        self._ends: list[tuple] = [()] * len(self._step)
+    @staticmethod
+    def _file(path: str) -> dict:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @cached_property
+    def _merges(self) -> tuple[dict[int, int], dict[int, tuple[int, int]], dict[int, int]]:
+        """The rank that makes each token, its two parts, and the rank of each pair of tokens."""
+        model = self._file(self._path)["model"]
+        vocab: dict[str, int] = model["vocab"]
+        born: dict[int, int] = {}
+        parts: dict[int, tuple[int, int]] = {}
+        rank_of: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            a, b, whole = vocab[left], vocab[right], vocab[left + right]
+            if whole in parts or born.get(a, -1) >= rank or born.get(b, -1) >= rank:
+                raise ValueError("merges must make each token once, and its parts before it")
+            born[whole], parts[whole], rank_of[a << 32 | b] = rank, (a, b), rank
+        return born, parts, rank_of
+
+    @cached_property
+    def _automaton(self) -> tuple[list[dict], list[int], list[int], list[tuple]]:
+        """The suffix automaton of the tokens, and for each state the tokens that end its strings as (length, id, ``_fits`` of it), longest first: its own, and those of the states that its suffix links lead to."""
+        vocab = self._file(self._path)["model"]["vocab"]
+        tokens = sorted((atoms, i) for text, i in vocab.items() if (atoms := self._as_atoms(text)))
+        step, link, length = suffix_automaton(*(atoms for atoms, _ in tokens))
+        ends: list[tuple] = [()] * len(step)
         for atoms, i in reversed(tokens):
             state = 0
             for c in atoms:
-                state = self._step[state][c]
-            self._ends[state] = (*sorted((*self._ends[state], (len(atoms), i, self._fits.setdefault(i, {}))), key=lambda e: e[:2], reverse=True),)
-        for state in sorted(range(1, len(self._step)), key=self._length.__getitem__):
-            self._ends[state] += self._ends[self._link[state]]
+                state = step[state][c]
+            ends[state] = (*sorted((*ends[state], (len(atoms), i, self._fits.setdefault(i, {}))), key=lambda e: e[:2], reverse=True),)
+        for state in sorted(range(1, len(step)), key=length.__getitem__):
+            ends[state] += ends[link[state]]
+        return step, link, length, ends
 
     def _as_atoms(self, text: str) -> str:
         if text.endswith(_END) and len(text) > len(_END):
@@ -129,22 +143,24 @@ class WordBpe:
 
     def _left_lives(self, token: int) -> list[tuple[int, int, int]]:
         """The pieces at the token's right border: (piece, rank that makes it, rank that uses it up)."""
+        born_of, parts, _ = self._merges
         lives, until = [], _FOREVER
         while True:
-            born = self._born.get(token, -1)
+            born = born_of.get(token, -1)
             lives.append((token, born, until))
             if born < 0:
                 return lives
-            token, until = self._parts[token][1], born
+            token, until = parts[token][1], born
 
     def _right_lives(self, token: int) -> list[tuple[int, int, int]]:
+        born_of, parts, _ = self._merges
         lives, until = [], _FOREVER
         while True:
-            born = self._born.get(token, -1)
+            born = born_of.get(token, -1)
             lives.append((token, born, until))
             if born < 0:
                 return lives
-            token, until = self._parts[token][0], born
+            token, until = parts[token][0], born
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' joint text is just these two."""
@@ -152,10 +168,10 @@ class WordBpe:
         known = found.get(left)
         if known is None:
             known = True
-            ends = self._right_lives(right)
+            ends, rank_of = self._right_lives(right), self._merges[2]
             for a, a_born, a_until in self._left_lives(left):
                 for b, b_born, b_until in ends:
-                    rank = self._rank.get(a << 32 | b)
+                    rank = rank_of.get(a << 32 | b)
                     if rank is not None and a_born < rank < a_until and b_born < rank <= b_until:
                         known = False
                         break
@@ -178,7 +194,7 @@ class WordBpe:
         atoms = self.letters(word)
         atoms = atoms[:-1] + chr(_FINAL + ord(atoms[-1]))
         last, start = [-1] * (len(atoms) + 1), [0] * (len(atoms) + 1)
-        step, link, length, ends = self._step, self._link, self._length, self._ends
+        step, link, length, ends = self._automaton
         state = held = end = 0
         for c in atoms:
             to = step[state].get(c)

@@ -25,3 +25,10 @@ def test_words_are_remembered_through_tasks(monkeypatch):
     monkeypatch.setattr(bpe.WordBpe, "words_of", lambda self, piece: calls.append(piece) or own(self, piece))
     first, second = (bitpack.lasting_encoder(default_vocabulary())("Überraschend viele words, words") for _ in range(2))
     assert first == second and len(first) >= 20 and len(calls) == 4
+
+
+def test_who_only_cuts_words_holds_no_automaton(monkeypatch):
+    bpe.load.cache_clear()
+    monkeypatch.setattr(bpe, "suffix_automaton", lambda *texts: 1 / 0)
+    assert len(bitpack.library_encoder(default_vocabulary())("Viele words, <und> mehr")) >= 16
+    assert not {"_automaton", "_merges"} & vars(bpe.load(default_vocabulary())).keys()
